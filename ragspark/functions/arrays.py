@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BLOCK = 32
@@ -23,6 +23,20 @@ def empty_array(element: str) -> Column:
     return F.expr(f"cast(array() as array<{element}>)")
 
 
+def explode_rows(df: DataFrame, keep: list[str], items: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per element of a computed array, with its zero-based ``position`` if named.
+
+    A plain explode makes the optimizer add a filter on the array's size below it,
+    which repeats the expression that computes the array. The outer form does not.
+    Elements must not be null.
+    """
+    if position:
+        rows = df.select(*keep, F.posexplode_outer(items).alias(position, name))
+    else:
+        rows = df.select(*keep, F.explode_outer(items).alias(name))
+    return rows.filter(F.col(name).isNotNull())
+
+
 def _scan_block(items: Column, start: Column, combine: Callable[[Column, Column], Column]) -> Column:
     zero = F.struct(start.alias("at"), empty_array("int").alias("seen"))
     return F.aggregate(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.functions.arrays import bind, empty_array
+from ragspark.functions.arrays import bind, empty_array, explode_rows
 from ragspark.functions.patterns import NOT_SPACE, SPACE, WORD
 
 _THAI = r"\x{0E00}-\x{0E7F}"
@@ -216,11 +216,11 @@ def analyze_text(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def word_frequency(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Corpus-wide word counts; partial sums keep the shuffle at one row per word and task."""
-    words = df.select(F.explode(counted_words(F.col(text_col))).alias("word"))
+    words = explode_rows(df, [], counted_words(F.col(text_col)), "word")
     return words.groupBy("word").agg(F.count("*").alias("count"))
 
 
 def word_frequency_by(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """Word counts per key; the word is part of the grouping, so a hot key spreads out."""
-    words = df.select(*keys, F.explode(counted_words(F.col(text_col))).alias("word"))
+    words = explode_rows(df, keys, counted_words(F.col(text_col)), "word")
     return words.groupBy(*keys, "word").agg(F.count("*").alias("count"))

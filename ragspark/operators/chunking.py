@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.functions.arrays import bind, empty_array
+from ragspark.functions.arrays import bind, empty_array, explode_rows
 from ragspark.functions.patterns import SPACE
 from ragspark.functions.vectors import Embedder, HashedWords
 
@@ -20,7 +20,7 @@ _MARK = "\x01"
 
 def _explode_chunks(df: DataFrame, chunks: Column, text: str) -> DataFrame:
     others = [c for c in df.columns if c != text]
-    return df.select(*others, F.posexplode(chunks).alias("chunk_no", text))
+    return explode_rows(df, others, chunks, text, "chunk_no")
 
 
 def fixed_chunks(
@@ -240,4 +240,4 @@ def semantic_chunks(
             " ",
         ),
     )
-    return cut.select(*others, F.posexplode(chunks).alias("chunk_no", text))
+    return explode_rows(cut, others, chunks, text, "chunk_no")

@@ -52,51 +52,55 @@ def _guard(name: str, pattern: str, text: Column) -> Column | None:
     return need(text) if need and rules.PII.get(name) == pattern else None
 
 
-def _matches(text: Column, name: str, pattern: str, rank: int, ignore_case: bool) -> Column:
-    """Matches of one pattern with their offsets.
-
-    The gaps between matches come from ``split``; an offset is the length of
-    all gaps and matches before it, a prefix sum.
-    """
+def _hits(text: Column, name: str, pattern: str, rank: int, ignore_case: bool) -> Column:
+    """Matches of one pattern and the gaps around them."""
     regex = to_jvm(pattern, ignore_case=ignore_case)
-    found = F.struct(
-        F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hits"),
-        F.split(text, regex, -1).alias("gaps"),
+    hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    gaps = F.split(text, regex, -1)
+    guard = _guard(name, pattern, text)
+    if guard is not None:
+        hits = F.when(guard, hits).otherwise(empty_array("string"))
+        gaps = F.when(guard, gaps).otherwise(empty_array("string"))
+    return F.struct(
+        hits.alias("hits"), gaps.alias("gaps"), F.lit(rank).alias("rank"), F.lit(name).alias("type")
     )
 
-    def place(f: Column) -> Column:
-        steps = F.zip_with(
-            F.slice(f["gaps"], F.lit(1), F.size(f["hits"])),
-            f["hits"],
-            lambda g, h: F.char_length(g) + F.char_length(h),
-        )
-        ends = F.zip_with(
-            running_before(steps, 0, lambda a, x: a + x), steps, lambda before, s: before + s
-        )
+
+def _placed(found: Column) -> Column:
+    """Spans of one pattern. An offset is the length of all gaps and matches before it."""
+    steps = F.zip_with(
+        F.slice(found["gaps"], F.lit(1), F.size(found["hits"])),
+        found["hits"],
+        lambda g, h: F.char_length(g) + F.char_length(h),
+    )
+
+    def spans(lengths: Column) -> Column:
         return F.zip_with(
-            f["hits"],
-            ends,
+            found["hits"],
+            F.zip_with(
+                running_before(lengths, 0, lambda a, x: a + x), lengths, lambda before, n: before + n
+            ),
             lambda h, e: F.struct(
                 (e - F.char_length(h)).alias("start"),
-                F.lit(rank).alias("rank"),
+                found["rank"].alias("rank"),
                 e.alias("end"),
-                F.lit(name).alias("type"),
+                found["type"].alias("type"),
                 h.alias("value"),
             ),
         )
 
-    spans = bind(found, lambda f: F.when(F.size(f["hits"]) > 0, place(f)).otherwise(empty_array(_SPANS)))
-    guard = _guard(name, pattern, text)
-    return spans if guard is None else F.when(guard, spans).otherwise(empty_array(_SPANS))
+    return F.when(F.size(found["hits"]) > 0, bind(steps, spans)).otherwise(empty_array(_SPANS))
 
 
 def _ranked_spans(text: Column, patterns: dict[str, str], case_sensitive_names: bool) -> Column:
+    if not patterns:
+        return empty_array(_SPANS)
     parts = [
-        _matches(text, name, pattern, i, not (case_sensitive_names and name == "potential_name"))
+        _hits(text, name, pattern, i, not (case_sensitive_names and name == "potential_name"))
         for i, (name, pattern) in enumerate(patterns.items())
     ]
-    spans = F.array_sort(F.concat(*parts)) if parts else empty_array(_SPANS)
-    return F.coalesce(spans, empty_array(_SPANS))
+    spans = F.array_sort(F.flatten(F.transform(F.array(*parts), _placed)))
+    return F.when(text.isNotNull(), spans).otherwise(empty_array(_SPANS))
 
 
 def confidence_of(kind: Column, value: Column) -> Column:

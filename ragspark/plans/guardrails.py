@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark import schemas
+from ragspark.functions.arrays import explode_rows
 from ragspark.operators import checks as ck
 from ragspark.operators.pii import pii_check
 
@@ -306,7 +307,7 @@ def report(results: Column) -> Column:
 
 def report_counts(df: DataFrame, results: str = "results") -> DataFrame:
     """Corpus report: runs per check and result."""
-    one = df.select(F.explode(results).alias("r"))
+    one = explode_rows(df, [], F.col(results), "r")
     return one.groupBy(F.col("r.validator").alias("validator"), F.col("r.result").alias("result")).agg(
         F.count("*").alias("runs")
     )

@@ -41,10 +41,16 @@ def vector_rows(chunks: DataFrame, embedder: Embedder | None = None) -> DataFram
 
 def ingestion_summary(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: number of documents, chunks and sources."""
-    docs = documents.agg(
-        F.count("*").alias("num_documents"), F.count_distinct("source").alias("num_sources")
+    rows = documents.select(F.lit(1).alias("d"), F.lit(0).alias("c"), "source").unionByName(
+        chunks.select(
+            F.lit(0).alias("d"), F.lit(1).alias("c"), F.lit(None).cast("string").alias("source")
+        )
+    )
+    return rows.agg(
+        F.sum("d").alias("num_documents"),
+        F.sum("c").alias("num_chunks"),
+        F.count_distinct("source").alias("num_sources"),
     )
-    return docs.join(chunks.agg(F.count("*").alias("num_chunks")), how="cross")
 
 
 def ingest(

@@ -48,3 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="ragspark-")
         spark.conf.set(CHECKPOINT_KEY, named)
     return named.rstrip(os.sep)
+
+
+def ship_package() -> None:
+    """Send this package's functions to Python workers by value.
+
+    Workers then need no copy of it on their path. Not needed where the package is
+    installed on the cluster or passed with ``--py-files``.
+    """
+    import ragspark
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(ragspark)
