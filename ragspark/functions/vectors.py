@@ -46,7 +46,7 @@ class HashedWords:
                     bucket[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
             cols.extend(map(bucket.__getitem__, words))
             rows.append(len(words))
-        flat = np.repeat(np.arange(len(texts)), rows) * self.dim + np.asarray(cols, dtype=np.int64)
+        flat = np.repeat(np.arange(len(texts)), np.asarray(rows, dtype=np.int64)) * self.dim + np.asarray(cols, dtype=np.int64)
         return np.bincount(flat, minlength=len(texts) * self.dim).reshape(-1, self.dim).astype(float)
 
 
@@ -60,12 +60,9 @@ def embed(text: Column, embedder: Embedder | None = None) -> Column:
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            given = texts.notna()
-            out = pd.Series([None] * len(texts), dtype=object)
-            if given.any():
-                vectors = np.asarray(model(texts[given].tolist()), dtype=np.float32)
-                out[given.to_numpy()] = list(vectors)
-            yield out
+            given = texts.notna().to_numpy()
+            vectors = iter(np.asarray(model(texts[given].tolist()), dtype=np.float32))
+            yield pd.Series([next(vectors) if known else None for known in given], dtype=object)
 
     return run(text)
 

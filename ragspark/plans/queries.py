@@ -501,7 +501,7 @@ def topk_dot(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def score_threshold(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(retrieval.above_score(_nearest(spark, folder, 20, "cosine"), 0.5))
+    return _rounded(retrieval.above_score(_nearest(spark, folder, 20, "cosine"), 0.3))
 
 
 @query
@@ -720,8 +720,8 @@ def formula_column(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
-        F.round(charge, 4).alias("charge"),
-        F.round(analytics.multiply(F.col("l_quantity"), F.col("l_discount")), 6).alias("product"),
+        charge.alias("charge"),
+        analytics.multiply(F.col("l_quantity"), F.col("l_discount")).alias("product"),
     )
 
 
