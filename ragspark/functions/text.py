@@ -34,6 +34,12 @@ def detect_language(text: Column) -> Column:
     return F.when(share > _THAI_SHARE, "th").otherwise("en")
 
 
+def fold_case(lower: Column) -> Column:
+    """Lower-cased text with the two letters that only case-insensitive matching equates."""
+    odd = F.contains(lower, F.lit("\u017f")) | F.contains(lower, F.lit("\u0131"))
+    return F.when(odd, F.translate(lower, "\u017f\u0131", "si")).otherwise(lower)
+
+
 def tokens(text: Column) -> Column:
     """Words of a text; lower-cased unless Thai. Null gives an empty array."""
     latin = F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD}]+"), F.lit(0))

@@ -82,8 +82,8 @@ def _fold(keys: list[str], max_calls: int, reach: int):
             taken = np.zeros(len(pdf), dtype=np.int64)
             times = pdf["__t"].to_numpy()
             sizes = pdf["__n"].to_numpy()
-            for a, b in zip(starts, np.r_[starts[1:], len(pdf)]):
-                key = tuple(pdf[lead].iloc[a])
+            firsts = [pdf[name].iloc[starts].tolist() for name in lead]
+            for a, b, *key in zip(starts, np.r_[starts[1:], len(pdf)], *firsts):
                 if key != current:
                     current, history = key, deque()
                 taken[a:b] = admit(history, times[a:b], sizes[a:b], max_calls, reach)

@@ -1,41 +1,44 @@
 """Checks of questions and answers as response columns.
 
 A check is a function of a :class:`TextView` (and, for answers, of question and
-context) that returns the struct of ``schemas.RESPONSE``. All of them are
-plain expressions, so they run the same in batch and in streaming.
+context) that returns a :class:`Verdict`; :func:`add_check` turns it into a column
+holding the struct of ``schemas.RESPONSE``. All of them are plain expressions, so
+they run the same in batch and in streaming.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as tx
-from ragspark.functions.arrays import bind
-from ragspark.functions.patterns import ENDS_WORD, STARTS_WORD, WORD, to_jvm
+from ragspark.functions.arrays import bind, empty_array
+from ragspark.functions.patterns import ENDS_WORD, STARTS_WORD, WORD, sequence_groups, to_jvm_folded
 from ragspark.operators import rules
 
 PASS, FAIL, WARNING = "pass", "fail", "warning"
 _SKIPPED = "Validation skipped (disabled)"
 _SKIPPED_OR_EMPTY = "Validation skipped (disabled or empty input)"
+_PARTS = ("lower", "folded", "words")
 _THAI_CHAR = re.compile("[฀-๿]")
 
 
 @dataclass(frozen=True)
 class TextView:
-    """A text with the two derived forms that several checks share."""
+    """A text with the derived forms that several checks share."""
 
     text: Column
     lower: Column
+    folded: Column
     words: Column
 
     @staticmethod
     def of(text: Column) -> TextView:
-        return TextView(text, F.lower(text), word_line(text))
+        return TextView(text, F.lower(text), tx.fold_case(F.lower(text)), word_line(text))
 
 
 @dataclass(frozen=True)
@@ -47,6 +50,38 @@ class Exchange:
     context: Column = field(default_factory=lambda: F.lit(None).cast("string"))
 
 
+@dataclass(frozen=True)
+class Verdict:
+    """Evidence found in a text, and the response it leads to.
+
+    They are kept apart so that a frame can hold the evidence as a column: a response
+    refers to it many times, and a lambda around it would keep the searches out of
+    generated code.
+    """
+
+    evidence: Column
+    respond: Callable[[Column], Column]
+
+    @property
+    def column(self) -> Column:
+        return self.respond(self.evidence)
+
+
+def add_check(
+    df: DataFrame, name: str, verdict: Verdict | Column, unless: Column | None = None
+) -> DataFrame:
+    """Add a response column; it is null, and nothing is evaluated, where ``unless`` holds."""
+
+    def when(value: Column) -> Column:
+        return value if unless is None else F.when(~unless, value)
+
+    if isinstance(verdict, Column):
+        return df.withColumn(name, when(verdict))
+    evidence = f"{name}_evidence"
+    held = df.withColumn(evidence, when(verdict.evidence))
+    return held.withColumn(name, when(verdict.respond(F.col(evidence)))).drop(evidence)
+
+
 def word_line(text: Column) -> Column:
     """Lower-cased words joined by single spaces, with a space at both ends.
 
@@ -62,13 +97,15 @@ def word_line(text: Column) -> Column:
 
 def prepare(df: DataFrame, text_col: str, name: str) -> tuple[DataFrame, TextView]:
     """Add the derived forms of ``text_col`` as columns, so each is computed once."""
-    lower, words = f"__{name}_lower", f"__{name}_words"
-    out = df.withColumns({lower: F.lower(F.col(text_col)), words: word_line(F.col(text_col))})
-    return out, TextView(F.col(text_col), F.col(lower), F.col(words))
+    text = F.col(text_col)
+    lower, folded, words = (f"__{name}_{part}" for part in _PARTS)
+    out = df.withColumns({lower: F.lower(text), words: word_line(text)})
+    out = out.withColumn(folded, tx.fold_case(F.col(lower)))
+    return out, TextView(text, F.col(lower), F.col(folded), F.col(words))
 
 
 def drop_prepared(df: DataFrame, *names: str) -> DataFrame:
-    return df.drop(*[f"__{n}_{part}" for n in names for part in ("lower", "words")])
+    return df.drop(*[f"__{n}_{part}" for n in names for part in _PARTS])
 
 
 def response(
@@ -85,8 +122,11 @@ def response(
     )
 
 
-def skipped(name: str, message: str = _SKIPPED) -> Column:
-    return response(name, F.lit(PASS), F.lit(message), F.lit(1.0))
+def skipped(name: str, message: str = _SKIPPED) -> Verdict:
+    return Verdict(
+        F.lit(None).cast("string"),
+        lambda _: response(name, F.lit(PASS), F.lit(message), F.lit(1.0)),
+    )
 
 
 def is_passed(resp: Column) -> Column:
@@ -101,12 +141,25 @@ def is_warning(resp: Column) -> Column:
     return resp["result"] == WARNING
 
 
-def matching(text: Column, patterns: list[str], multiline: bool = False) -> Column:
-    """The patterns found in ``text``, in list order."""
-    found = [
-        F.when(text.rlike(to_jvm(p, multiline=multiline)), F.lit(p)) for p in patterns
+def matching(view: TextView, patterns: list[str], multiline: bool = False) -> Column:
+    """The patterns found in the text, in list order."""
+    return listed((_found(view, p, multiline), F.lit(p)) for p in patterns)
+
+
+def listed(items: Iterable[tuple[Column, Column]], kind: str = "string") -> Column:
+    """Array of the values whose condition holds, without a lambda."""
+    parts = [
+        F.when(hit, F.array(value)).otherwise(empty_array(kind)) for hit, value in items
     ]
-    return F.filter(F.array(*found), lambda p: p.isNotNull())
+    return F.concat(*parts) if parts else empty_array(kind)
+
+
+def _found(view: TextView, pattern: str, multiline: bool) -> Column:
+    """Search for a pattern; a sequence of word groups only where all of them occur."""
+    whole = view.folded.rlike(to_jvm_folded(pattern, multiline))
+    for group in sequence_groups(pattern) or []:
+        whole = view.folded.rlike(f"(?d){group}") & whole
+    return whole
 
 
 def pattern_words(pattern: str) -> list[str]:
@@ -145,7 +198,7 @@ def _by_match(view: TextView, pattern: str, match: str) -> Column:
     if match == "all":
         return holds_words(view, pattern_words(pattern))
     if match == "any":
-        return view.lower.rlike(to_jvm(pattern))
+        return view.folded.rlike(to_jvm_folded(pattern))
     raise ValueError(f"match must be 'all' or 'any', not {match!r}")
 
 
@@ -154,7 +207,7 @@ def prompt_injection(
     patterns: list[str] | None = None,
     threshold: float = 0.8,
     enabled: bool = True,
-) -> Column:
+) -> Verdict:
     name = "PromptInjectionValidator"
     if not enabled:
         return skipped(name, _SKIPPED_OR_EMPTY)
@@ -173,40 +226,44 @@ def prompt_injection(
             F.when(hit, F.to_json(F.struct(found.alias("detected_patterns")))),
         )
 
-    return bind(matching(view.lower, patterns, multiline=True), respond)
+    return Verdict(matching(view, patterns, multiline=True), respond)
 
 
-def _length(name: str, word: str, text: Column, low: int, high: int) -> Column:
-    size = F.char_length(text)
+def _length(name: str, word: str, text: Column, low: int, high: int) -> Verdict:
     blank = tx.is_blank(text)
-    key = f"{word.lower()}_length"
-    return response(
-        name,
-        F.when(blank | (size < low) | (size > high), FAIL).otherwise(PASS),
-        F.when(blank, f"{word} is empty")
-        .when(size < low, f"{word} too short (minimum: {low} characters)")
-        .when(size > high, f"{word} too long (maximum: {high} characters)")
-        .otherwise(F.concat(F.lit(f"{word} length valid ("), size.cast("string"), F.lit(" characters)"))),
-        F.lit(1.0),
-        F.when(~blank, F.to_json(F.struct(size.alias(key)))),
-    )
+
+    def respond(size: Column) -> Column:
+        return response(
+            name,
+            F.when(blank | (size < low) | (size > high), FAIL).otherwise(PASS),
+            F.when(blank, f"{word} is empty")
+            .when(size < low, f"{word} too short (minimum: {low} characters)")
+            .when(size > high, f"{word} too long (maximum: {high} characters)")
+            .otherwise(
+                F.concat(F.lit(f"{word} length valid ("), size.cast("string"), F.lit(" characters)"))
+            ),
+            F.lit(1.0),
+            F.when(~blank, F.to_json(F.struct(size.alias(f"{word.lower()}_length")))),
+        )
+
+    return Verdict(F.char_length(text), respond)
 
 
 def input_length(
     view: TextView, max_length: int = 1000, min_length: int = 1, enabled: bool = True
-) -> Column:
+) -> Verdict:
     name = "InputLengthValidator"
     return _length(name, "Input", view.text, min_length, max_length) if enabled else skipped(name)
 
 
 def output_length(
     view: TextView, max_length: int = 2000, min_length: int = 5, enabled: bool = True
-) -> Column:
+) -> Verdict:
     name = "OutputLengthValidator"
     return _length(name, "Output", view.text, min_length, max_length) if enabled else skipped(name)
 
 
-def _profanity(name: str, found: Column, blank: Column, severity: str, hit_text: str, clean_text: str) -> Column:
+def _profanity(name: str, found: Column, blank: Column, severity: str, hit_text: str, clean_text: str) -> Verdict:
     def respond(got: Column) -> Column:
         hit = F.size(got) > 0
         return response(
@@ -217,7 +274,7 @@ def _profanity(name: str, found: Column, blank: Column, severity: str, hit_text:
             F.when(hit, F.to_json(F.struct(got.alias("detected_patterns")))),
         )
 
-    return bind(found, respond)
+    return Verdict(found, respond)
 
 
 def profanity(
@@ -225,12 +282,12 @@ def profanity(
     patterns: list[str] | None = None,
     severity: str = "warning",
     enabled: bool = True,
-) -> Column:
+) -> Verdict:
     """Any severity other than ``fail`` gives a warning."""
     name = "ProfanityValidator"
     if not enabled:
         return skipped(name, _SKIPPED_OR_EMPTY)
-    found = matching(view.lower, rules.PROFANITY if patterns is None else patterns)
+    found = matching(view, rules.PROFANITY if patterns is None else patterns)
     return _profanity(
         name, found, tx.is_blank(view.text), severity,
         "Inappropriate content detected", "No inappropriate content detected",
@@ -243,14 +300,13 @@ def token_profanity(
     severity: str = "warning",
     enabled: bool = True,
     match: str = "all",
-) -> Column:
+) -> Verdict:
     """Profanity by word sets instead of regexes; see :func:`pattern_words`."""
     name = "NLPEnhancedProfanityValidator"
     if not enabled:
         return skipped(name, _SKIPPED_OR_EMPTY)
     patterns = rules.PROFANITY if patterns is None else patterns
-    hits = [F.when(_by_match(view, p, match), F.lit(p)) for p in patterns]
-    found = F.filter(F.array(*hits), lambda p: p.isNotNull())
+    found = listed((_by_match(view, p, match), F.lit(p)) for p in patterns)
     return _profanity(
         name, found, tx.is_blank(view.text), severity,
         "Profanity detected", "No profanity detected",
@@ -270,19 +326,22 @@ def toxicity(
     threshold: float = 0.7,
     enabled: bool = True,
     match: str = "all",
-) -> Column:
+) -> Verdict:
     """Toxic content by pattern. ``all`` wants every word of a pattern, ``any`` one of them."""
     name = "ToxicityValidator"
     if not enabled:
         return skipped(name, _SKIPPED_OR_EMPTY)
     patterns = rules.TOXICITY if patterns is None else patterns
-    hits = [
-        F.when(
-            _by_match(view, p, match),
-            F.struct(F.lit(toxicity_level(p)).alias("level"), F.lit(p).alias("pattern")),
-        )
-        for p in patterns
-    ]
+    hits = listed(
+        (
+            (
+                _by_match(view, p, match),
+                F.struct(F.lit(toxicity_level(p)).alias("level"), F.lit(p).alias("pattern")),
+            )
+            for p in patterns
+        ),
+        "struct<level:double,pattern:string>",
+    )
     blank = tx.is_blank(view.text)
 
     def respond(found: Column) -> Column:
@@ -307,7 +366,7 @@ def toxicity(
             ),
         )
 
-    return bind(F.filter(F.array(*hits), lambda p: p.isNotNull()), respond)
+    return Verdict(hits, respond)
 
 
 def hate_speech(
@@ -317,7 +376,7 @@ def hate_speech(
     threshold: float = 0.8,
     enabled: bool = True,
     whole_word: bool = False,
-) -> Column:
+) -> Verdict:
     """Hate patterns and protected terms.
 
     Terms count as substrings ("age" in "language") unless ``whole_word``.
@@ -334,9 +393,7 @@ def hate_speech(
             return view.lower.rlike(STARTS_WORD + re.escape(term) + ENDS_WORD)
         return F.contains(view.lower, F.lit(term))
 
-    terms = F.filter(
-        F.array(*[F.when(named(t), F.lit(t)) for t in protected]), lambda t: t.isNotNull()
-    )
+    terms = listed((named(t), F.lit(t)) for t in protected)
 
     def respond(f: Column) -> Column:
         n, m = F.size(f["p"]), F.size(f["t"])
@@ -364,7 +421,7 @@ def hate_speech(
             ),
         )
 
-    return bind(F.struct(matching(view.lower, patterns).alias("p"), terms.alias("t")), respond)
+    return Verdict(F.struct(matching(view, patterns).alias("p"), terms.alias("t")), respond)
 
 
 def relevance(
@@ -373,7 +430,7 @@ def relevance(
     phrases: list[str] | None = None,
     enabled: bool = True,
     similarity: Callable[[Column, Column], Column] = tx.text_similarity,
-) -> Column:
+) -> Verdict:
     """Fails on a declining phrase, warns below the score."""
     name = "RelevanceValidator"
     if not enabled:
@@ -402,7 +459,7 @@ def relevance(
         )
 
     score = F.when(phrase.isNull(), similarity(pair.question, pair.answer.text))
-    return bind(F.struct(phrase.alias("phrase"), score.alias("score")), respond)
+    return Verdict(F.struct(phrase.alias("phrase"), score.alias("score")), respond)
 
 
 def hallucination(
@@ -413,14 +470,14 @@ def hallucination(
     invented: list[str] | None = None,
     enabled: bool = True,
     similarity: Callable[[Column, Column], Column] = tx.text_similarity,
-) -> Column:
+) -> Verdict:
     """Warns on uncertain or invented phrases and on low overlap with the context."""
     name = "HallucinationValidator"
     if not enabled:
         return skipped(name)
     missing = tx.is_blank(pair.answer.text)
     notes = [
-        F.when(holds_phrase(pair.answer, p), F.lit(f"{label}: '{p}'"))
+        (holds_phrase(pair.answer, p), F.lit(f"{label}: '{p}'"))
         for label, phrases in (
             ("Uncertainty phrase", rules.UNCERTAIN if uncertain is None else uncertain),
             ("Fabrication indicator", rules.INVENTED if invented is None else invented),
@@ -432,8 +489,10 @@ def hallucination(
         score,
         lambda s: F.when(
             s < context_coverage_threshold,
-            F.concat(F.lit("Low context coverage: "), F.format_string("%.2f", F.bround(s, 2))),
-        ),
+            F.array(
+                F.concat(F.lit("Low context coverage: "), F.format_string("%.2f", F.bround(s, 2)))
+            ),
+        ).otherwise(empty_array("string")),
     )
 
     def respond(issues: Column) -> Column:
@@ -448,4 +507,4 @@ def hallucination(
             F.when(~missing & hit, F.to_json(F.struct(issues.alias("detected_issues")))),
         )
 
-    return bind(F.filter(F.array(*notes, coverage), lambda n: n.isNotNull()), respond)
+    return Verdict(F.concat(listed(notes), coverage), respond)

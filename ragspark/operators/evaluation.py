@@ -118,7 +118,7 @@ def evaluate_retrieval(
     Every ideal text is embedded once, not once per pair.
     """
     asked = tests.select(qid, vec.embed(F.col("question"), embedder).alias("embedding"))
-    hits = top_k(asked, vectors, k, qid, vid).join(vectors.select(vid, "embedding"), vid)
+    hits = top_k(asked, vectors, k, qid, vid, carry=True)
     listed = tests.select(qid, F.explode("ideal_context").alias("ideal"))
     distinct = listed.select("ideal").distinct().select(
         "ideal", vec.embed(F.col("ideal"), embedder).alias("ideal_embedding")
@@ -126,7 +126,7 @@ def evaluate_retrieval(
     ideals = listed.join(distinct, "ideal").select(qid, "ideal_embedding")
     counts = tests.select(qid, F.greatest(F.size("ideal_context"), F.lit(0)).alias("ideals"))
     scores = retrieval_scores(
-        tests, chunk_relevance(hits, ideals, qid, vid), counts, similarity_threshold, qid
+        tests, chunk_relevance(hits, ideals, qid, vid, "vector"), counts, similarity_threshold, qid
     )
     return scores, retrieval_summary(scores)
 

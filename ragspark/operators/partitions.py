@@ -1,0 +1,20 @@
+"""Spreading a scan over the cluster."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+_PER_SLOT = 2
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Repartition a scan with too few row groups to keep all task slots busy.
+
+    Texts cost far more to process than to read. A scan that already has two splits
+    per slot is returned as it is, so a large table is not shuffled.
+    """
+    session = scan.sparkSession
+    slots = session.sparkContext.defaultParallelism
+    if scan._jdf.queryExecution().toRdd().getNumPartitions() >= _PER_SLOT * slots:
+        return scan
+    return scan.repartition(_PER_SLOT * slots, key)

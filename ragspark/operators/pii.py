@@ -11,7 +11,7 @@ from ragspark.functions import text as tx
 from ragspark.functions.arrays import bind, empty_array, running_before
 from ragspark.functions.patterns import to_jvm
 from ragspark.operators import rules
-from ragspark.operators.checks import FAIL, PASS, WARNING, TextView, response, skipped
+from ragspark.operators.checks import FAIL, PASS, WARNING, TextView, Verdict, response, skipped
 
 _SPANS = "struct<start:int,rank:int,end:int,type:string,value:string>"
 _BLOCK = 64
@@ -339,7 +339,7 @@ def pii_check(
     enabled_types: list[str] | None = None,
     case_sensitive_names: bool = False,
     enabled: bool = True,
-) -> Column:
+) -> Verdict:
     """Verdict on personal data; the message lists the types of all spans in order."""
     name = "PIIDetector"
     skipped_text = "Validation skipped (disabled or empty input)"
@@ -374,10 +374,8 @@ def pii_check(
             ),
         )
 
-    spans = _ranked_spans(view.text, patterns, case_sensitive_names)
-    return bind(
-        spans,
-        lambda s: bind(
-            F.struct(s.alias("all"), _not_allowed(s, allowed_types).alias("kept")), respond
-        ),
+    spans = bind(
+        _ranked_spans(view.text, patterns, case_sensitive_names),
+        lambda s: F.struct(s.alias("all"), _not_allowed(s, allowed_types).alias("kept")),
     )
+    return Verdict(spans, respond)

@@ -39,8 +39,9 @@ def _cost(questions: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray
 class _Best:
     """The k cheapest vectors per question seen so far; ties go to the smaller id."""
 
-    def __init__(self, questions: np.ndarray, k: int, metric: str) -> None:
-        self.questions, self.k, self.metric = questions, k, metric
+    def __init__(self, questions: np.ndarray, k: int, metric: str, carry: bool) -> None:
+        self.questions, self.k, self.metric, self.carry = questions, k, metric, carry
+        self.vector: np.ndarray | None = None
         self.q = np.empty(0, dtype=np.int64)
         self.cost = np.empty(0)
         self.id: np.ndarray | None = None
@@ -60,11 +61,16 @@ class _Best:
         self.q = np.concatenate([self.q, q])
         self.cost = np.concatenate([self.cost, cost[q, v]])
         self.id = ids[v] if self.id is None else np.concatenate([self.id, ids[v]])
+        if self.carry:
+            new = vectors[v].astype(np.float32)
+            self.vector = new if self.vector is None else np.concatenate([self.vector, new])
         order = np.lexsort((self.id, self.cost, self.q))
         q = self.q[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
         order = order[place < self.k]
         self.q, self.cost, self.id = self.q[order], self.cost[order], self.id[order]
+        if self.vector is not None:
+            self.vector = self.vector[order]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -87,7 +93,7 @@ def _score(cost: Column, metric: str) -> Column:
 
 def _candidates_shared(
     questions: pd.DataFrame, vectors: DataFrame, vid: str, vec: str, qid: str, k: int, metric: str,
-    schema: T.StructType,
+    schema: T.StructType, carry: bool,
 ) -> DataFrame:
     keys = questions["q"].tolist()
     matrix = np.stack([np.asarray(v, dtype=np.float64) for v in questions["v"]])
@@ -95,18 +101,19 @@ def _candidates_shared(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, held = shared.value
-        best = _Best(held, k, metric)
+        best = _Best(held, k, metric, carry)
         for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
             best.offer(_ids(batch.column(0)), _matrix(batch.column(1)))
         if best.id is not None:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([names[i] for i in best.q], type=q_type),
-                    pa.array(best.id.tolist(), type=v_type),
-                    pa.array(best.cost),
-                ],
-                names=[qid, vid, "__cost"],
-            )
+            columns = [
+                pa.array([names[i] for i in best.q], type=q_type),
+                pa.array(best.id.tolist(), type=v_type),
+                pa.array(best.cost),
+            ]
+            if carry:
+                columns.append(pa.array(list(best.vector), type=pa.list_(pa.float32())))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -116,7 +123,7 @@ def _candidates_shared(
 
 def _candidates_blocked(
     questions: DataFrame, vectors: DataFrame, qid: str, qvec: str, vid: str, vec: str, k: int,
-    metric: str, schema: T.StructType, n_questions: int, n_vectors: int,
+    metric: str, schema: T.StructType, n_questions: int, n_vectors: int, carry: bool,
 ) -> DataFrame:
     """Every block of questions meets every block of vectors in a task of its own.
 
@@ -139,14 +146,14 @@ def _candidates_blocked(
     )
 
     def meet(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        vs, qs = vs[vs["__v"].notna()], qs[qs["__q"].notna()]
         if vs.empty or qs.empty:
-            return pd.DataFrame({qid: [], vid: [], "__cost": []})
-        best = _Best(np.stack(qs["__q"]).astype(np.float64), k, metric)
+            return pd.DataFrame({name: [] for name in schema.names})
+        best = _Best(np.stack(qs["__q"]).astype(np.float64), k, metric, carry)
         ids = vs[vid].to_numpy()
         best.offer(ids.astype(str) if ids.dtype == object else ids, np.stack(vs["__v"]).astype(np.float64))
-        return pd.DataFrame(
-            {qid: qs[qid].to_numpy()[best.q], vid: best.id, "__cost": best.cost}
-        )
+        out = pd.DataFrame({qid: qs[qid].to_numpy()[best.q], vid: best.id, "__cost": best.cost})
+        return out.assign(vector=list(best.vector)) if carry else out
 
     return (
         left.groupBy("__vb", "__qb").cogroup(right.groupBy("__vb", "__qb")).applyInPandas(meet, schema)
@@ -163,9 +170,13 @@ def top_k(
     vector: str = "embedding",
     metric: str = "l2",
     max_shared: int = MAX_SHARED_QUESTIONS,
+    carry: bool = False,
 ) -> DataFrame:
     """The ``k`` nearest vectors of each question: ``qid, vid, score, rank``.
 
+    Null vectors are left out, here and not by a filter, which would compute an
+    embedding column twice. With ``carry`` the vectors found come along as ``vector``, which saves joining them.
+
     Exact. ``score`` is the distance for ``l2`` and the similarity otherwise. Ranks
     follow the score rounded to nine digits, then the vector id.
 
@@ -177,34 +188,37 @@ def top_k(
         raise ValueError(f"metric must be one of {METRICS}")
     if k < 1:
         raise ValueError("k must be positive")
-    questions = questions.filter(F.col(question_vector).isNotNull())
-    vectors = vectors.filter(F.col(vector).isNotNull())
     schema = T.StructType(
         [
             T.StructField(qid, questions.schema[qid].dataType),
             T.StructField(vid, vectors.schema[vid].dataType),
             T.StructField("__cost", T.DoubleType()),
         ]
+        + ([T.StructField("vector", T.ArrayType(T.FloatType()))] if carry else [])
     )
     head = (
         questions.select(F.col(qid).alias("q"), F.col(question_vector).alias("v"))
         .limit(max_shared + 1)
         .toPandas()
     )
-    if head.empty:
+    known = head[head["v"].notna()]
+    if known.empty and len(head) <= max_shared:
         found = vectors.sparkSession.createDataFrame([], schema)
     elif len(head) <= max_shared:
-        found = _candidates_shared(head, vectors, vid, vector, qid, k, metric, schema)
+        found = _candidates_shared(known, vectors, vid, vector, qid, k, metric, schema, carry)
     else:
         found = _candidates_blocked(
             questions, vectors, qid, question_vector, vid, vector, k, metric, schema,
-            questions.count(), vectors.count(),
+            questions.count(), vectors.count(), carry,
         )
     order = Window.partitionBy(qid).orderBy("__cost", vid)
     return (
         found.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
-        .select(qid, vid, _score(F.col("__cost"), metric).alias("score"), "rank")
+        .select(
+            qid, vid, _score(F.col("__cost"), metric).alias("score"), "rank",
+            *(["vector"] if carry else []),
+        )
     )
 
 
@@ -231,17 +245,17 @@ def diverse_top_k(
     question - (1 - balance) * largest similarity to those taken``. A group holds
     ``fetch_k`` rows.
     """
-    near = top_k(questions, vectors, fetch_k, qid, vid, question_vector, vector, "l2")
-    rows = near.join(vectors.select(vid, F.col(vector).alias("__v")), vid).join(
-        questions.select(qid, F.col(question_vector).alias("__q")), qid
+    near = top_k(
+        questions, vectors, fetch_k, qid, vid, question_vector, vector, "l2", carry=True
     )
+    rows = near.join(questions.select(qid, F.col(question_vector).alias("__q")), qid)
     schema = T.StructType([near.schema[qid], near.schema[vid], T.StructField("rank", T.IntegerType())])
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
         taken = _diversify(
             np.asarray(pdf["__q"].iloc[0], dtype=float),
-            np.stack(pdf["__v"]).astype(float), k, balance,
+            np.stack(pdf["vector"]).astype(float), k, balance,
         )
         return pdf.iloc[taken][[qid, vid]].assign(rank=np.arange(1, len(taken) + 1))
 

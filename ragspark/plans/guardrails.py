@@ -74,11 +74,10 @@ def _section(kind: type, values: dict[str, Any] | None) -> Any:
 
 @dataclass(frozen=True)
 class Check:
-    """A named check. ``gated`` ones are evaluated only for rows that have not failed."""
+    """A named check."""
 
     name: str
-    build: Callable[[Any], Column]
-    gated: bool = False
+    build: Callable[[Any], ck.Verdict | Column]
 
 
 class GuardrailPlan:
@@ -172,23 +171,22 @@ class GuardrailPlan:
                         custom_patterns=pii.custom_patterns,
                         enabled_types=None if pii.enabled_types is None else list(pii.enabled_types),
                     ),
-                    gated=True,
                 )
             )
         self.input_checks += shared
         self.output_checks += [
-            Check(c.name, lambda x, c=c: c.build(x.answer), c.gated) for c in shared
+            Check(c.name, lambda x, c=c: c.build(x.answer)) for c in shared
         ]
 
-    def add_input_check(self, name: str, build: Callable[[ck.TextView], Column]) -> None:
+    def add_input_check(self, name: str, build: Callable[[ck.TextView], ck.Verdict | Column]) -> None:
         """Append a custom check of the question."""
         self.input_checks.append(Check(name, build))
 
-    def add_output_check(self, name: str, build: Callable[[ck.Exchange], Column]) -> None:
+    def add_output_check(self, name: str, build: Callable[[ck.Exchange], ck.Verdict | Column]) -> None:
         """Append a custom check of the answer."""
         self.output_checks.append(Check(name, build))
 
-    def add_context_check(self, name: str, build: Callable[[ck.TextView], Column]) -> None:
+    def add_context_check(self, name: str, build: Callable[[ck.TextView], ck.Verdict | Column]) -> None:
         """Append a custom check of the context; none is built in."""
         self.context_checks.append(Check(name, build))
 
@@ -241,33 +239,21 @@ class GuardrailPlan:
         )
 
 
-def _has_fail(results: Column) -> Column:
-    return F.exists(results, ck.is_failed)
-
-
 def _run(df: DataFrame, checks: list[Check], given: Any, max_warnings: int | None) -> DataFrame:
-    """Results up to and including the first fail."""
-    out, last, stage = df, F.expr(f"cast(array() as array<{schemas.RESPONSE}>)"), 0
-    pending: list[Column] = []
-
-    def flush() -> None:
-        nonlocal out, last, stage, pending
-        if pending:
-            out = out.withColumn(f"__r{stage}", F.concat(last, F.array(*pending)))
-            last, stage, pending = F.col(f"__r{stage}"), stage + 1, []
-
-    for check in checks:
-        if check.gated:
-            flush()
-            more = F.concat(last, F.array(check.build(given)))
-            out = out.withColumn(f"__r{stage}", F.when(_has_fail(last), last).otherwise(more))
-            last, stage = F.col(f"__r{stage}"), stage + 1
-        else:
-            pending.append(check.build(given))
-    flush()
-    first_fail = F.array_position(F.transform(last, lambda r: r["result"]), "fail")
-    results = F.when(first_fail > 0, F.slice(last, F.lit(1), first_fail.cast("int"))).otherwise(last)
-    valid = F.coalesce(~_has_fail(last), F.lit(True))
+    """Results up to and including the first fail; a failed row skips all later checks."""
+    out, last, failed = df, F.expr(f"cast(array() as array<{schemas.RESPONSE}>)"), None
+    for i, check in enumerate(checks):
+        out = ck.add_check(out, f"__c{i}", check.build(given), failed)
+        got = F.col(f"__c{i}")
+        more = F.concat(last, F.array(got))
+        out = out.withColumn(
+            f"__r{i}", more if failed is None else F.when(failed, last).otherwise(more)
+        )
+        last = F.col(f"__r{i}")
+        failed = ck.is_failed(F.element_at(last, -1))
+    results = last
+    failed = F.coalesce(ck.is_failed(F.try_element_at(last, F.lit(-1))), F.lit(False))
+    valid = ~failed
     if max_warnings is not None:
         valid = valid & (F.size(F.filter(last, ck.is_warning)) <= max_warnings)
     return out.withColumns({"is_valid": valid, "results": results})

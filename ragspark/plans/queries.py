@@ -12,6 +12,7 @@ from ragspark.functions import vectors as vec
 from ragspark.functions.arrays import explode_rows
 from ragspark.operators import admission, analytics, chunking, evaluation, pii, retrieval, sessions
 from ragspark.operators import checks as ck
+from ragspark.operators.partitions import spread
 from ragspark.plans import guardrails, ingestion
 from ragspark.sources import templates
 
@@ -75,7 +76,8 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text", "source")
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return spread(docs, "doc_id")
 
 
 def _flat(resp: Column, *more: Column) -> list[Column]:
@@ -97,7 +99,7 @@ def _found(resp: Column, field: str) -> Column:
 
 @query
 def language_mix(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = _documents(spark, folder)
     return docs.groupBy("lang", tx.detect_language(F.col("text")).alias("detected")).agg(
         F.count("*").alias("docs")
     )
@@ -128,7 +130,7 @@ def text_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def script_mix(spark: SparkSession, folder: str) -> DataFrame:
-    flags = table(spark, folder, "documents").select(tx.script_flags(F.col("text")).alias("f"))
+    flags = _documents(spark, folder).select(tx.script_flags(F.col("text")).alias("f"))
     return flags.groupBy("f.language_detected", "f.contains_thai", "f.contains_english").agg(
         F.count("*").alias("docs")
     )
@@ -153,7 +155,7 @@ def word_frequency(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def readability_mix(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(
+    docs = _documents(spark, folder).select(
         "lang", tx.count_words(F.col("text")).alias("s")
     )
     level = docs.select("lang", tx.readability(F.col("s"))["readability_score"].alias("readability"))
@@ -188,10 +190,19 @@ def text_analysis(spark: SparkSession, folder: str) -> DataFrame:
 # checks
 
 
+def _checked(df: DataFrame, text: str, check: Callable[[ck.TextView], ck.Verdict]) -> DataFrame:
+    ready, view = ck.prepare(df, text, "v")
+    return ck.add_check(ready, "r", check(view))
+
+
+def _asked(spark: SparkSession, folder: str, check: Callable[[ck.TextView], ck.Verdict]) -> DataFrame:
+    return _checked(_pairs(spark, folder), "question", check)
+
+
 @query
 def injection_check(spark: SparkSession, folder: str) -> DataFrame:
     resp = F.col("r")
-    rows = _pairs(spark, folder).withColumn("r", ck.prompt_injection(ck.TextView.of(F.col("question"))))
+    rows = _asked(spark, folder, ck.prompt_injection)
     return rows.select("conv_id", "turn", *_flat(resp, _found(resp, "detected_patterns")))
 
 
@@ -199,7 +210,7 @@ def injection_check(spark: SparkSession, folder: str) -> DataFrame:
 def length_check(spark: SparkSession, folder: str) -> DataFrame:
     view = ck.TextView.of(F.col("text"))
     rows = _documents(spark, folder).select(
-        "doc_id", ck.input_length(view).alias("i"), ck.output_length(view).alias("o")
+        "doc_id", ck.input_length(view).column.alias("i"), ck.output_length(view).column.alias("o")
     )
     return rows.select(
         "doc_id",
@@ -213,32 +224,31 @@ def length_check(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def profanity_check(spark: SparkSession, folder: str) -> DataFrame:
     resp = F.col("r")
-    rows = _pairs(spark, folder).withColumn("r", ck.profanity(ck.TextView.of(F.col("question"))))
+    rows = _asked(spark, folder, ck.profanity)
     return rows.select("conv_id", "turn", *_flat(resp, _found(resp, "detected_patterns")))
 
 
 @query
 def token_profanity_check(spark: SparkSession, folder: str) -> DataFrame:
-    view = ck.TextView.of(F.col("question"))
-    rows = _pairs(spark, folder).select(
+    pairs, view = ck.prepare(_pairs(spark, folder), "question", "v")
+    rows = ck.add_check(pairs, "all", ck.token_profanity(view, severity="fail"))
+    rows = ck.add_check(rows, "any", ck.token_profanity(view, severity="fail", match="any"))
+    return rows.select(
         "conv_id",
         "turn",
-        ck.token_profanity(view, severity="fail")["result"].alias("all_words"),
-        ck.token_profanity(view, severity="fail", match="any")["result"].alias("any_word"),
+        F.col("all.result").alias("all_words"),
+        F.col("any.result").alias("any_word"),
     )
-    return rows
 
 
 def _toxicity(spark: SparkSession, folder: str, match: str) -> DataFrame:
-    docs, view = ck.prepare(_documents(spark, folder), "text", "t")
-    resp = F.col("r")
-    return docs.withColumn("r", ck.toxicity(view, match=match)).select("doc_id", *_flat(resp))
+    docs = _checked(_documents(spark, folder), "text", lambda v: ck.toxicity(v, match=match))
+    return docs.select("doc_id", *_flat(F.col("r")))
 
 
 @query
 def toxicity_all(spark: SparkSession, folder: str) -> DataFrame:
-    view = ck.TextView.of(F.col("question"))
-    rows = _pairs(spark, folder).withColumn("r", ck.toxicity(view))
+    rows = _asked(spark, folder, ck.toxicity)
     return rows.select("conv_id", "turn", *_flat(F.col("r")))
 
 
@@ -263,7 +273,7 @@ def hate_check(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", "turn", F.concat_ws("\n", "question", "answer").alias("text")
     )
     resp = F.col("r")
-    rows = texts.withColumn("r", ck.hate_speech(ck.TextView.of(F.col("text"))))
+    rows = _checked(texts, "text", ck.hate_speech)
     return rows.select(
         "conv_id",
         "turn",
@@ -276,8 +286,8 @@ def hate_check(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def hate_documents(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _documents(spark, folder)
-    resp = ck.hate_speech(ck.TextView.of(F.col("text")))
+    docs = _checked(_documents(spark, folder), "text", ck.hate_speech)
+    resp = F.col("r")
     return docs.select("doc_id", resp["result"].alias("result"), F.round(resp["confidence"], 6).alias("confidence"))
 
 
@@ -316,21 +326,26 @@ def pii_masked_all(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def pii_verdict(spark: SparkSession, folder: str) -> DataFrame:
-    view = ck.TextView.of(F.col("text"))
-    docs = _documents(spark, folder).withColumn(
-        "r",
-        pii.pii_check(view, mask=False, allowed_types=["phone_thai"], enabled_types=SAFE_TYPES),
+    docs = _checked(
+        _documents(spark, folder),
+        "text",
+        lambda v: pii.pii_check(
+            v, mask=False, allowed_types=["phone_thai"], enabled_types=SAFE_TYPES
+        ),
     )
     return docs.select("doc_id", F.col("r.result").alias("result"), F.col("r.confidence").alias("confidence"))
 
 
-def _exchange() -> ck.Exchange:
-    return ck.Exchange(ck.TextView.of(F.col("answer")), F.col("question"), F.col("context"))
+def _answered(
+    spark: SparkSession, folder: str, check: Callable[[ck.Exchange], ck.Verdict]
+) -> DataFrame:
+    ready, view = ck.prepare(_pairs(spark, folder), "answer", "v")
+    return ck.add_check(ready, "r", check(ck.Exchange(view, F.col("question"), F.col("context"))))
 
 
 @query
 def relevance_check(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _pairs(spark, folder).withColumn("r", ck.relevance(_exchange()))
+    rows = _answered(spark, folder, ck.relevance)
     meta = F.from_json("r.metadata", "detected_phrase string, relevance_score double")
     return rows.select(
         "conv_id",
@@ -344,7 +359,7 @@ def relevance_check(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def hallucination_check(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _pairs(spark, folder).withColumn("r", ck.hallucination(_exchange()))
+    rows = _answered(spark, folder, ck.hallucination)
     issues = F.from_json("r.metadata", "detected_issues array<string>")["detected_issues"]
     return rows.select(
         "conv_id",
