@@ -141,7 +141,7 @@ def _candidates_blocked(
     right = questions.select(
         F.col(qid).alias(qid),
         F.col(qvec).alias("__q"),
-        F.explode(F.sequence(F.lit(0), F.lit(vb - 1))).cast("long").alias("__vb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(vb - 1).cast("long"))).alias("__vb"),
         F.pmod(F.xxhash64(qid), F.lit(qb)).cast("int").alias("__qb"),
     )
 

@@ -25,7 +25,7 @@ def read_templates(spark: SparkSession, folder: str) -> DataFrame:
     indent = F.regexp_extract(block, r"\A(?:[ ]*\n)*([ ]+)", 1)
     plain = F.regexp_extract("value", r"""(?m)^template:[ ]*["']?([^|>"'\n][^\n]*?)["']?[ ]*$""", 1)
     body = F.regexp_replace(block, F.concat(F.lit("(?m)^"), indent), F.lit(""))
-    kept = F.regexp_replace(body, r"\n*\z", "\n")
+    kept = F.concat(F.regexp_replace(body, r"\n+\z", ""), F.lit("\n"))
     return files.select(
         F.when(versioned, F.regexp_extract(stem, _VERSIONED, 1)).otherwise(stem).alias("name"),
         F.when(versioned, F.concat(F.lit("v"), F.regexp_extract(stem, _VERSIONED, 2)))

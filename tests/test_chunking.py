@@ -44,7 +44,7 @@ def test_recursive_invariants(spark, documents, size, overlap):
 
 
 def test_recursive_examples():
-    cut = lambda t, n, o: [c.strip() for c in ch._recursive(t, ch.SEPARATORS, n, o)]
+    cut = lambda t, n, o: [c.strip() for c in ch._recursive(t, ch.SEPARATORS, n, o) if c.strip()]
     assert cut("aaa bbb ccc ddd", 8, 0) == ["aaa bbb", "ccc ddd"]
     assert cut("aaa bbb ccc ddd", 8, 4) == ["aaa bbb", "bbb ccc", "ccc ddd"]
     assert cut("para one\n\npara two is long", 10, 0) == ["para one", "para two", "is long"]

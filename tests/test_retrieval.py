@@ -74,9 +74,9 @@ def test_threshold(spark):
 
 
 def test_diverse_top_k(spark):
-    q = spark.createDataFrame([(1, [1.0, 0.2])], "question_id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 1.0])], "question_id long, embedding array<double>")
     v = spark.createDataFrame(
-        [(1, [1.0, 0.2]), (2, [1.0, 0.21]), (3, [0.3, 1.0]), (4, [-1.0, -1.0])], "vec_id long, embedding array<double>"
+        [(1, [1.0, 0.9]), (2, [1.0, 0.88]), (3, [0.3, 1.0]), (4, [-1.0, -1.0])], "vec_id long, embedding array<double>"
     )
     rows = rt.diverse_top_k(q, v, k=2, fetch_k=3).orderBy("rank").collect()
     assert [r.vec_id for r in rows] == [1, 3]
@@ -108,25 +108,21 @@ def test_cosine(spark):
     assert got == pytest.approx([2**-0.5, 0.0, 0.0])
 
 
-class Letters:
-    """Vector of letter counts."""
-
-    def __call__(self, texts):
+def test_evaluate_retrieval(spark):
+    def letters(texts):
         return np.array([[t.count(c) for c in "abcd"] for t in texts], dtype=float).reshape(-1, 4)
 
-
-def test_evaluate_retrieval(spark):
     texts = {1: "aaab", 2: "bbb", 3: "ccd", 4: "dddd", 5: "ab"}
     store = spark.createDataFrame(list(texts.items()), "vec_id long, text string").select(
-        "vec_id", vec.embed(F.col("text"), Letters()).alias("embedding")
+        "vec_id", vec.embed(F.col("text"), letters).alias("embedding")
     )
     tests = spark.createDataFrame(
         [(1, "ab", ["a", "ab"]), (2, "dd", ["d"]), (3, "c", [])],
         "question_id long, question string, ideal_context array<string>",
     )
-    scores, summary = ev.evaluate_retrieval(store, tests, 2, 0.7, Letters())
+    scores, summary = ev.evaluate_retrieval(store, tests, 2, 0.7, letters)
     rows = {r.question_id: r for r in scores.collect()}
-    embed = Letters()
+    embed = letters
     for qid, question, ideals in tests.collect():
         near = nearest({0: embed([question])[0]}, {i: embed([t])[0] for i, t in texts.items()}, 2, "l2")[0]
         best = []
