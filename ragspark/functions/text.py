@@ -183,7 +183,7 @@ def top_words(text: Column, limit: int = 5) -> Column:
     placed = F.transform(
         counted_words(text), lambda w, i: F.struct(w.alias("w"), i.cast("int").alias("p"))
     )
-    ranked = F.slice(F.array_sort(bind(F.array_sort(placed), runs)), 1, limit)
+    ranked = F.slice(F.sort_array(bind(F.sort_array(placed), runs)), 1, limit)
     return F.transform(ranked, lambda r: F.struct(r["w"].alias("word"), (-r["less"]).alias("count")))
 
 

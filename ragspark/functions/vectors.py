@@ -73,7 +73,7 @@ def embed_expr(text: Column, dim: int = DIMENSION) -> Column:
     buckets = F.transform(
         words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int")
     )
-    ordered = F.array_sort(buckets)
+    ordered = F.sort_array(buckets)
     return bind(
         ordered,
         lambda b: F.transform(

@@ -54,7 +54,7 @@ def list_statistics(values: Column) -> Column:
     given = F.when(F.size(values) > 0, values.cast("array<double>")).otherwise(
         F.raise_error(F.lit("Numbers list cannot be empty"))
     )
-    return bind(F.array_sort(given), of)
+    return bind(F.sort_array(given), of)
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -119,8 +119,12 @@ def number_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def sorted_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys, value`` in ascending order by a range sort, so a large group spreads out."""
-    return df.select(*keys, value).orderBy(*keys, value)
+    """``keys, value`` in ascending order by a range sort, so a large group spreads out.
+
+    The salt lets the range cuts fall inside a run of equal values.
+    """
+    salted = df.select(*keys, value).withColumn("__salt", F.rand(1))
+    return salted.orderBy(*keys, value, "__salt").drop("__salt")
 
 
 _TOKEN = re.compile(r"\s*(?:(\d+\.\d*|\.\d+|\d+)|([A-Za-z_]\w*)|(\*\*|//|[-+*/()]))")

@@ -181,7 +181,7 @@ def _breaks(distances: Column, kind: str, amount: float) -> Column:
         return F.filter(marked, lambda i: i.isNotNull())
 
     def by(values: Column) -> Column:
-        ordered = F.array_sort(values)
+        ordered = F.sort_array(values)
         if kind in ("percentile", "gradient"):
             limit = bind(ordered, lambda o: _quantile(o, amount / 100))
         elif kind == "standard_deviation":

@@ -13,18 +13,23 @@ from ragspark.functions.patterns import to_jvm
 from ragspark.operators import rules
 from ragspark.operators.checks import FAIL, PASS, WARNING, TextView, Verdict, response, skipped
 
-_SPANS = "struct<start:int,rank:int,end:int,type:string,value:string>"
+_SPANS = "struct<start:int,rank:int,end:int,type:string,value:string,base:double>"
 _BLOCK = 64
 
-# A text without these cannot hold a match; the test is far cheaper than the pattern.
+# What a text must hold for a match: a search far cheaper than the pattern's own.
 _NEEDS = {
-    "email": lambda t: F.contains(t, F.lit("@")),
-    "phone_international": lambda t: t.rlike(r"\p{Nd}{3}"),
-    "phone_thai": lambda t: t.rlike("0[0-9]{8}"),
-    "thai_id": lambda t: t.rlike(r"\p{Nd}{2}"),
-    "credit_card": lambda t: t.rlike(r"\p{Nd}{4}"),
-    "ssn": lambda t: t.rlike(r"\p{Nd}{3}-\p{Nd}"),
-    "thai_name": lambda t: t.rlike("[ก-๙]"),
+    "mail": lambda t: F.contains(t, F.lit("@")),
+    "digits": lambda t: t.rlike(r"\p{Nd}{3}"),
+    "thai": lambda t: t.rlike("[ก-๙]"),
+}
+_NEED_OF = {
+    "email": "mail",
+    "phone_international": "digits",
+    "phone_thai": "digits",
+    "thai_id": "digits",
+    "credit_card": "digits",
+    "ssn": "digits",
+    "thai_name": "thai",
 }
 
 
@@ -47,22 +52,28 @@ def pii_patterns(
     return patterns
 
 
-def _guard(name: str, pattern: str, text: Column) -> Column | None:
-    need = _NEEDS.get(name)
-    return need(text) if need and rules.PII.get(name) == pattern else None
+def _need(name: str, pattern: str) -> str | None:
+    return _NEED_OF.get(name) if rules.PII.get(name) == pattern else None
 
 
-def _hits(text: Column, name: str, pattern: str, rank: int, ignore_case: bool) -> Column:
-    """Matches of one pattern and the gaps around them."""
+def _hits(
+    text: Column, needs: Column, name: str, pattern: str, rank: int, ignore_case: bool
+) -> Column:
+    """Matches of one pattern and the gaps around them; ``needs`` has a flag per need."""
     regex = to_jvm(pattern, ignore_case=ignore_case)
     hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     gaps = F.split(text, regex, -1)
-    guard = _guard(name, pattern, text)
-    if guard is not None:
+    need = _need(name, pattern)
+    if need:
+        guard = needs[need]
         hits = F.when(guard, hits).otherwise(empty_array("string"))
         gaps = F.when(guard, gaps).otherwise(empty_array("string"))
     return F.struct(
-        hits.alias("hits"), gaps.alias("gaps"), F.lit(rank).alias("rank"), F.lit(name).alias("type")
+        hits.alias("hits"),
+        gaps.alias("gaps"),
+        F.lit(rank).alias("rank"),
+        F.lit(name).alias("type"),
+        F.lit(rules.PII_CONFIDENCE.get(name, rules.PII_CONFIDENCE_OTHER)).alias("base"),
     )
 
 
@@ -86,6 +97,7 @@ def _placed(found: Column) -> Column:
                 e.alias("end"),
                 found["type"].alias("type"),
                 h.alias("value"),
+                found["base"].alias("base"),
             ),
         )
 
@@ -95,22 +107,28 @@ def _placed(found: Column) -> Column:
 def _ranked_spans(text: Column, patterns: dict[str, str], case_sensitive_names: bool) -> Column:
     if not patterns:
         return empty_array(_SPANS)
-    parts = [
-        _hits(text, name, pattern, i, not (case_sensitive_names and name == "potential_name"))
-        for i, (name, pattern) in enumerate(patterns.items())
-    ]
-    spans = F.array_sort(F.flatten(F.transform(F.array(*parts), _placed)))
+
+    def parts(needs: Column) -> Column:
+        return F.array(
+            *[
+                _hits(
+                    text, needs, name, pattern, i,
+                    not (case_sensitive_names and name == "potential_name"),
+                )
+                for i, (name, pattern) in enumerate(patterns.items())
+            ]
+        )
+
+    needs = F.struct(*[test(text).alias(need) for need, test in _NEEDS.items()])
+    spans = F.sort_array(F.flatten(F.transform(bind(needs, parts), _placed)))
     return F.when(text.isNotNull(), spans).otherwise(empty_array(_SPANS))
 
 
-def confidence_of(kind: Column, value: Column) -> Column:
-    """Confidence by type; a name shorter than 5 or longer than 50 counts half."""
-    base = F.lit(rules.PII_CONFIDENCE_OTHER)
-    for name, score in rules.PII_CONFIDENCE.items():
-        base = F.when(kind == name, score).otherwise(base)
-    size = F.char_length(value)
-    odd = kind.isin("potential_name", "thai_name") & ((size < 5) | (size > 50))
-    return F.least(F.when(odd, base * 0.5).otherwise(base), F.lit(1.0))
+def _confidence(span: Column) -> Column:
+    """Confidence of the type; a name shorter than 5 or longer than 50 counts half."""
+    size = F.char_length(span["value"])
+    odd = span["type"].isin("potential_name", "thai_name") & ((size < 5) | (size > 50))
+    return F.when(odd, span["base"] * 0.5).otherwise(span["base"])
 
 
 def _public(spans: Column) -> Column:
@@ -121,7 +139,7 @@ def _public(spans: Column) -> Column:
             s["value"].alias("value"),
             s["start"].alias("start"),
             s["end"].alias("end"),
-            confidence_of(s["type"], s["value"]).alias("confidence"),
+            _confidence(s).alias("confidence"),
         ),
     )
 
@@ -142,8 +160,8 @@ def count_pii(text: Column, kind: str, custom_patterns: dict[str, str] | None =
     """Number of matches of one type, without their places."""
     pattern = pii_patterns(custom_patterns)[kind]
     n = F.regexp_count(text, F.lit(to_jvm(pattern)))
-    guard = _guard(kind, pattern, text)
-    return n if guard is None else F.when(guard, n).otherwise(F.lit(0))
+    need = _need(kind, pattern)
+    return F.when(_NEEDS[need](text), n).otherwise(F.lit(0)) if need else n
 
 
 def mask_value(kind: Column, value: Column, mask_char: str = "*") -> Column:
@@ -261,7 +279,7 @@ def _apply_masks(text: Column, spans: Column, mask_char: str, merge_overlaps: bo
                 s["value"].alias("value"),
             ),
         )
-        return F.array_sort(keyed)
+        return F.sort_array(keyed)
 
     def starred(ordered: Column) -> Column:
         reach = running_before(ordered["end"], 0, lambda a, x: F.greatest(a, x))

@@ -15,6 +15,8 @@ METRICS = ("l2", "cosine", "dot")
 
 # At most this many question vectors are sent to every task.
 MAX_SHARED_QUESTIONS = 4096
+# ... and only if they are no larger than this in all.
+MAX_SHARED_BYTES = 64 << 20
 # Scores held at a time by one task.
 _SCORES = 4_000_000
 # Vectors and questions per block when both sides are large.
@@ -180,7 +182,7 @@ def top_k(
     Exact. ``score`` is the distance for ``l2`` and the similarity otherwise. Ranks
     follow the score rounded to nine digits, then the vector id.
 
-    Up to ``max_shared`` questions travel to the vectors, which then are neither
+    Up to ``max_shared`` questions (and ``MAX_SHARED_BYTES``) travel to the vectors, which then are neither
     shuffled nor copied; this reads the questions once to know. Beyond that, blocks
     of both sides meet. Either way a task keeps k rows per question.
     """
@@ -204,7 +206,7 @@ def top_k(
     known = head[head["v"].notna()]
     if known.empty and len(head) <= max_shared:
         found = vectors.sparkSession.createDataFrame([], schema)
-    elif len(head) <= max_shared:
+    elif len(head) <= max_shared and known["v"].map(len).sum() * 8 <= MAX_SHARED_BYTES:
         found = _candidates_shared(known, vectors, vid, vector, qid, k, metric, schema, carry)
     else:
         found = _candidates_blocked(
@@ -283,7 +285,7 @@ def assemble_context(
     hits: DataFrame, qid: str = "question_id", text: str = "text", separator: str = "\n\n"
 ) -> DataFrame:
     """Texts of each question's hits in rank order, as column ``context``; k rows per question."""
-    listed = F.array_sort(F.collect_list(F.struct("rank", F.col(text).alias("text"))))
+    listed = F.sort_array(F.collect_list(F.struct("rank", F.col(text).alias("text"))))
     return hits.groupBy(qid).agg(F.array_join(listed["text"], separator).alias("context"))
 
 

@@ -219,7 +219,7 @@ class GuardrailPlan:
 
         A key holds the k texts retrieved for one question.
         """
-        listed = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text).alias("text"))))
+        listed = F.sort_array(F.collect_list(F.struct(F.col(order), F.col(text).alias("text"))))
         joined = hits.groupBy(key).agg(F.array_join(listed["text"], "\n").alias("context_text"))
         ready, view = ck.prepare(joined, "context_text", "ctx")
         return _run(ready, self.context_checks, view, None).select(

@@ -205,7 +205,7 @@ def length_message(x: str, word: str, low: int, high: int) -> str:
       ELSE '{word} length valid (' || length({x}) || ' characters)' END"""
 
 
-INPUT_RUN = f"""{PREPARED}, parts AS (
+INPUT_CHECKS = f"""parts AS (
   SELECT *, {toxic_levels('question', 'all')} AS lv, {hate_parts('question')} FROM prepared),
 runs AS (SELECT conv_id, turn, [
   CASE WHEN len({found('question', rules.INJECTION, True)}) > 0 THEN 'fail' ELSE 'pass' END,
@@ -215,6 +215,10 @@ runs AS (SELECT conv_id, turn, [
   CASE WHEN {pii_any('question', q.SAFE_TYPES)} THEN 'warning' ELSE 'pass' END] AS every FROM parts),
 cut AS (SELECT *, CASE WHEN list_contains(every, 'fail') THEN every[1:list_position(every, 'fail')] ELSE every END AS kept FROM runs)"""
 
+INPUT_RUN = f"{PREPARED}, {INPUT_CHECKS}"
+TURN_RUN = f"""prepared AS (SELECT conv_id, turn, text AS question, {tokens('text')} AS question_tok FROM conversations),
+{INPUT_CHECKS}"""
+
 OUTPUT_RUN = f"""{PREPARED}, parts AS (
   SELECT *, {toxic_levels('answer', 'all')} AS lv, {hate_parts('answer')}, {declined('answer')} AS declined,
     {similarity('question', 'answer')} AS score,
@@ -294,6 +298,26 @@ def nearest(k: int, metric: str) -> str:
       row_number() OVER (PARTITION BY question_id ORDER BY cost, vec_id) AS rank FROM costs) WHERE rank <= {k})"""
 
 
+def cosine(a: str, b: str) -> str:
+    return f"(list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b}))))"
+
+
+def diverse(k: int) -> str:
+    """CTEs that pick ``k`` of the hits one after the other by marginal relevance."""
+    steps = [f"""cand AS (SELECT h.question_id, h.vec_id, h.rank AS near, e.v, {cosine('c.qv', 'e.v')} AS w
+      FROM hits h JOIN e ON e.vec_id = h.vec_id JOIN centres c ON c.question_id = h.question_id)"""]
+    for n in range(1, k + 1):
+        taken = [f"s{i}" for i in range(1, n)]
+        gain = "w"
+        if taken:
+            gain = f"0.5 * w - 0.5 * greatest({', '.join(cosine('cand.v', t + '.v') for t in taken)})"
+        joins = " ".join(f"JOIN s{i} ON s{i}.question_id = cand.question_id AND s{i}.vec_id <> cand.vec_id" for i in range(1, n))
+        steps.append(f"""s{n} AS (SELECT question_id, vec_id, v FROM (SELECT cand.question_id, cand.vec_id, cand.v,
+          row_number() OVER (PARTITION BY cand.question_id ORDER BY {gain} DESC, near) AS pick FROM cand {joins}) WHERE pick = 1)""")
+    union = " UNION ALL ".join(f"SELECT question_id, vec_id, {n} AS rank FROM s{n}" for n in range(1, k + 1))
+    return ", ".join(steps) + f", picked AS ({union})"
+
+
 HIT_COLUMNS = "SELECT question_id, vec_id, score, rank FROM hits"
 
 CONTEXT = f"""{document_hits(4)}, joined AS (
@@ -483,6 +507,8 @@ ORACLES: dict[str, str] = {
         CASE WHEN issues > 0 THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS confidence, issues FROM f""",
     "validate_input": f"""WITH {INPUT_RUN} SELECT conv_id, turn, NOT list_contains(kept, 'fail') AND {WARNINGS} <= 2 AS is_valid,
       array_to_string(kept, ',') AS outcomes FROM cut""",
+    "checks_on_stream": f"""WITH {TURN_RUN} SELECT conv_id, turn, NOT list_contains(kept, 'fail') AND {WARNINGS} <= 2 AS is_valid,
+      array_to_string(kept, ',') AS outcomes FROM cut""",
     "validate_output": f"""WITH {OUTPUT_RUN} SELECT conv_id, turn, NOT list_contains(kept, 'fail') AS is_valid,
       array_to_string(kept, ',') AS outcomes FROM cut""",
     "validate_documents": f"""WITH {DOCUMENT_RUN} SELECT doc_id, NOT list_contains(kept, 'fail') AND {WARNINGS} <= 2 AS is_valid,
@@ -505,6 +531,8 @@ ORACLES: dict[str, str] = {
         "SELECT doc_id || '-' || chunk_no::INT AS chunk_id, 64 AS size, length(c.text) AS chars, source "
         "FROM chunks c JOIN documents USING (doc_id)",
     ),
+    "vector_table": f"""WITH {FIXED} SELECT doc_id || '-' || (s // 800) AS chunk_id, len({tokens('substr(text, s + 1, 1000)')}) AS words,
+      md5(substr(text, s + 1, 1000)) AS digest, source FROM pieces""",
     "embedding_column": f"WITH {buckets('dv', 'doc_id', 'text', 'documents')} SELECT doc_id, b AS bucket, c AS n FROM dv",
     "topk_l2": f"WITH {nearest(10, 'l2')} {HIT_COLUMNS}",
     "topk_cosine": f"WITH {nearest(10, 'cosine')} {HIT_COLUMNS}",
@@ -545,9 +573,11 @@ ORACLES: dict[str, str] = {
       round(median(x), 6) AS median, min(x) AS min, max(x) AS max, round(max(x) - min(x), 6) AS range,
       round(var_pop(x) / 1e6, 4) AS variance_m, round(stddev_pop(x), 4) AS std_dev
       FROM (SELECT l_returnflag, l_extendedprice AS x FROM lineitem) GROUP BY l_returnflag""",
-    "list_stats": """SELECT l_orderkey, count(*) AS n, round(avg(l_quantity), 6) AS mean, median(l_quantity) AS median,
-      max(l_quantity) - min(l_quantity) AS range, round(var_pop(l_quantity), 6) AS variance,
-      string_agg(l_quantity::INT::VARCHAR, ',' ORDER BY l_quantity) AS sorted FROM lineitem GROUP BY l_orderkey""",
+    "list_stats": """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings)
+      SELECT vec_id, count(*) AS n, round(avg(x), 6) AS mean, round(median(x), 6) AS median,
+        round(max(x) - min(x), 6) AS range, round(var_pop(x), 6) AS variance, round(stddev_pop(x), 6) AS std_dev,
+        min(x) AS min, string_agg(round(x * 1000)::INT::VARCHAR, ',' ORDER BY x) AS sorted FROM x GROUP BY vec_id""",
+    "mmr": f"WITH {nearest(20, 'l2')}, {diverse(4)} SELECT question_id, vec_id, rank::INT AS rank FROM picked",
     "sorted_numbers": "SELECT c_mktsegment, c_acctbal FROM customer ORDER BY ALL",
     "formula_column": """SELECT l_orderkey, l_linenumber, l_partkey,
       l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, l_quantity * l_discount AS product FROM lineitem""",

@@ -14,7 +14,9 @@ from ragspark.operators import admission, analytics, chunking, evaluation, pii,
 from ragspark.operators import checks as ck
 from ragspark.operators.partitions import spread
 from ragspark.plans import guardrails, ingestion
-from ragspark.sources import templates
+from ragspark.session import fresh_dir
+from ragspark.sources import files, templates
+from ragspark.streaming import policies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -420,6 +422,23 @@ def validate_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def checks_on_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Question checks over the conversations as a stream, appended to a log table."""
+    path = fresh_dir(spark, "checked")
+    turns = (
+        spark.readStream.schema(table(spark, folder, "conversations").schema)
+        .option("pathGlobFilter", "conversations.parquet")
+        .parquet(folder)
+    )
+    checked = guardrails.GuardrailPlan(PLAN).validate_input(turns, "text")
+    stream = policies.log_stream(
+        _outcome(checked), path, fresh_dir(spark, "checked-state"), availableNow=True
+    )
+    stream.awaitTermination()
+    return spark.read.parquet(path)
+
+
 # chunks and retrieval
 
 
@@ -473,6 +492,16 @@ def ingestion_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("chunk_id", F.size("embedding").alias("size"), F.char_length("text").alias("chars"), "source")
 
 
+@query
+def vector_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks embedded, written as a vector table, and read back."""
+    path = fresh_dir(spark, "vectors")
+    files.write_vectors(ingestion.vector_rows(chunking.fixed_chunks(_documents(spark, folder))), path)
+    rows = files.read_vectors(spark, path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("chunk_id", total.cast("long").alias("words"), F.md5("text").alias("digest"), "source")
+
+
 @query
 def embedding_column(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder)
@@ -707,18 +736,18 @@ def number_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def list_stats(spark: SparkSession, folder: str) -> DataFrame:
-    lists = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
-        F.collect_list("l_quantity").alias("q")
-    )
-    out = lists.select("l_orderkey", analytics.list_statistics(F.col("q")).alias("s"))
+    lists = table(spark, folder, "embeddings")
+    out = lists.select("vec_id", analytics.list_statistics(F.col("embedding")).alias("s"))
     return out.select(
-        "l_orderkey",
+        "vec_id",
         F.col("s.count").alias("n"),
         F.round("s.mean", 6).alias("mean"),
-        F.col("s.median").alias("median"),
-        F.col("s.range").alias("range"),
+        F.round("s.median", 6).alias("median"),
+        F.round("s.range", 6).alias("range"),
         F.round("s.variance", 6).alias("variance"),
-        F.array_join(F.transform("s.sorted", lambda x: x.cast("int").cast("string")), ",").alias("sorted"),
+        F.round("s.std_dev", 6).alias("std_dev"),
+        F.col("s.min").alias("min"),
+        F.array_join(F.transform("s.sorted", lambda x: F.round(x * 1000).cast("int").cast("string")), ",").alias("sorted"),
     )
 
 

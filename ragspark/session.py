@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -43,13 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-        import tempfile
-
         named = tempfile.mkdtemp(prefix="ragspark-")
         spark.conf.set(CHECKPOINT_KEY, named)
     return named.rstrip(os.sep)
 
 
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A path below :func:`shared_dir` that no other run uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def ship_package() -> None:
     """Send this package's functions to Python workers by value.
 

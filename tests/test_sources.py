@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragspark.operators.chunking import recursive_chunks
-from ragspark.plans import ingestion
+from ragspark.plans import ingestion, quick
 from ragspark.sources import files, templates
 
 
@@ -78,3 +78,22 @@ def test_templates(spark, tmp_path):
         templates.pick_template(df, "broken")
     with pytest.raises(FileNotFoundError):
         templates.pick_template(df, "sales_support", "v3")
+
+
+def test_quick_evaluations(spark, folder, tmp_path):
+    index = str(tmp_path / "index")
+    ingestion.ingest(spark, str(folder), ["a.txt"], index, use_semantic_chunking=False, chunk_size=20, chunk_overlap=0)
+    path = tmp_path / "golden.json"
+    cases = [{"question": "first file", "ideal_answer": "first file", "ideal_context": ["First file."]}, {"question": "second part"}]
+    path.write_text(json.dumps(cases))
+    scores, summary = quick.quick_retrieval_eval(files.read_vectors(spark, index), str(path), k=2)
+    assert scores.count() == 2 and summary.first().total_queries == 2 and summary.first().avg_recall == 0.5
+    answer = lambda df: df.withColumn("generated_answer", F.col("question"))
+    _, summary = quick.quick_generation_eval(spark, answer, str(path))
+    assert summary.first().avg_overall_quality == 5.0
+    system = lambda df: df.select(
+        "*", F.col("question").alias("answer"), F.col("question").alias("context"),
+        F.expr("cast(array() as array<string>)").alias("sources"), F.lit(None).cast("string").alias("error"))
+    _, summary = quick.quick_rag_eval(spark, system, str(path))
+    row = summary.first()
+    assert (row.avg_answer_relevance, row.avg_accuracy, row.successful_queries) == (10.0, 5.0, 2)
