@@ -79,15 +79,18 @@ def _fold(keys: list[str], max_calls: int, reach: int):
                 column = pdf[name].to_numpy()
                 change[1:] |= column[1:] != column[:-1]
             starts = np.flatnonzero(change)
-            taken = np.zeros(len(pdf), dtype=np.int64)
+            ends = np.r_[starts[1:], len(pdf)]
             times = pdf["__t"].to_numpy()
             sizes = pdf["__n"].to_numpy()
-            firsts = [pdf[name].iloc[starts].tolist() for name in lead]
-            for a, b, *key in zip(starts, np.r_[starts[1:], len(pdf)], *firsts):
+            every = pdf["__all"].to_numpy()
+            taken = np.where(every, sizes, 0)
+            open_ = ~every[starts]
+            firsts = [pdf[name].iloc[starts[open_]].tolist() for name in lead]
+            for a, b, *key in zip(starts[open_], ends[open_], *firsts):
                 if key != current:
                     current, history = key, deque()
                 taken[a:b] = admit(history, times[a:b], sizes[a:b], max_calls, reach)
-            out = pdf[[*keys, "__t", "__n"]].assign(__taken=taken)
+            out = pdf[[*keys, "__t"]].assign(__taken=taken)
             yield out[~pdf["__warm"]]
 
     return run
@@ -96,17 +99,18 @@ def _fold(keys: list[str], max_calls: int, reach: int):
 def admitted_calls(
     df: DataFrame, keys: list[str], time: Column, max_calls: int, reach: int
 ) -> DataFrame:
-    """``keys, __t, __n, __taken``: how many calls of each distinct time are admitted.
+    """``keys, __t, __taken``: how many calls of each distinct time are admitted.
 
     Keys and times must not be null.
     """
     if max_calls < 1 or reach < 1:
         raise ValueError("max_calls and the window must be positive")
     counts = (
-        df.select(*keys, time.alias("__t"))
+        _timed(df, keys, time)
+        .select(*keys, "__t")
         .groupBy(*keys, "__t")
         .agg(F.count("*").alias("__n"))
-        .withColumn("__cell", F.floor(F.col("__t") / F.lit(reach)).cast("long"))
+        .withColumn("__cell", F.coalesce(F.floor(F.col("__t") / F.lit(reach)).cast("long"), F.lit(0)))
     )
     by_key = Window.partitionBy(*keys).orderBy("__cell")
     near = (F.col("__cell") - F.lag("__cell").over(by_key)) == 1
@@ -132,27 +136,39 @@ def admitted_calls(
         .select(*keys, "__cell", "__light", "__leads", "__piece")
     )
     placed = counts.join(cells, [*keys, "__cell"])
-    quiet = placed.filter("__light").select(
-        *keys, "__t", "__n", F.col("__n").alias("__taken")
+    as_warm_up = F.struct((F.col("__cell") + 1).alias("piece"), F.lit(True).alias("warm"))
+    as_own = F.struct(
+        F.when(F.col("__light"), F.col("__cell")).otherwise(F.col("__piece")).alias("piece"),
+        F.lit(False).alias("warm"),
     )
-    rest = (
-        placed.filter(~F.col("__light") | F.col("__leads"))
+    roles = F.when(F.col("__leads"), F.array(as_own, as_warm_up)).otherwise(F.array(as_own))
+    ordered = (
+        placed.select(*keys, "__t", "__n", "__light", F.explode_outer(roles).alias("__role"))
         .select(
             *keys,
-            F.when(F.col("__light"), F.col("__cell") + 1).otherwise(F.col("__piece")).alias("__piece"),
+            F.col("__role.piece").alias("__piece"),
             "__t",
             "__n",
-            F.col("__light").alias("__warm"),
+            (F.col("__light") & ~F.col("__role.warm")).alias("__all"),
+            F.col("__role.warm").alias("__warm"),
         )
         .repartition(*keys, "__piece")
         .sortWithinPartitions(*keys, "__piece", "__t")
     )
     schema = T.StructType(
-        [rest.schema[k] for k in keys]
-        + [T.StructField(c, T.LongType()) for c in ("__t", "__n", "__taken")]
+        [ordered.schema[k] for k in keys]
+        + [T.StructField(c, T.LongType()) for c in ("__t", "__taken")]
     )
-    busy = rest.mapInPandas(_fold(keys, max_calls, reach), schema)
-    return quiet.unionByName(busy)
+    return ordered.mapInPandas(_fold(keys, max_calls, reach), schema)
+
+
+def _timed(df: DataFrame, keys: list[str], time: Column) -> DataFrame:
+    """Rows with a key and a time, ``__t`` being known as not null.
+
+    Every branch then reads the source the same way, so its shuffle is reused.
+    """
+    known = df.dropna(subset=keys).filter(time.isNotNull())
+    return known.withColumn("__t", F.coalesce(time, F.lit(0).cast("long")))
 
 
 def decide(
@@ -160,29 +176,26 @@ def decide(
 ) -> DataFrame:
     """Add the boolean ``name``; calls of one time are taken in the order of ``tie``.
 
-    Only times of which some calls are admitted and some are not need that order,
-    and only up to ``max_calls`` rows of each.
+    Of equal times at most the first ``max_calls`` matter. That limit is applied before
+    the shuffle as well as after it, so many calls at one instant do not pile up.
     """
     rows = df.withColumn("__t", time)
+    known = _timed(df, keys, time)
     at = [*keys, "__t"]
     taken = admitted_calls(df, keys, time, max_calls, reach)
-    split = taken.filter((F.col("__taken") > 0) & (F.col("__taken") < F.col("__n")))
     by_time = Window.partitionBy(*at).orderBy("__tie")
     last = (
-        rows.select(*at, F.col(tie).alias("__tie"))
-        .join(split.drop("__n"), at)
+        known.select(*at, F.col(tie).alias("__tie"))
         .withColumn("__rank", F.row_number().over(by_time))
         .filter(F.col("__rank") <= max_calls)
-        .filter(F.col("__rank") == F.col("__taken"))
-        .select(*at, F.col("__tie").alias("__last"))
-    )
-    decided = taken.join(last, at, "left")
-    admitted = (F.col("__taken") == F.col("__n")) | (
-        (F.col("__taken") > 0) & (F.col(tie) <= F.col("__last"))
+        .join(taken, at)
+        .filter(F.col("__rank") <= F.col("__taken"))
+        .groupBy(*at)
+        .agg(F.max("__tie").alias("__last"))
     )
     return (
-        rows.join(decided, at, "left")
-        .withColumn(name, F.coalesce(admitted, F.lit(False)))
+        rows.join(last, at, "left")
+        .withColumn(name, F.coalesce(F.col(tie) <= F.col("__last"), F.lit(False)))
         .select(*df.columns, name)
     )
 
