@@ -69,7 +69,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
     share = (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
     bin_of = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor(share * _BINS), F.lit(_BINS - 1))).otherwise(0)
-    binned = counts.join(ends, keys).withColumn("__bin", bin_of.cast("int"))
+    binned = counts.join(ends, keys).withColumn("__bin", F.coalesce(bin_of.cast("int"), F.lit(0)))
     by_key = Window.partitionBy(*keys).orderBy("__bin")
     sizes = (
         binned.groupBy(*keys, "__bin", "__n")

@@ -18,17 +18,27 @@ def _ranged(df: DataFrame, order: str, width: int) -> DataFrame:
 
 
 def number_rows(
-    df: DataFrame, keys: list[str], order: str, name: str = "n", width: int = 10_000
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    name: str = "n",
+    total: str | None = None,
+    width: int = 10_000,
 ) -> DataFrame:
-    """Number rows 1..n inside ``keys`` by a unique, non-null integer ``order`` column."""
+    """Number rows 1..n inside ``keys`` by a unique, non-null integer ``order`` column.
+
+    ``total`` names a column for the number of rows of the key.
+    """
     cut = _ranged(df, order, width)
     by_key = Window.partitionBy(*keys).orderBy(_RANGE)
     before = (
         cut.groupBy(*keys, _RANGE)
         .agg(F.count("*").alias("__size"))
         .withColumn("__before", F.sum("__size").over(by_key) - F.col("__size"))
-        .drop("__size")
     )
+    if total:
+        before = before.withColumn(total, F.sum("__size").over(Window.partitionBy(*keys)))
+    before = before.drop("__size")
     inside = Window.partitionBy(*keys, _RANGE).orderBy(order)
     return (
         cut.join(before, [*keys, _RANGE])

@@ -33,8 +33,7 @@ def session_questions(
         .filter(F.col("question") != "")
         .drop("__end")
     )
-    totals = kept.groupBy(session).agg(F.count("*").alias("total_questions"))
-    return number_rows(kept, [session], order, "question_no").join(totals, session)
+    return number_rows(kept, [session], order, "question_no", "total_questions")
 
 
 def answer_pairs(
