@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +42,23 @@ def fold_case(lower: Column) -> Column:
     return F.when(odd, F.translate(lower, "\u017f\u0131", "si")).otherwise(lower)
 
 
-def tokens(text: Column) -> Column:
-    """Words of a text; lower-cased unless Thai. Null gives an empty array."""
+def tokens(
+    text: Column,
+    segment: Callable[[Column], Column] | None = None,
+    stop_words: list[str] | None = None,
+) -> Column:
+    """Words of a text; lower-cased unless Thai. Null gives an empty array.
+
+    ``segment`` may cut Thai text into words, for instance a pandas UDF over a
+    dictionary segmenter. Stop words are removed only if given.
+    """
     latin = F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD}]+"), F.lit(0))
-    thai = F.regexp_extract_all(text, F.lit(rf"[{WORD}\p{{M}}]+"), F.lit(0))
-    return F.coalesce(F.when(detect_language(text) == "th", thai).otherwise(latin), no_words())
+    if segment is None:
+        thai = F.regexp_extract_all(text, F.lit(rf"[{WORD}\p{{M}}]+"), F.lit(0))
+    else:
+        thai = segment(text)
+    words = F.when(detect_language(text) == "th", thai).otherwise(latin)
+    return drop_words(F.coalesce(words, no_words()), stop_words or [])
 
 
 def drop_words(words: Column, stop_words: list[str]) -> Column:

@@ -130,3 +130,14 @@ def test_word_frequency(spark):
     rows = tx.word_frequency(frame(spark, ["one two two", "Two, three"])).collect()
     assert {r["word"]: r["count"] for r in rows} == {"one": 1, "two": 3, "three": 1}
     assert not any(c in string.punctuation for r in rows for c in r["word"])
+
+
+def test_segmenter_and_stop_words(spark):
+    cut = lambda t: F.split(F.regexp_replace(t, "ครับ", "|ครับ"), "[|]")
+    row = values(
+        spark,
+        ["สวัสดีครับ"],
+        tx.tokens(F.col("text"), cut).alias("s"),
+        tx.tokens(F.lit("the cat and the dog"), stop_words=["the", "and"]).alias("t"),
+    )[0]
+    assert row.s == ["สวัสดี", "ครับ"] and row.t == ["cat", "dog"]
