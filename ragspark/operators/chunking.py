@@ -30,9 +30,27 @@ def fixed_chunks(
     _check(chunk_size, chunk_overlap)
     step = chunk_size - chunk_overlap
     size = F.char_length(text)
-    starts = F.sequence(F.lit(0), F.greatest(size - chunk_overlap - 1, F.lit(0)), F.lit(step))
-    chunks = F.transform(starts, lambda s: F.substring(F.col(text), s + 1, F.lit(chunk_size)))
-    return _explode_chunks(df.filter(size > 0), chunks, text)
+    last = F.floor(F.greatest(size - chunk_overlap - 1, F.lit(0)) / step).cast("int")
+    per_block = F.ceil(F.sqrt(last + 1)).cast("int")
+
+    def windows(w: Column) -> Column:
+        """Cut blocks of windows first: each cut walks its text from the start."""
+
+        def block(i: Column) -> Column:
+            first = i * w
+            part = F.substring(F.col(text), first * step + 1, w * step + chunk_overlap)
+            inside = F.sequence(F.lit(0), F.least(w - 1, last - first))
+            return bind(
+                part,
+                lambda p: F.transform(
+                    inside, lambda j: F.substring(p, j * step + 1, F.lit(chunk_size))
+                ),
+            )
+
+        blocks = F.sequence(F.lit(0), F.floor(last / w).cast("int"))
+        return F.flatten(F.transform(blocks, block))
+
+    return _explode_chunks(df.filter(size > 0), bind(per_block, windows), text)
 
 
 def _check(size: int, overlap: int) -> None:

@@ -228,8 +228,15 @@ def _apply_masks(text: Column, spans: Column, mask_char: str, merge_overlaps: bo
         )
 
     def join(kept: Column) -> Column:
-        """Blocks of spans, so that no piece is cut out of the whole text by its offset."""
-        last = F.floor((F.size(kept) - 1) / F.lit(_BLOCK)).cast("int")
+        width = F.greatest(F.lit(_BLOCK), F.ceil(F.sqrt(F.size(kept))).cast("int"))
+        return bind(width, lambda w: join_by(kept, w))
+
+    def join_by(kept: Column, width: Column) -> Column:
+        """Blocks of spans, so that few pieces are cut out of the whole text by their offset.
+
+        Cutting walks the text from its start, hence blocks that widen with the text.
+        """
+        last = F.floor((F.size(kept) - 1) / width).cast("int")
         begin_of = lambda i: F.coalesce(
             F.get(kept, i)["start"], F.char_length(text)
         )
@@ -249,9 +256,9 @@ def _apply_masks(text: Column, spans: Column, mask_char: str, merge_overlaps: bo
                         ),
                     )
 
-                return F.array_join(bind(F.slice(kept, i * _BLOCK + 1, F.lit(_BLOCK)), written), "")
+                return F.array_join(bind(F.slice(kept, i * width + 1, width), written), "")
 
-            begin, stop = begin_of(i * _BLOCK), begin_of((i + 1) * _BLOCK)
+            begin, stop = begin_of(i * width), begin_of((i + 1) * width)
             return bind(
                 F.struct(
                     begin.alias("begin"),
