@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MICROS = 1_000_000
+_CELLS = 4096
 
 
 def epoch_micros(df: DataFrame, column: str) -> Column:
@@ -112,29 +113,7 @@ def admitted_calls(
         .agg(F.count("*").alias("__n"))
         .withColumn("__cell", F.coalesce(F.floor(F.col("__t") / F.lit(reach)).cast("long"), F.lit(0)))
     )
-    by_key = Window.partitionBy(*keys).orderBy("__cell")
-    near = (F.col("__cell") - F.lag("__cell").over(by_key)) == 1
-    cells = (
-        counts.groupBy(*keys, "__cell")
-        .agg(F.sum("__n").alias("__size"))
-        .withColumn("__before", F.when(near, F.lag("__size").over(by_key)).otherwise(0))
-        .withColumn("__light", F.col("__size") + F.col("__before") <= max_calls)
-        .withColumn("__after_heavy", F.coalesce(near & ~F.lag("__light").over(by_key), F.lit(False)))
-        .withColumn(
-            "__leads",
-            F.coalesce(
-                F.col("__light")
-                & (F.lead("__cell").over(by_key) == F.col("__cell") + 1)
-                & ~F.lead("__light").over(by_key),
-                F.lit(False),
-            ),
-        )
-        .withColumn(
-            "__piece",
-            F.max(F.when(~F.col("__light") & ~F.col("__after_heavy"), F.col("__cell"))).over(by_key),
-        )
-        .select(*keys, "__cell", "__light", "__leads", "__piece")
-    )
+    cells = _pieces(counts.groupBy(*keys, "__cell").agg(F.sum("__n").alias("__size")), keys, max_calls)
     placed = counts.join(cells, [*keys, "__cell"])
     as_warm_up = F.struct((F.col("__cell") + 1).alias("piece"), F.lit(True).alias("warm"))
     as_own = F.struct(
@@ -162,6 +141,49 @@ def admitted_calls(
     return ordered.mapInPandas(_fold(keys, max_calls, reach), schema)
 
 
+def _pieces(cells: DataFrame, keys: list[str], max_calls: int) -> DataFrame:
+    """Per cell: whether it is light, whether it leads a busy run, and the start of its run.
+
+    A key may have as many cells as calls, so its cells are windowed in ranges. Two cells
+    before a range and one after it come along for context. Only the last run start
+    of each range is carried over the whole key.
+    """
+    cell = F.col("__cell")
+    home = F.floor(cell / F.lit(_CELLS)).cast("long")
+    place = cell - home * _CELLS
+    ranges = (
+        F.when(place >= _CELLS - 2, F.array(home, home + 1))
+        .when(place == 0, F.array(home, home - 1))
+        .otherwise(F.array(home))
+    )
+    inside = Window.partitionBy(*keys, "__range").orderBy("__cell")
+    next_to_last = F.coalesce(F.lag("__cell").over(inside) == cell - 1, F.lit(False))
+    before_next = F.coalesce(F.lead("__cell").over(inside) == cell + 1, F.lit(False))
+    starts = F.when(F.col("__own") & ~F.col("__light") & ~F.col("__after_busy"), cell)
+    seen = (
+        cells.select(*keys, "__cell", "__size", F.explode_outer(ranges).alias("__range"))
+        .withColumn("__own", F.col("__range") == home)
+        .withColumn("__before", F.when(next_to_last, F.lag("__size").over(inside)).otherwise(0))
+        .withColumn("__light", F.col("__size") + F.col("__before") <= max_calls)
+        .withColumn("__after_busy", next_to_last & ~F.lag("__light").over(inside))
+        .withColumn("__leads", F.col("__light") & before_next & ~F.lead("__light").over(inside))
+        .withColumn("__start", F.max(starts).over(inside))
+        .filter("__own")
+    )
+    by_key = Window.partitionBy(*keys).orderBy("__range")
+    carried = (
+        seen.groupBy(*keys, "__range")
+        .agg(F.max("__start").alias("__last"))
+        .withColumn(
+            "__carry", F.max("__last").over(by_key.rowsBetween(Window.unboundedPreceding, -1))
+        )
+        .drop("__last")
+    )
+    return seen.join(carried, [*keys, "__range"]).select(
+        *keys, "__cell", "__light", "__leads", F.coalesce("__start", "__carry").alias("__piece")
+    )
+
+
 def _timed(df: DataFrame, keys: list[str], time: Column) -> DataFrame:
     """Rows with a key and a time, ``__t`` being known as not null.
 

@@ -52,8 +52,10 @@ def frame(spark, calls):
     return spark.createDataFrame(calls, "id long, key string, s long").withColumn("ts", F.timestamp_seconds("s"))
 
 
+@pytest.mark.parametrize("cells", [3, 4096])
 @pytest.mark.parametrize("name", CASES)
-def test_rate_limit(spark, name):
+def test_rate_limit(spark, name, cells, monkeypatch):
+    monkeypatch.setattr(ad, "_CELLS", cells)
     calls, n, window = CASES[name]
     rows = ad.rate_limit(frame(spark, calls), ["key"], "ts", "id", n, window).collect()
     assert len(rows) == len(calls)
@@ -67,7 +69,8 @@ def test_rate_limit_sequence(spark):
 
 
 @pytest.mark.parametrize("name", CASES)
-def test_ttl_reuse(spark, name):
+def test_ttl_reuse(spark, name, monkeypatch):
+    monkeypatch.setattr(ad, "_CELLS", 3)
     calls, _, ttl = CASES[name]
     rows = ad.ttl_reuse(frame(spark, calls), ["key"], "ts", "id", ttl).collect()
     assert {r.id for r in rows if r.is_hit} == cache(calls, ttl)
