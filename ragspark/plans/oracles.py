@@ -501,7 +501,7 @@ ORACLES: dict[str, str] = {
     "relevance_check": f"""WITH {PREPARED}, f AS (SELECT *, {declined('answer')} AS phrase, {similarity('question', 'answer')} AS s FROM prepared)
       SELECT conv_id, turn, CASE WHEN phrase IS NOT NULL THEN 'fail' WHEN s < 0.3 THEN 'warning' ELSE 'pass' END AS result,
         CASE WHEN phrase IS NOT NULL THEN 0.9::DOUBLE WHEN s < 0.3 THEN 0.7::DOUBLE ELSE 0.8::DOUBLE END AS confidence,
-        phrase, CASE WHEN phrase IS NULL THEN round(s, 6) END AS score FROM f""",
+        coalesce(phrase, '') AS phrase, CASE WHEN phrase IS NULL THEN round(s, 6) ELSE -1 END AS score FROM f""",
     "hallucination_check": f"""WITH {PREPARED}, f AS (SELECT *, {issues('answer')} + {LOW_COVERAGE}::INT AS issues FROM prepared)
       SELECT conv_id, turn, CASE WHEN issues > 0 THEN 'warning' ELSE 'pass' END AS result,
         CASE WHEN issues > 0 THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS confidence, issues FROM f""",
@@ -586,7 +586,7 @@ ORACLES: dict[str, str] = {
       FROM (SELECT DISTINCT conv_id FROM conversations) c
       LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.role = 'assistant' GROUP BY c.conv_id""",
     "answer_pairs": f"""WITH {RAW_PAIRS} SELECT conv_id, turn, md5(question) AS question, md5(answer) AS answer,
-      md5(context) AS context FROM raw_pairs""",
+      coalesce(md5(context), '') AS context FROM raw_pairs""",
     "session_filter": f"""WITH s AS (SELECT conv_id, turn, regexp_replace(CASE (conv_id + turn) % 11 WHEN 0 THEN ' Quit ' WHEN 1 THEN '  ' ELSE text END,
         '^[{SPACE}]+|[{SPACE}]+$', '', 'g') AS question FROM conversations),
       open AS (SELECT *, sum(CASE WHEN lower(question) IN ({', '.join(lit(w) for w in rules.EXIT_WORDS)}) THEN 1 ELSE 0 END)
@@ -598,8 +598,8 @@ ORACLES: dict[str, str] = {
       length(question) AS question_length, CASE WHEN turn > 1 THEN conv_id::VARCHAR ELSE 'anonymous' END AS "user",
       conv_id::VARCHAR AS session, 'chain' AS execution_mode, (context IS NOT NULL)::INT AS num_retrieved_docs,
       length(answer) AS answer_length, coalesce(length(context), 0)::DOUBLE AS avg_doc_length,
-      CASE WHEN length(context) > 200 THEN substr(context, 1, 200) || '...' ELSE context END AS content,
-      CASE WHEN turn > 1 THEN conv_id::VARCHAR END AS pair_user, md5(answer) AS pair_answer FROM pairs""",
+      CASE WHEN length(context) > 200 THEN substr(context, 1, 200) || '...' ELSE coalesce(context, '') END AS content,
+      CASE WHEN turn > 1 THEN conv_id::VARCHAR ELSE '' END AS pair_user, md5(answer) AS pair_answer FROM pairs""",
     "rate_limit": f"WITH {LIMITED} SELECT event_id, key AS event_type, flag AS allowed FROM decided",
     "rate_usage": f"""WITH {LIMITED}, used AS (SELECT d.event_id, key AS event_type, {MICROS} AS t FROM decided d JOIN events USING (event_id) WHERE flag),
       c AS (SELECT *, count(*) OVER (PARTITION BY event_type ORDER BY t RANGE BETWEEN {q.RATE_WINDOW * 1_000_000} PRECEDING AND CURRENT ROW) AS n FROM used)

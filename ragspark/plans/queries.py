@@ -354,8 +354,8 @@ def relevance_check(spark: SparkSession, folder: str) -> DataFrame:
         "turn",
         F.col("r.result").alias("result"),
         F.col("r.confidence").alias("confidence"),
-        meta["detected_phrase"].alias("phrase"),
-        F.round(meta["relevance_score"], 6).alias("score"),
+        F.coalesce(meta["detected_phrase"], F.lit("")).alias("phrase"),
+        F.coalesce(F.round(meta["relevance_score"], 6), F.lit(-1.0)).alias("score"),
     )
 
 
@@ -789,7 +789,7 @@ def answer_pairs(spark: SparkSession, folder: str) -> DataFrame:
         "turn",
         F.md5("question").alias("question"),
         F.md5("answer").alias("answer"),
-        F.md5("context").alias("context"),
+        F.coalesce(F.md5("context"), F.lit("")).alias("context"),
     )
 
 
@@ -838,8 +838,8 @@ def query_log(spark: SparkSession, folder: str) -> DataFrame:
         "num_retrieved_docs",
         "answer_length",
         "avg_doc_length",
-        F.get("docs", F.lit(0))["content"].alias("content"),
-        F.get_json_object("qa_pair", "$.user_id").alias("pair_user"),
+        F.coalesce(F.get("docs", F.lit(0))["content"], F.lit("")).alias("content"),
+        F.coalesce(F.get_json_object("qa_pair", "$.user_id"), F.lit("")).alias("pair_user"),
         F.md5(F.get_json_object("qa_pair", "$.answer")).alias("pair_answer"),
     )
 

@@ -22,7 +22,8 @@ def _decide(
 ) -> DataFrame:
     """The batch rule with the admitted times of a key as its state.
 
-    Rows of one trigger are taken in time order. State is dropped once the watermark
+    Rows of one trigger are taken in time order, all of a key's together, so the source
+    should bound its triggers. State is dropped once the watermark
     (which the stream must carry on ``ts``) has passed the last admitted call.
     """
     timed = stream.withColumn("__t", epoch_micros(stream, ts))
