@@ -71,3 +71,18 @@ def map_texts(
 def learns_from(doc_id: str) -> F.Column:
     """Rows that a model may learn from: crc32 of the id as text, modulo 3, is not 1."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) != 1
+
+
+def kept_in_worker(name: str, make: Callable[[], object]) -> object:
+    """A value made once in a Python worker and found again by its later tasks.
+
+    Code shipped by value has fresh globals in each task, so the value lives in a module of its own.
+    """
+    import sys
+    import types
+
+    home = sys.modules.setdefault("_corpus_tables", types.ModuleType("_corpus_tables"))
+    values = home.__dict__.setdefault("values", {})
+    if name not in values:
+        values[name] = make()
+    return values[name]
