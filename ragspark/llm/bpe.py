@@ -50,13 +50,15 @@ class MergeTree:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self._trees: dict[bytes, tuple[int, ...]] = {}
-        self._stable: dict[tuple[int, int], bool] = {}
-        self._merged: dict[bytes, tuple[int, ...]] = {}
+        self._pairs: dict[int, tuple[int, ...]] = {}
 
     def encode(self, match: bytes) -> tuple[int, ...]:
         """Tokens of one match of the pre-tokenizer; a match that is a token is that token."""
         rank = self.ranks.get(match)
-        return (rank,) if rank is not None else self.tree(match)
+        if rank is not None:
+            return (rank,)
+        middle = len(match) // 2
+        return self.join(self.tree(match[:middle]), self.tree(match[middle:]))
 
     def tree(self, raw: bytes) -> tuple[int, ...]:
         if len(raw) < 2:
@@ -72,11 +74,14 @@ class MergeTree:
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """Encoding of the bytes of two encodings, from theirs."""
-        if not left or not right or self.stable(left[-1], right[0]):
+        if not left or not right:
+            return left + right
+        a, b = left[-1], right[0]
+        window = self.pair(a, b)
+        if window == (a, b):
             return left + right
         i = j = 1
         while True:
-            window = self.merge(b"".join([self.tokens[t] for t in left[len(left) - i :] + right[:j]]))
             left_ok = i == len(left) or self.stable(left[-i - 1], window[0])
             right_ok = j == len(right) or self.stable(window[-1], right[j])
             if left_ok and right_ok:
@@ -85,24 +90,27 @@ class MergeTree:
                 i = min(2 * i, len(left))
             if not right_ok:
                 j = min(2 * j, len(right))
+            window = self.merge(b"".join([self.tokens[t] for t in left[len(left) - i :] + right[:j]]))
 
-    def stable(self, a: int, b: int) -> bool:
-        """Whether the bytes of two tokens encode to these two tokens."""
-        found = self._stable.get((a, b))
+    def pair(self, a: int, b: int) -> tuple[int, ...]:
+        """Encoding of the bytes of two tokens."""
+        key = a << 32 | b
+        found = self._pairs.get(key)
         if found is None:
-            found = self.merge(self.tokens[a] + self.tokens[b]) == (a, b)
-            if len(self._stable) >= CACHE:
-                self._stable.clear()
-            self._stable[a, b] = found
+            found = self.merge(self.tokens[a] + self.tokens[b])
+            if len(self._pairs) >= CACHE:
+                self._pairs.clear()
+            self._pairs[key] = found
         return found
 
+    def stable(self, a: int, b: int) -> bool:
+        """Whether two neighbouring tokens stay as they are."""
+        return self.pair(a, b) == (a, b)
+
     def merge(self, raw: bytes) -> tuple[int, ...]:
         """Lowest-rank merges first, the leftmost of equal ones; applied to windows only."""
         if len(raw) > _SHORT:
             return self._merge_long(raw)
-        found = self._merged.get(raw)
-        if found is not None:
-            return found
         rank_of, none = self.ranks.get, _NONE
         cuts = list(range(len(raw) + 1))
         pairs = [rank_of(raw[i : i + 2], none) for i in range(len(raw) - 1)]
@@ -113,11 +121,7 @@ class MergeTree:
                 pairs[at - 1] = rank_of(raw[cuts[at - 1] : cuts[at + 1]], none)
             if at < len(pairs):
                 pairs[at] = rank_of(raw[cuts[at] : cuts[at + 2]], none)
-        found = tuple([self.ranks[raw[i:j]] for i, j in zip(cuts, cuts[1:])])
-        if len(self._merged) >= CACHE:
-            self._merged.clear()
-        self._merged[raw] = found
-        return found
+        return tuple([self.ranks[raw[i:j]] for i, j in zip(cuts, cuts[1:])])
 
     def _merge_long(self, raw: bytes) -> tuple[int, ...]:
         n = len(raw)

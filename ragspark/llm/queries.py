@@ -5,9 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import langid
+from ragspark.llm import bpe, langid, packing, quality, secrets, simhash
 from ragspark.llm.common import learns_from, table
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    return quality.classify(docs, model)
+
+
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bpe.digests(docs, bpe.public_path(RANKS))
+
 
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -16,6 +29,34 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out, "text"), net)
 
 
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found, _ = secrets.scan(docs, path="doc_id")
+    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("path").alias("doc_id"),
+        *[of_kind(kind) for kind in secrets.BASE_KINDS],
+        F.sha2(secrets.joined_spans(F.col("spans"), secrets.BASE_KINDS), 256).alias("base_sha256"),
+        secrets.joined_spans(F.col("spans")).alias("spans"),
+    )
+
+
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text", "source"))
+
+
 QUERIES = {
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_language_id": op5_language_id,
+    "op7_secret_scan": op7_secret_scan,
+    "op9_simhash": op9_simhash,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }

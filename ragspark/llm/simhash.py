@@ -57,7 +57,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     count = max(1, len(words) - shingle + 1)
     for start in range(0, count, 1 << 15):
         part = [digest(join(words[i : i + shingle]), SEED) for i in range(start, min(count, start + (1 << 15)))]
-        ends += _bits(np.array(part, np.uint64)).sum(axis=0)
+        ends += _bits(np.array(part, np.uint64)).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ends > count, bitorder="little").view("<u8")[0])
 
 
