@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import bpe, langid, packing, quality, secrets, simhash
+from ragspark.llm import bpe, langid, packing, quality, secrets, simhash, spotsigs
 from ragspark.llm.common import learns_from, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -41,6 +41,19 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spotsigs.compared(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+    )
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select(
@@ -57,6 +70,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_language_id": op5_language_id,
     "op7_secret_scan": op7_secret_scan,
+    "op8_spotsigs": op8_spotsigs,
     "op9_simhash": op9_simhash,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
