@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 
 from ragspark.llm.common import kept_in_worker, map_texts
 
-#: Entries of a cache, after which it is emptied.
-CACHE = 400_000
+#: Matches of which a worker keeps the encodings, in two generations; entries of the smaller tables.
+KNOWN = 700_000
+CACHE = 200_000
 _NONE = 1 << 40
 _SHORT = 48  # bytes up to which a plain search for the next merge is quickest
 
@@ -227,7 +228,7 @@ class TextCodec:
                 if ids is None:
                     tokens = self.tree.encode(match.encode())
                     ids = pack(f"<{len(tokens)}I", *tokens)
-                if len(known) >= CACHE // 2:
+                if len(known) >= KNOWN // 2:
                     self._older, self._known = known, {}
                     known = self._known
                 known[match] = ids

@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import bpe, langid, packing, quality, secrets, simhash, spotsigs
+from ragspark.llm import bpe, langid, packing, permindex, quality, secrets, simhash, spotsigs, tokens
 from ragspark.llm.common import learns_from, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
+
+
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return tokens.counted(docs, bpe.public_path(PIECES))
+
+
+def op2_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    rows = permindex.valid(table(spark, folder, "embeddings"))
+    return permindex.search(rows, rows.filter("id % 20 = 0"))
 
 
 def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,6 +77,8 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_permutation_index": op2_permutation_index,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_language_id": op5_language_id,
