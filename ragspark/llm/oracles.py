@@ -1,3 +1,16 @@
 """SQL restatements of the corpus queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+#: Payloads, digests and revisits from the pages alone; ids, addresses and dates by the rules of the formats.
+OP6 = """
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM (
+  SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN first_id END AS refers_to
+  FROM (
+    SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha256(body) AS payload_digest,
+      min(page_id) OVER (PARTITION BY sha256(body)) AS first_id
+    FROM (SELECT page_id, coalesce(html, '') AS body FROM pages)))
+"""
+
+ORACLES: dict[str, str] = {"op6_warc": OP6}

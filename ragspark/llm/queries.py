@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import bpe, langid, packing, permindex, quality, secrets, simhash, spotsigs, tokens
+from ragspark.llm import bpe, langid, packing, permindex, quality, secrets, simhash, spotsigs, tokens, warc
 from ragspark.llm.common import learns_from, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -40,6 +40,11 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out, "text"), net)
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    read = warc.round_trip(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found, _ = secrets.scan(docs, path="doc_id")
@@ -82,6 +87,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_language_id": op5_language_id,
+    "op6_warc": op6_warc,
     "op7_secret_scan": op7_secret_scan,
     "op8_spotsigs": op8_spotsigs,
     "op9_simhash": op9_simhash,
