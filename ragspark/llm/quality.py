@@ -206,7 +206,7 @@ def posteriors(judged: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return (
         rows.join(site, ["host", "path"], "left")
         .withColumn("site_prior", prior)
-        .withColumn("quality", F.coalesce(1 / (1 + F.exp(-odds)), F.lit(0.0)))
+        .withColumn("quality", F.when(F.col("p_doc").isNull(), F.lit(0.0)).otherwise(1 / (1 + F.exp(-odds))))
         .withColumn("keep", F.col("quality") >= threshold)
         .drop("path_n", "path_s", "host_n", "host_s")
     )
