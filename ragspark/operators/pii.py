@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import text as tx
 from ragspark.functions.arrays import bind, empty_array, running_before
-from ragspark.functions.patterns import to_jvm
+from ragspark.functions.patterns import SPACE, to_jvm
 from ragspark.operators import rules
 from ragspark.operators.checks import FAIL, PASS, WARNING, TextView, Verdict, response, skipped
 
@@ -18,9 +18,9 @@ _BLOCK = 64
 
 # What a text must hold for a match: a search far cheaper than the pattern's own.
 _NEEDS = {
-    "mail": lambda t: F.contains(t, F.lit("@")),
+    "mail": lambda t: t.rlike(r"(?iu)@[A-Za-z0-9.-]+\.[A-Z|a-z]{2}"),
     "digits": lambda t: t.rlike(r"\p{Nd}{3}"),
-    "thai": lambda t: t.rlike("[ก-๙]"),
+    "thai": lambda t: t.rlike(rf"[ก-๙][{SPACE}]+[ก-๙]"),
 }
 _NEED_OF = {
     "email": "mail",
@@ -32,6 +32,19 @@ _NEED_OF = {
     "thai_name": "thai",
 }
 
+# Sets off matches; no character of Unicode's has this value.
+_MARK = "\uffff"
+
+
+def _possessive(pattern: str, ignore_case: bool) -> str:
+    """A run gives nothing back where no character of it can stand for what must follow it."""
+    regex = to_jvm(pattern, ignore_case=ignore_case)
+    head, run = ("[A-Za-z0-9._%+-]+", "[A-Za-z0-9._%+-]++") if "@" in pattern else ("[ก-๙]+", "[ก-๙]++")
+    return regex.replace(head, run, 1)
+
+
+_LINEAR = {rules.PII["email"]: _possessive, rules.PII["thai_name"]: _possessive}
+
 
 def pii_patterns(
     custom: dict[str, str] | None = None,
@@ -59,18 +72,35 @@ def _need(name: str, pattern: str) -> str | None:
 def _hits(
     text: Column, needs: Column, name: str, pattern: str, rank: int, ignore_case: bool
 ) -> Column:
-    """Matches of one pattern and the gaps around them; ``needs`` has a flag per need."""
-    regex = to_jvm(pattern, ignore_case=ignore_case)
-    hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    gaps = F.split(text, regex, -1)
-    need = _need(name, pattern)
-    if need:
-        guard = needs[need]
-        hits = F.when(guard, hits).otherwise(empty_array("string"))
-        gaps = F.when(guard, gaps).otherwise(empty_array("string"))
+    """Matches of one pattern and the gaps around them; ``needs`` has a flag per need.
+
+    Matches are marked in one search and cut apart at the marks. A text that holds the
+    mark itself is searched twice instead.
+    """
+    regex = _LINEAR.get(pattern, to_jvm)(pattern, ignore_case=ignore_case)
+    guard = _need(name, pattern)
+    nothing = empty_array("string")
+
+    def apart(parts: Column) -> Column:
+        # text and matches take turns
+        return F.struct(
+            F.filter(parts, lambda _, i: i % 2 == 1).alias("hits"), F.filter(parts, lambda _, i: i % 2 == 0).alias("gaps")
+        )
+
+    once = F.split(F.regexp_replace(text, regex, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    twice = F.struct(
+        F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hits"), F.split(text, regex, -1).alias("gaps")
+    )
+    found = F.when(F.contains(text, F.lit(_MARK)), twice).otherwise(bind(once, apart))
+    if guard:
+        found = F.when(needs[guard], found).otherwise(F.struct(nothing.alias("hits"), nothing.alias("gaps")))
+    return bind(found, lambda f: _typed(f, name, rank))
+
+
+def _typed(found: Column, name: str, rank: int) -> Column:
     return F.struct(
-        hits.alias("hits"),
-        gaps.alias("gaps"),
+        found["hits"].alias("hits"),
+        found["gaps"].alias("gaps"),
         F.lit(rank).alias("rank"),
         F.lit(name).alias("type"),
         F.lit(rules.PII_CONFIDENCE.get(name, rules.PII_CONFIDENCE_OTHER)).alias("base"),

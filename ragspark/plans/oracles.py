@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from ragspark.operators import checks as ck
 from ragspark.operators import rules
@@ -169,11 +170,67 @@ HATE_RESULT = f"CASE WHEN {HATE_HIT} AND {HATE_SCORE} >= 0.8::DOUBLE THEN 'fail'
 
 
 def pii_pattern(kind: str) -> str:
-    return "(?i)" + rules.PII[kind]
+    # an ASCII word boundary never holds next to a Thai letter
+    body = rules.PII[kind]
+    return "(?i)" + (body.removeprefix(r"\b").removesuffix(r"\b") if kind == "thai_name" else body)
 
 
-def pii_any(x: str, kinds: list[str]) -> str:
-    return "(" + " OR ".join(f"regexp_matches({x}, {lit(pii_pattern(k))})" for k in kinds) + ")"
+def pii_source(kind: str, x: str) -> str:
+    """Text to search: for names, other letters and numbers become a digit, so that an ASCII boundary will do."""
+    if kind != "potential_name":
+        return x
+    return rf"regexp_replace(regexp_replace({x}, '[^\P{{L}}\x00-\x7F]', '0', 'g'), '[^\P{{N}}\x00-\x7F]', '0', 'g')"
+
+
+def pii_any(x: str, kinds: Iterable[str] = rules.PII) -> str:
+    return "(" + " OR ".join(f"regexp_matches({pii_source(k, x)}, {lit(pii_pattern(k))})" for k in kinds) + ")"
+
+
+PII_KINDS = ", ".join(
+    f"""{k} AS (SELECT doc_id, '{k}' AS type, {i} AS rank, {rules.PII_CONFIDENCE[k]}::DOUBLE AS base,
+      regexp_extract_all({pii_source(k, 'text')}, {lit(pii_pattern(k))}) AS m,
+      string_split_regex({pii_source(k, 'text')}, {lit(pii_pattern(k))}) AS g FROM documents)"""
+    for i, k in enumerate(rules.PII)
+)
+PII_PLACED = f"""{PII_KINDS}, every AS ({" UNION ALL ".join(f"SELECT * FROM {k}" for k in rules.PII)}),
+  spots AS (SELECT doc_id, type, rank, base, m, g, unnest(generate_series(1, len(m))) AS i FROM every WHERE len(m) > 0),
+  placed AS (SELECT doc_id, type, rank, m[i] AS value,
+    CASE WHEN type LIKE '%name' AND (length(m[i]) < 5 OR length(m[i]) > 50) THEN base * 0.5 ELSE base END AS confidence,
+    (list_sum(list_transform(g[1:i], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM spots),
+  spans AS (SELECT *, s + length(value) AS e FROM placed)"""
+
+_USER, _DIGITS = "split_part(value, '@', 1)", "length(regexp_replace(value, '[^0-9]', '', 'g'))"
+
+
+def _but_last_four(first: int) -> str:
+    """Digits of ``value`` starred, but for the last four and those before number ``first``."""
+    place = "length(regexp_replace(substr(value, 1, i), '[^0-9]', '', 'g'))"
+    return f"""array_to_string(list_transform(generate_series(1, length(value)), lambda i:
+      CASE WHEN regexp_matches(substr(value, i, 1), '[0-9]') AND {place} >= {first} AND {place} <= {_DIGITS} - 4
+      THEN '*' ELSE substr(value, i, 1) END), '')"""
+
+
+PII_MASK = f"""CASE WHEN type = 'email' AND length(value) - length(replace(value, '@', '')) = 1 THEN
+    CASE WHEN length({_USER}) > 2 THEN substr({_USER}, 1, 1) || repeat('*', length({_USER}) - 2) || right({_USER}, 1)
+      ELSE repeat('*', length({_USER})) END || '@' || split_part(value, '@', 2)
+  WHEN type LIKE 'phone%' AND length(value) > 4 THEN substr(value, 1, 2) || repeat('*', length(value) - 4) || right(value, 2)
+  WHEN type = 'credit_card' AND {_DIGITS} > 4 THEN {_but_last_four(1)}
+  WHEN type = 'thai_id' AND {_DIGITS} >= 13 THEN {_but_last_four(2)}
+  ELSE regexp_replace(value, '[^ ]', '*', 'g') END"""
+
+
+def pii_masked(source: str, text: str = "documents") -> str:
+    """``doc_id, masked_text`` with the spans of ``source`` starred; the first span on a character masks it."""
+    return f"""reached AS (SELECT *, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, rank DESC
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM {source}),
+      kept AS (SELECT *, greatest(s, reach) AS a, {PII_MASK} AS star FROM reached WHERE e > greatest(s, reach)),
+      linked AS (SELECT *, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS after FROM kept),
+      built AS (SELECT doc_id, min(a) AS head, string_agg(substr(star, a - s + 1, e - a)
+          || substr(text, e + 1, coalesce(after, length(text)) - e), '' ORDER BY a) AS body
+        FROM linked JOIN {text} USING (doc_id) GROUP BY doc_id),
+      masked AS (SELECT doc_id, CASE WHEN body IS NULL THEN text ELSE substr(text, 1, head) || body END AS masked_text
+        FROM {text} LEFT JOIN built USING (doc_id))"""
 
 
 def declined(x: str) -> str:
@@ -212,7 +269,7 @@ runs AS (SELECT conv_id, turn, [
   {length_result('question', 1, 1000)},
   CASE WHEN len({found('question', rules.PROFANITY)}) > 0 THEN 'warning' ELSE 'pass' END,
   {TOXIC_RESULT}, {HATE_RESULT},
-  CASE WHEN {pii_any('question', q.SAFE_TYPES)} THEN 'warning' ELSE 'pass' END] AS every FROM parts),
+  CASE WHEN {pii_any('question')} THEN 'warning' ELSE 'pass' END] AS every FROM parts),
 cut AS (SELECT *, CASE WHEN list_contains(every, 'fail') THEN every[1:list_position(every, 'fail')] ELSE every END AS kept FROM runs)"""
 
 INPUT_RUN = f"{PREPARED}, {INPUT_CHECKS}"
@@ -228,11 +285,9 @@ runs AS (SELECT conv_id, turn, [
   CASE WHEN declined IS NOT NULL THEN 'fail' WHEN score < 0.6 THEN 'warning' ELSE 'pass' END,
   CASE WHEN notes > 0 THEN 'warning' ELSE 'pass' END,
   {TOXIC_RESULT}, {HATE_RESULT},
-  CASE WHEN {pii_any('answer', q.SAFE_TYPES)} THEN 'warning' ELSE 'pass' END] AS every FROM parts),
+  CASE WHEN {pii_any('answer')} THEN 'warning' ELSE 'pass' END] AS every FROM parts),
 cut AS (SELECT *, CASE WHEN list_contains(every, 'fail') THEN every[1:list_position(every, 'fail')] ELSE every END AS kept FROM runs)"""
 
-# A name has ASCII letters, but its ends are bounded by any letter.
-NAMED = r"(?i)(?:^|[^\p{L}\p{N}_])[A-Z][a-z]+ [A-Z][a-z]+(?:$|[^\p{L}\p{N}_])"
 DOCUMENT_RUN = f"""parts AS (SELECT *, {toxic_levels('text', 'all')} AS lv, {hate_parts('text')}
   FROM (SELECT *, {tokens('text')} AS text_tok FROM documents)),
 runs AS (SELECT doc_id, [
@@ -240,8 +295,7 @@ runs AS (SELECT doc_id, [
   {length_result('text', 1, 1000)},
   CASE WHEN len({found('text', rules.PROFANITY)}) > 0 THEN 'warning' ELSE 'pass' END,
   {TOXIC_RESULT}, {HATE_RESULT},
-  CASE WHEN {pii_any('text', [*q.SAFE_TYPES, 'thai_name'])} OR regexp_matches(text, {lit(NAMED)})
-    THEN 'warning' ELSE 'pass' END] AS every FROM parts),
+  CASE WHEN {pii_any('text')} THEN 'warning' ELSE 'pass' END] AS every FROM parts),
 cut AS (SELECT *, CASE WHEN list_contains(every, 'fail') THEN every[1:list_position(every, 'fail')] ELSE every END AS kept FROM runs)"""
 
 WARNINGS = "len(list_filter(kept, lambda r: r = 'warning'))"
@@ -476,28 +530,27 @@ ORACLES: dict[str, str] = {
       round(CASE WHEN {HATE_HIT} THEN {HATE_SCORE} ELSE 0.9 END, 6) AS confidence
       FROM (SELECT doc_id, {hate_parts('text')} FROM documents)""",
     "pii_counts": "SELECT doc_id, " + ", ".join(
-        f"len(regexp_extract_all(text, {lit(pii_pattern(k))})) AS {k}" for k in q.SAFE_TYPES
+        f"len(regexp_extract_all({pii_source(k, 'text')}, {lit(pii_pattern(k))})) AS {k}" for k in rules.PII
     ) + " FROM documents",
-    "pii_spans": "WITH " + ", ".join(
-        f"""{k} AS (SELECT doc_id, '{k}' AS type, {rules.PII_CONFIDENCE[k]}::DOUBLE AS confidence,
-          regexp_extract_all(text, {lit(pii_pattern(k))}) AS m, string_split_regex(text, {lit(pii_pattern(k))}) AS g
-          FROM documents)"""
-        for k in q.SAFE_TYPES
-    ) + ", every AS (" + " UNION ALL ".join(f"SELECT * FROM {k}" for k in q.SAFE_TYPES) + """),
-      spots AS (SELECT doc_id, type, confidence, m, g, unnest(generate_series(1, len(m))) AS i FROM every WHERE len(m) > 0),
-      placed AS (SELECT doc_id, type, confidence, m[i] AS value,
-        (list_sum(list_transform(g[1:i], lambda x: length(x)))
-          + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM spots)
-      SELECT doc_id, type, value, s AS start, s + length(value) AS "end", confidence FROM placed""",
+    "pii_spans": f"""WITH {PII_PLACED} SELECT doc_id, type, value, s AS start, e AS "end", confidence FROM spans""",
+    "pii_masked_all": f"""WITH {PII_PLACED}, {pii_masked('spans')},
+      counts AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id)
+      SELECT doc_id, masked_text, coalesce(n, 0) AS spans FROM masked LEFT JOIN counts USING (doc_id)""",
     "pii_email_masked": f"""WITH f AS (SELECT doc_id, text, list_distinct(regexp_extract_all(text, {lit(pii_pattern('email'))})) AS m FROM documents),
       r AS (SELECT doc_id, list_reduce(list_concat([text], m), lambda acc, e: replace(acc, e,
         CASE WHEN length(split_part(e, '@', 1)) > 2 THEN substr(e, 1, 1) || repeat('*', length(split_part(e, '@', 1)) - 2)
           || substr(split_part(e, '@', 1), length(split_part(e, '@', 1)), 1)
         ELSE repeat('*', length(split_part(e, '@', 1))) END || '@' || split_part(e, '@', 2))) AS t FROM f)
       SELECT doc_id, md5(t) AS digest FROM r""",
-    "pii_verdict": f"""SELECT doc_id, CASE WHEN {pii_any('text', [k for k in q.SAFE_TYPES if k != 'phone_thai'])} THEN 'fail' ELSE 'pass' END AS result,
-      CASE WHEN {pii_any('text', [k for k in q.SAFE_TYPES if k != 'phone_thai'])} THEN 0.9::DOUBLE
-        WHEN {pii_any('text', ['phone_thai'])} THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM documents""",
+    "pii_verdict": f"""WITH {PII_PLACED}, wanted AS (SELECT * FROM spans WHERE type <> 'phone_thai'), {pii_masked('wanted')},
+      told AS (SELECT doc_id, count(*) FILTER (type <> 'phone_thai') AS n,
+        string_agg('''' || type || '''', ', ' ORDER BY s, rank) FILTER (type <> 'phone_thai') AS listed FROM spans GROUP BY doc_id)
+      SELECT doc_id, CASE WHEN n > 0 THEN 'fail' ELSE 'pass' END AS result,
+        CASE WHEN n > 0 THEN 'PII detected: [' || listed || ']' WHEN n = 0 THEN 'Only allowed PII types detected'
+          ELSE 'No PII detected' END AS message,
+        CASE WHEN n = 0 THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS confidence,
+        CASE WHEN n > 0 THEN md5(masked_text) ELSE '' END AS digest
+      FROM masked LEFT JOIN told USING (doc_id)""",
     "relevance_check": f"""WITH {PREPARED}, f AS (SELECT *, {declined('answer')} AS phrase, {similarity('question', 'answer')} AS s FROM prepared)
       SELECT conv_id, turn, CASE WHEN phrase IS NOT NULL THEN 'fail' WHEN s < 0.3 THEN 'warning' ELSE 'pass' END AS result,
         CASE WHEN phrase IS NOT NULL THEN 0.9::DOUBLE WHEN s < 0.3 THEN 0.7::DOUBLE ELSE 0.8::DOUBLE END AS confidence,

@@ -45,7 +45,6 @@ ANSWER_TAILS = [
     " I'm not sure, I think",
     "",
 ]
-SAFE_TYPES = ["email", "phone_international", "phone_thai", "thai_id", "credit_card", "ssn"]
 TEMPLATE = "Use this context:\n{context}\n\nQuestion: {question}\n"
 RATE_LIMIT, RATE_WINDOW = 3, 3600
 TTL = 86_400
@@ -296,12 +295,12 @@ def hate_documents(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def pii_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder)
-    return docs.select("doc_id", *[pii.count_pii(F.col("text"), t).alias(t) for t in SAFE_TYPES])
+    return docs.select("doc_id", *[pii.count_pii(F.col("text"), t).alias(t) for t in pii.pii_patterns()])
 
 
 @query
 def pii_spans(spark: SparkSession, folder: str) -> DataFrame:
-    found = pii.detect_pii(F.col("text"), enabled_types=SAFE_TYPES)
+    found = pii.detect_pii(F.col("text"))
     spans = explode_rows(_documents(spark, folder), ["doc_id"], found, "s")
     return spans.select(
         "doc_id",
@@ -331,11 +330,16 @@ def pii_verdict(spark: SparkSession, folder: str) -> DataFrame:
     docs = _checked(
         _documents(spark, folder),
         "text",
-        lambda v: pii.pii_check(
-            v, mask=False, allowed_types=["phone_thai"], enabled_types=SAFE_TYPES
-        ),
+        lambda v: pii.pii_check(v, allowed_types=["phone_thai"]),
+    )
+    masked = F.get_json_object("r.metadata", "$.masked_text")
+    return docs.select(
+        "doc_id",
+        F.col("r.result").alias("result"),
+        F.col("r.message").alias("message"),
+        F.col("r.confidence").alias("confidence"),
+        F.coalesce(F.md5(masked), F.lit("")).alias("digest"),
     )
-    return docs.select("doc_id", F.col("r.result").alias("result"), F.col("r.confidence").alias("confidence"))
 
 
 def _answered(
@@ -372,7 +376,7 @@ def hallucination_check(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-PLAN = {"pii_detection": {"enabled_types": SAFE_TYPES, "mask_pii": False}}
+PLAN = {"pii_detection": {"mask_pii": True}}
 
 
 def _outcome(checked: DataFrame) -> DataFrame:
