@@ -39,6 +39,7 @@ LEAST_REVISIT = 100
 #: Bytes of an archive, before compression, after which the next one is begun.
 ARCHIVE_BYTES = 64 << 20
 _LEVEL = 1
+_MOST_TASKS = 100_000
 
 # Fixed values of the formats.
 ARC_FIELDS = {
@@ -254,11 +255,15 @@ def read_arcs(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "offset", "length", "fields", "capture", "payload_bytes", "digest"])
         reader.close()
 
-    return _a_file_a_task(manifest).mapInArrow(run, "path string, offset long, length long, fields array<string>, capture long, payload_bytes long, digest string")
+    return _a_file_a_task(manifest.select("path"), manifest).mapInArrow(run, "path string, offset long, length long, fields array<string>, capture long, payload_bytes long, digest string")
 
 
-def _a_file_a_task(manifest: DataFrame) -> DataFrame:
-    return manifest.select("path").repartition("path")
+def _a_file_a_task(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Rows by the file they name, in as many partitions as the manifest has files.
+
+    Left to itself Spark would judge the names by their few bytes and put all files in one task.
+    """
+    return rows.repartition(min(_MOST_TASKS, max(1, manifest.count())), "path")
 
 
 # -- WARC -----------------------------------------------------------------------------------------------------
@@ -326,8 +331,11 @@ def decisions(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return joined.withColumn("refers_to", F.when(again, F.col("first"))).drop("first")
 
 
-def write_warcs(decided: DataFrame, folder: str) -> DataFrame:
-    """A manifest ``path`` of WARC files converted from the ARC records of ``decided``, in the order they lie in."""
+def write_warcs(decided: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
+    """A manifest ``path`` of WARC files converted from the ARC records of ``decided``, in the order they lie in.
+
+    ``manifest`` names the ARC files.
+    """
 
     def run(batches):
         reader, writer, done = ArchiveReader(), ArchiveWriter(folder, "warc"), []
@@ -345,7 +353,7 @@ def write_warcs(decided: DataFrame, folder: str) -> DataFrame:
         reader.close()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
 
-    ordered = decided.repartition("path").sortWithinPartitions("path", "offset")
+    ordered = _a_file_a_task(decided, manifest).sortWithinPartitions("path", "offset")
     return written(ordered.mapInArrow(run, "path string"), "warc-manifest")
 
 
@@ -378,7 +386,7 @@ def read_warcs(manifest: DataFrame) -> DataFrame:
         reader.close()
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, date string"
-    return _a_file_a_task(manifest).mapInArrow(run, schema)
+    return _a_file_a_task(manifest.select("path"), manifest).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -386,5 +394,5 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     spark = pages.sparkSession
     arcs = write_arcs(pages, fresh_dir(spark, "arc"), page_id, url, html)
     records = written(read_arcs(arcs), "arc-records")
-    warcs = write_warcs(decisions(records), fresh_dir(spark, "warc"))
+    warcs = write_warcs(decisions(records), arcs, fresh_dir(spark, "warc"))
     return read_warcs(warcs)
