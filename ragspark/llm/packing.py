@@ -31,6 +31,7 @@ SHARD_PIECES = 20_000
 #: A source or cluster with this share of a shard's pieces gets its own count of free bins.
 _FREQUENT = 0.01
 _MAX_FREQUENT = 64
+_MOST_TASKS = 20_000
 
 PACKED = "doc_id long, piece int, start long, length long, bin_id string, position int"
 
@@ -132,6 +133,7 @@ def pack(
             "position", pa.array(places, pa.int32())
         )
 
-    packed = dealt.groupBy("shard").applyInArrow(one, PACKED)
+    # a shard is few bytes but seconds of work, so Spark must not put shards together by their size
+    packed = dealt.repartition(min(shards, _MOST_TASKS), "shard").groupBy("shard").applyInArrow(one, PACKED)
     empty = items.filter("length = 0").select("doc_id", "piece", "start", "length", F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("int").alias("position"))
     return packed.unionByName(empty)
