@@ -13,71 +13,83 @@ from pyspark.sql import types as T
 
 METRICS = ("l2", "cosine", "dot")
 
-# At most this many question vectors are sent to every task.
-MAX_SHARED_QUESTIONS = 4096
-# ... and only if they are no larger than this in all.
-MAX_SHARED_BYTES = 64 << 20
 # Scores held at a time by one task.
 _SCORES = 4_000_000
-# Vectors and questions per block when both sides are large.
-_VECTOR_BLOCK = 50_000
-_QUESTION_BLOCK = 2_000
+# Significant digits of a cost that decide; what follows depends on the order of summation.
+_DIGITS = 12
 
 
-def _cost(questions: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
-    """Costs of all pairs, rounded so that ranks do not depend on summation order."""
+def _significant(cost: np.ndarray) -> np.ndarray:
+    scale = np.ones_like(cost)
+    some = np.abs(cost) > 0
+    scale[some] = 10.0 ** (_DIGITS - 1 - np.floor(np.log10(np.abs(cost[some]))))
+    rounded = np.round(cost * scale) / scale
+    return np.where(np.isfinite(rounded), rounded, cost)
+
+
+def _screen(questions: np.ndarray, vectors: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Costs of all pairs by one product, and how far each question's may be off."""
     products = questions @ vectors.T
-    if metric == "dot":
-        return np.round(-products, 9)
     q2 = np.einsum("ij,ij->i", questions, questions)
     v2 = np.einsum("ij,ij->i", vectors, vectors)
+    largest = v2.max(initial=0.0)
+    if metric == "dot":
+        return -products, 1e-12 * np.sqrt(q2 * largest)
     if metric == "l2":
-        return np.round(np.maximum(q2[:, None] + v2[None, :] - 2 * products, 0.0), 9)
+        return q2[:, None] + v2[None, :] - 2 * products, 1e-12 * (q2 + largest)
     norms = np.sqrt(q2)[:, None] * np.sqrt(v2)[None, :]
     cosine = np.divide(products, norms, out=np.zeros_like(products), where=norms > 0)
-    return np.round(1.0 - cosine, 9)
+    return 1.0 - cosine, np.full(len(q2), 1e-11)
+
 
+def _exact(questions: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
+    """Costs of pairs row by row, from differences where the product would cancel."""
+    if metric == "dot":
+        return _significant(-np.einsum("ij,ij->i", questions, vectors))
+    if metric == "l2":
+        apart = vectors - questions
+        return _significant(np.einsum("ij,ij->i", apart, apart))
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        size = np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+        return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
-class _Best:
-    """The k cheapest vectors per question seen so far; ties go to the smaller id."""
+    q, v = unit(questions), unit(vectors)
+    apart = v - q
+    both = q.any(axis=1) & v.any(axis=1)
+    return np.round(np.where(both, np.einsum("ij,ij->i", apart, apart) / 2, 1.0), _DIGITS)
 
-    def __init__(self, questions: np.ndarray, k: int, metric: str, carry: bool) -> None:
-        self.questions, self.k, self.metric, self.carry = questions, k, metric, carry
-        self.vector: np.ndarray | None = None
-        self.q = np.empty(0, dtype=np.int64)
-        self.cost = np.empty(0)
-        self.id: np.ndarray | None = None
 
-    def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        step = max(1, _SCORES // max(1, len(self.questions)))
-        for a in range(0, len(ids), step):
-            self._offer(ids[a : a + step], vectors[a : a + step])
+def _nearest(
+    questions: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, metric: str
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Question, vector and cost of the k cheapest pairs of each question; ties go to the smaller id.
 
-    def _offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        cost = _cost(self.questions, vectors, self.metric)
-        if cost.shape[1] > self.k:
-            limit = np.partition(cost, self.k - 1, axis=1)[:, self.k - 1]
+    Pairs that the screening cannot tell from the k-th are costed exactly, so it loses none.
+    """
+    near_q, near_v, near_cost = [], [], []
+    step = max(1, _SCORES // max(1, len(questions)))
+    pairs = max(1, _SCORES // max(1, vectors.shape[1]))
+    for a in range(0, len(ids), step):
+        cost, off = _screen(questions, vectors[a : a + step], metric)
+        if cost.shape[1] > k:
+            limit = np.partition(cost, k - 1, axis=1)[:, k - 1] + 2 * off
             q, v = np.nonzero(cost <= limit[:, None])
         else:
             q, v = (x.ravel() for x in np.indices(cost.shape))
-        self.q = np.concatenate([self.q, q])
-        self.cost = np.concatenate([self.cost, cost[q, v]])
-        self.id = ids[v] if self.id is None else np.concatenate([self.id, ids[v]])
-        if self.carry:
-            new = vectors[v].astype(np.float32)
-            self.vector = new if self.vector is None else np.concatenate([self.vector, new])
-        order = np.lexsort((self.id, self.cost, self.q))
-        q = self.q[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        order = order[place < self.k]
-        self.q, self.cost, self.id = self.q[order], self.cost[order], self.id[order]
-        if self.vector is not None:
-            self.vector = self.vector[order]
+        for b in range(0, len(q), pairs):
+            some_q, some_v = q[b : b + pairs], v[b : b + pairs] + a
+            near_q.append(some_q)
+            near_v.append(some_v)
+            near_cost.append(_exact(questions[some_q], vectors[some_v], metric))
+    q, v, cost = np.concatenate(near_q), np.concatenate(near_v), np.concatenate(near_cost)
+    order = np.lexsort((ids[v], cost, q))
+    place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+    order = order[place < k]
+    return q[order], v[order], cost[order]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
@@ -93,75 +105,6 @@ def _score(cost: Column, metric: str) -> Column:
     return -cost if metric == "dot" else 1.0 - cost
 
 
-def _candidates_shared(
-    questions: pd.DataFrame, vectors: DataFrame, vid: str, vec: str, qid: str, k: int, metric: str,
-    schema: T.StructType, carry: bool,
-) -> DataFrame:
-    keys = questions["q"].tolist()
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in questions["v"]])
-    shared = vectors.sparkSession.sparkContext.broadcast((keys, matrix))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = shared.value
-        best = _Best(held, k, metric, carry)
-        for batch in batches:
-            batch = batch.filter(batch.column(1).is_valid())
-            best.offer(_ids(batch.column(0)), _matrix(batch.column(1)))
-        if best.id is not None:
-            columns = [
-                pa.array([names[i] for i in best.q], type=q_type),
-                pa.array(best.id.tolist(), type=v_type),
-                pa.array(best.cost),
-            ]
-            if carry:
-                columns.append(pa.array(list(best.vector), type=pa.list_(pa.float32())))
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    q_type, v_type = to_arrow_type(schema[qid].dataType), to_arrow_type(schema[vid].dataType)
-    return vectors.select(vid, vec).mapInArrow(run, schema)
-
-
-def _candidates_blocked(
-    questions: DataFrame, vectors: DataFrame, qid: str, qvec: str, vid: str, vec: str, k: int,
-    metric: str, schema: T.StructType, n_questions: int, n_vectors: int, carry: bool,
-) -> DataFrame:
-    """Every block of questions meets every block of vectors in a task of its own.
-
-    Blocks are cut by hash of the id, so their size does not depend on the data,
-    and a pair of blocks returns k rows per question, never its pairs.
-    """
-    qb = -(-n_questions // _QUESTION_BLOCK)
-    vb = -(-n_vectors // _VECTOR_BLOCK)
-    left = vectors.select(
-        vid,
-        F.col(vec).alias("__v"),
-        F.pmod(F.xxhash64(vid), F.lit(vb)).alias("__vb"),
-        F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("__qb"),
-    )
-    right = questions.select(
-        F.col(qid).alias(qid),
-        F.col(qvec).alias("__q"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(vb - 1).cast("long"))).alias("__vb"),
-        F.pmod(F.xxhash64(qid), F.lit(qb)).cast("int").alias("__qb"),
-    )
-
-    def meet(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        vs, qs = vs[vs["__v"].notna()], qs[qs["__q"].notna()]
-        if vs.empty or qs.empty:
-            return pd.DataFrame({name: [] for name in schema.names})
-        best = _Best(np.stack(qs["__q"]).astype(np.float64), k, metric, carry)
-        ids = vs[vid].to_numpy()
-        best.offer(ids.astype(str) if ids.dtype == object else ids, np.stack(vs["__v"]).astype(np.float64))
-        out = pd.DataFrame({qid: qs[qid].to_numpy()[best.q], vid: best.id, "__cost": best.cost})
-        return out.assign(vector=list(best.vector)) if carry else out
-
-    return (
-        left.groupBy("__vb", "__qb").cogroup(right.groupBy("__vb", "__qb")).applyInPandas(meet, schema)
-    )
-
-
 def top_k(
     questions: DataFrame,
     vectors: DataFrame,
@@ -171,48 +114,91 @@ def top_k(
     question_vector: str = "embedding",
     vector: str = "embedding",
     metric: str = "l2",
-    max_shared: int = MAX_SHARED_QUESTIONS,
+    blocks: int | None = None,
     carry: bool = False,
 ) -> DataFrame:
     """The ``k`` nearest vectors of each question: ``qid, vid, score, rank``.
 
     Null vectors are left out, here and not by a filter, which would compute an
     embedding column twice. With ``carry`` the vectors found come along as ``vector``, which saves joining them.
+    A question id that is given twice is asked once, with the smaller vector.
 
-    Exact. ``score`` is the distance for ``l2`` and the similarity otherwise. Ranks
-    follow the score rounded to nine digits, then the vector id.
+    Exact. ``score`` is the distance for ``l2`` and the similarity otherwise. Ranks follow the cost to twelve
+    digits (of its own size; of one for ``cosine``), then the vector id.
 
-    Up to ``max_shared`` questions (and ``MAX_SHARED_BYTES``) travel to the vectors, which then are neither
-    shuffled nor copied; this reads the questions once to know. Beyond that, blocks
-    of both sides meet. Either way a task keeps k rows per question.
+    One plan for all sizes, and no job while it is built: vectors are shuffled once into ``blocks`` (the session's
+    shuffle partitions, if not given), each question goes to every block and streams past the vectors
+    that its task holds, and a block returns k rows per question. A task holds one block of vectors, so ``blocks``
+    is chosen as for any join, by the memory of an executor.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     if k < 1:
         raise ValueError("k must be positive")
+    session = vectors.sparkSession
+    count = blocks or int(session.conf.get("spark.sql.shuffle.partitions"))
+    q_field, v_field = questions.schema[qid], vectors.schema[vid]
     schema = T.StructType(
         [
-            T.StructField(qid, questions.schema[qid].dataType),
-            T.StructField(vid, vectors.schema[vid].dataType),
+            T.StructField(qid, q_field.dataType),
+            T.StructField(vid, v_field.dataType),
             T.StructField("__cost", T.DoubleType()),
         ]
         + ([T.StructField("vector", T.ArrayType(T.FloatType()))] if carry else [])
     )
-    head = (
-        questions.select(F.col(qid).alias("q"), F.col(question_vector).alias("v"))
-        .limit(max_shared + 1)
-        .toPandas()
+    as_vector = F.col(vector).cast("array<double>").alias("__v")
+    held = vectors.select(
+        F.pmod(F.xxhash64(vid), F.lit(count)).cast("int").alias("__block"),
+        F.lit(False).alias("__asks"),
+        F.lit(None).cast(q_field.dataType).alias("__q"),
+        F.col(vid).alias("__id"),
+        as_vector,
+    )
+    once = questions.groupBy(F.col(qid).alias("__q")).agg(F.min(F.col(question_vector).cast("array<double>")).alias("__v"))
+    asked = once.select(
+        F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("__block"),
+        F.lit(True).alias("__asks"),
+        "__q",
+        F.lit(None).cast(v_field.dataType).alias("__id"),
+        "__v",
+    )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, vectors_held, ids = None, [], None, None
+        for batch in batches:
+            blocks_in = batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.diff(blocks_in)) + 1
+            for a, b in zip([0, *edges], [*edges, len(blocks_in)]):
+                if b == a:
+                    continue
+                part = batch.slice(a, b - a)
+                if blocks_in[a] != block:
+                    block, parts, vectors_held = int(blocks_in[a]), [], None
+                part = part.filter(part.column(4).is_valid())
+                asks = part.column(1).to_numpy(zero_copy_only=False)
+                own = int(np.searchsorted(asks, True))
+                if own:
+                    parts.append((_ids(part.column(3).slice(0, own)), _matrix(part.column(4).slice(0, own))))
+                if own == len(part) or not parts:
+                    continue
+                if vectors_held is None:
+                    ids, vectors_held = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                some = part.slice(own)
+                q, v, cost = _nearest(_matrix(some.column(4)), vectors_held, ids, k, metric)
+                columns = [some.column(2).take(pa.array(q)), pa.array(ids[v].tolist(), type=v_type), pa.array(cost)]
+                if carry:
+                    columns.append(pa.array(list(vectors_held[v].astype(np.float32)), type=pa.list_(pa.float32())))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    v_type = to_arrow_type(v_field.dataType)
+    found = (
+        held.union(asked)
+        .repartition(count, "__block")
+        .sortWithinPartitions("__block", "__asks")
+        .mapInArrow(run, schema)
     )
-    known = head[head["v"].notna()]
-    if known.empty and len(head) <= max_shared:
-        found = vectors.sparkSession.createDataFrame([], schema)
-    elif len(head) <= max_shared and known["v"].map(len).sum() * 8 <= MAX_SHARED_BYTES:
-        found = _candidates_shared(known, vectors, vid, vector, qid, k, metric, schema, carry)
-    else:
-        found = _candidates_blocked(
-            questions, vectors, qid, question_vector, vid, vector, k, metric, schema,
-            questions.count(), vectors.count(), carry,
-        )
     order = Window.partitionBy(qid).orderBy("__cost", vid)
     return (
         found.withColumn("rank", F.row_number().over(order))
@@ -250,7 +236,8 @@ def diverse_top_k(
     near = top_k(
         questions, vectors, fetch_k, qid, vid, question_vector, vector, "l2", carry=True
     )
-    rows = near.join(questions.select(qid, F.col(question_vector).alias("__q")), qid)
+    once = questions.groupBy(qid).agg(F.min(F.col(question_vector)).alias("__q"))
+    rows = near.join(once, qid)
     schema = T.StructType([near.schema[qid], near.schema[vid], T.StructField("rank", T.IntegerType())])
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:

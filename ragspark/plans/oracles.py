@@ -327,8 +327,8 @@ sim AS (SELECT *, CASE WHEN nd > 0 AND nb > 0 THEN d / (sqrt(nb) * sqrt(nd)) ELS
 
 def document_hits(k: int) -> str:
     return f"""{DOCUMENT_PAIRS}, hits AS (SELECT * FROM (SELECT item_id AS question_id, doc_id AS vec_id,
-      round(1 - round(1.0::DOUBLE - cosine, 9), 6) AS score,
-      row_number() OVER (PARTITION BY item_id ORDER BY round(1.0::DOUBLE - cosine, 9), doc_id) AS rank FROM sim)
+      round(1 - round(1.0::DOUBLE - cosine, 12), 6) AS score,
+      row_number() OVER (PARTITION BY item_id ORDER BY round(1.0::DOUBLE - cosine, 12), doc_id) AS rank FROM sim)
       WHERE rank <= {k})"""
 
 
@@ -336,6 +336,9 @@ CENTRES = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::
 centres AS (SELECT label AS question_id, list(m ORDER BY i) AS qv FROM (
   SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e)
   GROUP BY label, i) GROUP BY label)"""
+# the twelve digits that decide
+SIGNIFICANT = "CASE WHEN c = 0 THEN 0 ELSE round(c, 11 - floor(log10(abs(c)))::INT) END"
+
 
 COSTS = {
     "l2": "list_sum(list_transform(list_zip(qv, v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))",
@@ -346,8 +349,8 @@ SCORES = {"l2": "sqrt(cost)", "dot": "-cost", "cosine": "1 - cost"}
 
 
 def nearest(k: int, metric: str) -> str:
-    return f"""{CENTRES}, costs AS (SELECT question_id, vec_id, label, round({COSTS[metric]}, 9) AS cost
-      FROM centres CROSS JOIN e),
+    return f"""{CENTRES}, costs AS (SELECT question_id, vec_id, label, {'round(c, 12)' if metric == 'cosine' else SIGNIFICANT} AS cost
+      FROM (SELECT question_id, vec_id, label, {COSTS[metric]} AS c FROM centres CROSS JOIN e)),
     hits AS (SELECT * FROM (SELECT question_id, vec_id, label, round({SCORES[metric]}, 6) AS score,
       row_number() OVER (PARTITION BY question_id ORDER BY cost, vec_id) AS rank FROM costs) WHERE rank <= {k})"""
 

@@ -43,13 +43,11 @@ def frames(spark, grid):
 
 
 @pytest.mark.parametrize("metric", rt.METRICS)
-@pytest.mark.parametrize("shared", [4096, 5])
-def test_top_k_is_exact(spark, grid, metric, shared, monkeypatch):
-    monkeypatch.setattr(rt, "_VECTOR_BLOCK", 90)
-    monkeypatch.setattr(rt, "_QUESTION_BLOCK", 7)
+@pytest.mark.parametrize("blocks", [None, 1, 37])
+def test_top_k_is_exact(spark, grid, metric, blocks, monkeypatch):
     monkeypatch.setattr(rt, "_SCORES", 500)
     q, v = frames(spark, grid)
-    rows = rt.top_k(q, v, 6, metric=metric, max_shared=shared, carry=True).collect()
+    rows = rt.top_k(q.union(q), v, 6, metric=metric, blocks=blocks, carry=True).collect()
     got = {}
     for r in sorted(rows, key=lambda r: (r.question_id, r["rank"])):
         got.setdefault(r.question_id, []).append(r.vec_id)
@@ -57,6 +55,31 @@ def test_top_k_is_exact(spark, grid, metric, shared, monkeypatch):
     assert got == nearest(*grid, 6, metric)
 
 
+@pytest.mark.parametrize("scale", [1e-5, 1.0, 1e4])
+@pytest.mark.parametrize("shift", [0.0, 1.0])
+def test_order_holds_at_any_scale(spark, scale, shift):
+    rows = [(i, [shift + scale * i, shift]) for i in range(40)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(1, [shift + scale * 20, shift]), (2, [shift + scale * 3.2, shift])], "question_id long, embedding array<double>")
+    got = rt.top_k(q, v, 3).orderBy("question_id", "rank").collect()
+    assert [r.vec_id for r in got] == [20, 19, 21, 3, 4, 2]
+    assert [r.score for r in got] == pytest.approx([0, scale, scale, 0.2 * scale, 0.8 * scale, 1.2 * scale], rel=1e-4, abs=1e-18)
+
+
+def test_many_questions(spark):
+    q = spark.range(20_000).select(F.col("id").alias("question_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+    v = spark.range(300).select((F.col("id") * 70).alias("vec_id"), F.array((F.col("id") * 70).cast("double"), F.lit(1.0)).alias("embedding"))
+    got = rt.top_k(q, v, 2)
+    assert got.count() == 40_000
+    far = got.filter("rank = 1").filter(F.abs(F.col("question_id") - F.col("vec_id")) > 35)
+    assert far.count() == 0
+
+
+def test_building_reads_nothing(spark):
+    bad = spark.range(3).select(F.col("id").alias("vec_id"), F.raise_error(F.lit("read")).cast("array<double>").alias("embedding"))
+    rt.top_k(bad.withColumnRenamed("vec_id", "question_id"), bad, 2)
+
+
 def test_string_ids_and_few_vectors(spark):
     q = spark.createDataFrame([("q", [1.0, 0.0])], "question_id string, embedding array<double>")
     v = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0])], "vec_id string, embedding array<double>")
