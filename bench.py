@@ -41,6 +41,7 @@ def main() -> None:
         f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": cpus,
+            "ragspark.documents.partitions": str(2 * int(cpus)),
             "spark.driver.memory": "12g",
             "spark.ui.showConsoleProgress": "false",
         },

@@ -238,9 +238,3 @@ def word_frequency(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Corpus-wide word counts; partial sums keep the shuffle at one row per word and task."""
     words = explode_rows(df, [], counted_words(F.col(text_col)), "word")
     return words.groupBy("word").agg(F.count("*").alias("count"))
-
-
-def word_frequency_by(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """Word counts per key; the word is part of the grouping, so a hot key spreads out."""
-    words = explode_rows(df, keys, counted_words(F.col(text_col)), "word")
-    return words.groupBy(*keys, "word").agg(F.count("*").alias("count"))

@@ -67,22 +67,6 @@ def embed(text: Column, embedder: Embedder | None = None) -> Column:
     return run(text)
 
 
-def embed_expr(text: Column, dim: int = DIMENSION) -> Column:
-    """The built-in embedding as an expression, for places without Python workers."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    buckets = F.transform(
-        words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    )
-    ordered = F.sort_array(buckets)
-    return bind(
-        ordered,
-        lambda b: F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.size(F.filter(b, lambda x: x == i)).cast("float"),
-        ),
-    )
-
-
 def dot(left: Column, right: Column) -> Column:
     products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)

@@ -271,16 +271,28 @@ def rate_usage(
     )
 
 
-def call_fingerprint(name: Column, args: list[Column], with_name: bool = True) -> Column:
-    """First 16 hex digits of sha256 over name and arguments as JSON.
+def _json(value: Column) -> Column:
+    """A scalar as JSON in ASCII: other characters as escapes, in lower-case digits."""
+    text = F.regexp_extract(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", 1)
+    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+        text = F.replace(text, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    ascii_ = F.transform(
+        units,
+        lambda u: F.when(u < "007F", F.unhex(F.substring(u, 3, 2)).cast("string")).otherwise(F.concat(F.lit("\\u"), F.lower(u))),
+    )
+    return F.when(text.rlike(r"[^\x00-\x7E]"), F.array_join(ascii_, "")).otherwise(text)
+
+
+def call_fingerprint(name: Column, args: list[Column], with_name: bool = True, kwargs: dict[str, Column] | None = None) -> Column:
+    """First 16 hex digits of sha256 over name, arguments and named arguments (by name) as JSON.
 
     Without the name, calls of different functions with equal arguments share a
     fingerprint.
     """
-    listed = F.concat(
-        F.lit("["), F.concat_ws(", ", *[F.regexp_extract(F.to_json(F.array(a)), r"(?s)^\[(.*)\]$", 1) for a in args]), F.lit("]")
-    )
-    body = F.concat(listed, F.lit(":{}"))
+    listed = F.concat(F.lit("["), F.concat_ws(", ", *[_json(a) for a in args]), F.lit("]"))
+    named = [F.concat(F.lit(f'"{k}": '), _json(v)) for k, v in sorted((kwargs or {}).items())]
+    body = F.concat(listed, F.lit(":{"), F.concat_ws(", ", *named), F.lit("}"))
     if with_name:
         body = F.concat(name, F.lit(":"), body)
     return F.substring(F.sha2(body, 256), 1, 16)

@@ -104,10 +104,6 @@ def prepare(df: DataFrame, text_col: str, name: str) -> tuple[DataFrame, TextVie
     return out, TextView(text, F.col(lower), F.col(folded), F.col(words))
 
 
-def drop_prepared(df: DataFrame, *names: str) -> DataFrame:
-    return df.drop(*[f"__{n}_{part}" for n in names for part in _PARTS])
-
-
 def response(
     name: str, result: Column, message: Column, confidence: Column, metadata: Column | None = None
 ) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from ragspark.operators import checks as ck
 from ragspark.operators import rules
 from ragspark.plans import queries as q
 
@@ -132,15 +131,25 @@ def phrase(x: str, text: str) -> str:
     return holds(x, re.findall(r"\w+", text))
 
 
+# severities of the toxicity patterns, in their order
+LEVELS = [1.0, 0.5, 1.0, 0.6, 0.5, 1.0, 0.6, 0.5]
+
+
+def words_of(pattern: str) -> list[str]:
+    """Words of a pattern that is one bounded group; the letter of the boundary counts as one."""
+    inside = pattern.removeprefix(r"\b(").removesuffix(r")\b")
+    return ["b", *inside.replace("|", " ").replace(".", " ").split()]
+
+
 def toxic_levels(x: str, match: str) -> str:
     cases = []
-    for p in rules.TOXICITY:
+    for i, p in enumerate(rules.TOXICITY):
         hit = (
-            holds(x, ck.pattern_words(p))
+            holds(x, words_of(p))
             if match == "all"
             else f"regexp_matches(lower({x}), {lit(bounded(p))})"
         )
-        cases.append(f"CASE WHEN {hit} THEN {ck.toxicity_level(p)}::DOUBLE END")
+        cases.append(f"CASE WHEN {hit} THEN {LEVELS[i]}::DOUBLE END")
     return f"list_max([{', '.join(cases)}])"
 
 
@@ -516,7 +525,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN len(hits) > 0 THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS confidence,
         array_to_string(hits, ' ; ') AS found FROM f""",
     "token_profanity_check": f"""WITH {PREPARED} SELECT conv_id, turn,
-      CASE WHEN {' OR '.join(holds('question', ck.pattern_words(p)) for p in rules.PROFANITY)} THEN 'fail' ELSE 'pass' END AS all_words,
+      CASE WHEN {' OR '.join(holds('question', words_of(p)) for p in rules.PROFANITY)} THEN 'fail' ELSE 'pass' END AS all_words,
       CASE WHEN len({found('question', rules.PROFANITY)}) > 0 THEN 'fail' ELSE 'pass' END AS any_word FROM prepared""",
     "toxicity_all": f"WITH {PAIRS} " + toxicity("pairs", "conv_id, turn", "question", "all"),
     "toxicity_any": toxicity("documents", "doc_id", "text", "any"),
@@ -667,3 +676,18 @@ ORACLES: dict[str, str] = {
     "latest_template": """SELECT source, max(doc_id) AS doc_id, md5(arg_max(text, doc_id)) AS digest
       FROM documents GROUP BY source""",
 }
+
+ORACLES["rate_limit_on_stream"] = ORACLES["rate_limit"]
+ORACLES["ttl_reuse_on_stream"] = ORACLES["ttl_reuse"]
+# escapes of letters beyond ASCII, all in the first plane here
+_ESCAPED = """array_to_string(list_transform(string_split(head, ''), lambda c: CASE WHEN c = chr(10) THEN '\\n' WHEN c = chr(9) THEN '\\t'
+  WHEN c = chr(13) THEN '\\r' WHEN c = '"' THEN '\\"' WHEN c = '\\' THEN '\\\\' WHEN unicode(c) > 127 THEN '\\u' || lpad(lower(to_hex(unicode(c))), 4, '0')
+  ELSE c END), '')"""
+ORACLES["call_fingerprint_named"] = f"""SELECT doc_id, substr(sha256(lang || ':[]:{{"id": ' || doc_id || ', "text": "' || {_ESCAPED} || '"}}'), 1, 16) AS fingerprint
+  FROM (SELECT doc_id, lang, substr(text, 1, 200) AS head FROM documents)"""
+ORACLES["rendered_templates"] = """WITH told AS (SELECT r_name, n_nationkey, n_name, max(n_nationkey) OVER (PARTITION BY r_name) AS latest
+    FROM nation JOIN region ON n_regionkey = r_regionkey),
+  asked AS (SELECT c_custkey, c_name, r_name, CASE WHEN c_custkey % 3 > 0 THEN n_nationkey END AS wanted
+    FROM customer JOIN told ON c_nationkey = n_nationkey)
+  SELECT c_custkey, 'v' || wanted AS template_version, 'As of {' || n_name || '}: ask ' || c_name || ' of ' || a.r_name AS prompt
+  FROM asked a JOIN told t ON a.r_name = t.r_name AND n_nationkey = coalesce(wanted, latest)"""

@@ -12,7 +12,6 @@ from ragspark.functions import vectors as vec
 from ragspark.functions.arrays import explode_rows
 from ragspark.operators import admission, analytics, chunking, evaluation, pii, retrieval, sessions
 from ragspark.operators import checks as ck
-from ragspark.operators.partitions import spread
 from ragspark.plans import guardrails, ingestion
 from ragspark.session import fresh_dir
 from ragspark.sources import files, templates
@@ -77,8 +76,10 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents; ``ragspark.documents.partitions``, if the session sets it, spreads files with too few row groups."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
-    return spread(docs, "doc_id")
+    partitions = spark.conf.get("ragspark.documents.partitions", None)
+    return docs.repartition(int(partitions), "doc_id") if partitions else docs
 
 
 def _flat(resp: Column, *more: Column) -> list[Column]:
@@ -891,3 +892,63 @@ def ttl_reuse(spark: SparkSession, folder: str) -> DataFrame:
 def latest_template(spark: SparkSession, folder: str) -> DataFrame:
     out = templates.latest_templates(_documents(spark, folder), "source", "doc_id", "text")
     return out.select("source", "doc_id", F.md5("text").alias("digest"))
+
+
+@query
+def call_fingerprint_named(spark: SparkSession, folder: str) -> DataFrame:
+    """Named arguments, among them texts with letters beyond ASCII."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", F.substring("text", 1, 200).alias("head"))
+    print_ = admission.call_fingerprint(F.col("lang"), [], kwargs={"text": F.col("head"), "id": F.col("doc_id")})
+    return docs.select("doc_id", print_.alias("fingerprint"))
+
+
+@query
+def rendered_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers joined to a template table by name and version, the latest where none is named, and rendered."""
+    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
+    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    told = rows.select(
+        F.col("r_name").alias("name"),
+        F.concat(F.lit("v"), F.col("n_nationkey")).alias("version"),
+        F.col("n_nationkey").cast("int").alias("number"),
+        F.concat(F.lit("As of {{"), "n_name", F.lit("}}: ask {who} of {place}")).alias("template"),
+    )
+    named = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("v"), F.col("c_nationkey")))
+    asked = (
+        table(spark, folder, "customer")
+        .join(rows.select("n_nationkey", "r_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select("c_custkey", "c_name", F.col("r_name").alias("template_name"), named.alias("template_version"))
+    )
+    joined = templates.with_templates(asked, told)
+    text = retrieval.render(F.col("template"), {"who": F.col("c_name"), "place": F.col("template_name")})
+    return joined.select("c_custkey", "template_version", text.alias("prompt"))
+
+
+def _on_stream(spark: SparkSession, folder: str, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Decisions on events that arrive in four parts, by time; the stream stops after each and goes on with the next."""
+    events = table(spark, folder, "events")
+    timed = events.select("event_id", F.timestamp_micros(admission.epoch_micros(events, "ts")).alias("ts"), "event_type", "user_id")
+    at = timed.agg(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75]).alias("at")).first()["at"] or []
+    source, path, state = fresh_dir(spark, "events"), fresh_dir(spark, "decided"), fresh_dir(spark, "decided-state")
+    for low, high in zip([None, *at], [*at, None]):
+        part = timed if low is None else timed.filter(F.unix_micros("ts") > low)
+        part = part if high is None else part.filter(F.unix_micros("ts") <= high)
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(timed.schema).parquet(source).withWatermark("ts", "1 hour")
+        policies.log_stream(decide(stream), path, state, availableNow=True).awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query
+def rate_limit_on_stream(spark: SparkSession, folder: str) -> DataFrame:
+    limit = lambda s: policies.rate_limit_stream(s, ["event_type"], "ts", "event_id", RATE_LIMIT, RATE_WINDOW)
+    return _on_stream(spark, folder, limit).select("event_id", "event_type", "allowed")
+
+
+@query
+def ttl_reuse_on_stream(spark: SparkSession, folder: str) -> DataFrame:
+    def reuse(stream: DataFrame) -> DataFrame:
+        calls = stream.select("event_id", "ts", _fingerprint("user_id").alias("fingerprint"))
+        return policies.ttl_reuse_stream(calls, ["fingerprint"], "ts", "event_id", TTL)
+
+    return _on_stream(spark, folder, reuse).select("event_id", "fingerprint", "is_hit")

@@ -2,23 +2,6 @@
 
 from pyspark.sql import types as T
 
-DOCUMENT = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("source", T.StringType()),
-    ]
-)
-
-CHUNK = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("chunk_no", T.IntegerType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("source", T.StringType()),
-    ]
-)
-
 VECTORS = T.StructType(
     [
         T.StructField("chunk_id", T.StringType()),
@@ -40,8 +23,6 @@ RESPONSE = (
     "struct<validator:string,result:string,message:string,confidence:double,metadata:string>"
 )
 
-SPAN = "struct<type:string,value:string,start:int,end:int,confidence:double>"
-
 ANSWER_SCORES = "relevance double, coherence double, accuracy double, overall_quality double"
 
 RAG_SCORES = (

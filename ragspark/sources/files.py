@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragspark import schemas
@@ -41,19 +41,25 @@ def read_documents(spark: SparkSession, folder: str, names: list[str]) -> DataFr
 
 
 def with_doc_id(df: DataFrame, source: str = "source") -> DataFrame:
-    """Add a ``doc_id`` that stays the same when the job is repeated."""
-    return df.withColumn("doc_id", F.xxhash64(source))
+    """Add a ``doc_id`` of 128 bits that stays the same when the job is repeated."""
+    return df.withColumn("doc_id", F.md5(source))
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """Test cases of a JSON array; missing fields are empty. Adds a stable ``question_id``."""
+    """Test cases of a JSON array; missing fields are empty. Adds a stable ``question_id``.
+
+    A case that is given again is a case of its own, with an id of its own.
+    """
     rows = spark.read.schema(schemas.GOLDEN).json(path, multiLine=True)
-    return rows.select(
-        F.xxhash64("question", F.coalesce("ideal_answer", F.lit(""))).alias("question_id"),
+    whole = rows.select(
         "question",
         F.coalesce("ideal_answer", F.lit("")).alias("ideal_answer"),
         F.coalesce("ideal_context", F.expr("cast(array() as array<string>)")).alias("ideal_context"),
     )
+    times = Window.partitionBy("question", "ideal_answer").orderBy("ideal_context")
+    return whole.withColumn("question_id", F.xxhash64("question", "ideal_answer", F.row_number().over(times))).select(
+        "question_id", "question", "ideal_answer", "ideal_context"
+    )
 
 
 def write_vectors(df: DataFrame, path: str) -> None:

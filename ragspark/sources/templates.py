@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _VERSIONED = r"^(.+)_v([^_]*)$"
 
@@ -12,30 +16,55 @@ def _stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.yaml$", 1)
 
 
+@F.pandas_udf(T.StringType())
+def _template_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Value of the key ``template``, read by a YAML library; anything but a text or number is null."""
+    try:
+        import yaml
+    except ImportError as missing:
+        raise ImportError("templates are YAML: install PyYAML on the executors") from missing
+
+    def value(text: str | None) -> str | None:
+        found = yaml.safe_load(text) if text else None
+        found = found.get("template") if isinstance(found, dict) else None
+        return str(found) if isinstance(found, str | int | float) else None
+
+    for part in texts:
+        yield part.map(value)
+
+
 def read_templates(spark: SparkSession, folder: str) -> DataFrame:
     """``name, version, number, template``; a file without ``_v`` has version ``default``.
 
-    Reads a block (``template: |``) or a plain one-line value. A file without the key
-    has a null template.
+    A file without the key has a null template; a file that is not YAML is an error.
     """
     files = spark.read.option("pathGlobFilter", "*.yaml").text(folder, wholetext=True)
     stem = _stem(F.col("_metadata.file_path"))
     versioned = stem.rlike(_VERSIONED)
-    block = F.regexp_extract("value", r"(?m)^template:[ ]*\|[-+]?[ ]*\n((?:(?:[ ]+.*|[ ]*)(?:\n|\z))+)", 1)
-    indent = F.regexp_extract(block, r"\A(?:[ ]*\n)*([ ]+)", 1)
-    plain = F.regexp_extract("value", r"""(?m)^template:[ ]*["']?([^|>"'\n][^\n]*?)["']?[ ]*$""", 1)
-    body = F.regexp_replace(block, F.concat(F.lit("(?m)^"), indent), F.lit(""))
-    kept = F.concat(F.regexp_replace(body, r"\n+\z", ""), F.lit("\n"))
     return files.select(
         F.when(versioned, F.regexp_extract(stem, _VERSIONED, 1)).otherwise(stem).alias("name"),
         F.when(versioned, F.concat(F.lit("v"), F.regexp_extract(stem, _VERSIONED, 2)))
         .otherwise("default")
         .alias("version"),
         F.when(versioned, F.regexp_extract(stem, _VERSIONED, 2).try_cast("int")).alias("number"),
-        F.when(block != "", kept).when(plain != "", plain).alias("template"),
+        _template_of("value").alias("template"),
     )
 
 
+def with_templates(
+    rows: DataFrame, templates: DataFrame, name: str = "template_name", version: str = "template_version", to: str = "template"
+) -> DataFrame:
+    """``rows`` with the template they name as column ``to``; a null version is the latest.
+
+    Each row is kept; a name or version that is not there gives null. Names and versions of ``templates``
+    are taken to be unique.
+    """
+    latest = latest_templates(templates).select(F.col("name").alias("__name"), F.lit(None).cast("string").alias("__version"), F.col("template").alias(to))
+    every = templates.select(F.col("name").alias("__name"), F.col("version").alias("__version"), F.col("template").alias(to))
+    wanted = (F.col(name) == F.col("__name")) & F.col(version).eqNullSafe(F.col("__version"))
+    return rows.join(every.unionByName(latest), wanted, "left").drop("__name", "__version")
+
+
 def list_templates(templates: DataFrame) -> DataFrame:
     """Versions per name."""
     return templates.groupBy("name").agg(F.sort_array(F.collect_set("version")).alias("versions"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import deque
+import logging
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,9 +14,23 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ragspark.operators.admission import MICROS, admit, epoch_micros
+from ragspark.operators.admission import MICROS, epoch_micros
 from ragspark.sources.files import append_log
 
+log = logging.getLogger(__name__)
+
+
+def _take(history: list[int], t: int, calls: int, max_calls: int, reach: int) -> int:
+    """How many of the calls at ``t`` are admitted; ``history`` stays sorted, whatever the order of times.
+
+    The batch rule: admitted calls less than ``reach`` before ``t`` count. A call that comes late
+    is judged by those before it; what was decided after it stands.
+    """
+    after = bisect_right(history, t)
+    taken = max(0, min(calls, max_calls - (after - bisect_right(history, t - reach))))
+    history[after:after] = [t] * taken
+    return taken
+
 
 def _decide(
     stream: DataFrame, keys: list[str], ts: str, tie: str, max_calls: int, reach: int, name: str
@@ -23,8 +38,9 @@ def _decide(
     """The batch rule with the admitted times of a key as its state.
 
     Rows of one trigger are taken in time order, all of a key's together, so the source
-    should bound its triggers. State is dropped once the watermark
-    (which the stream must carry on ``ts``) has passed the last admitted call.
+    should bound its triggers. An admitted time is kept until the watermark (which the stream must
+    carry on ``ts``) has passed its reach, as a late call may still need it; a key without any is
+    dropped. Rows without a time get ``false``, as in batch.
     """
     timed = stream.withColumn("__t", epoch_micros(stream, ts))
     columns = stream.columns
@@ -34,17 +50,23 @@ def _decide(
         if state.hasTimedOut:
             state.remove()
             return
-        history = deque(state.get[0]) if state.exists else deque()
+        history = sorted(state.get[0]) if state.exists else []
         pdf = pd.concat(list(parts), ignore_index=True).sort_values(["__t", tie])
-        times, first, sizes = np.unique(pdf["__t"].to_numpy(), return_index=True, return_counts=True)
-        taken = admit(history, times, sizes, max_calls, reach)
-        place = np.arange(len(pdf)) - np.repeat(first, sizes)
+        known = pdf[pdf["__t"].notna()]
+        times, first, sizes = np.unique(known["__t"].to_numpy(dtype=np.int64), return_index=True, return_counts=True)
+        taken = np.array([_take(history, int(t), int(n), max_calls, reach) for t, n in zip(times, sizes)], dtype=np.int64)
+        place = np.arange(len(known)) - np.repeat(first, sizes)
         out = pdf[columns].copy()
-        out[name] = place < np.repeat(taken, sizes)
+        out[name] = False
+        out.loc[known.index, name] = place < np.repeat(taken, sizes)
+        passed = state.getCurrentWatermarkMs() * 1000
+        del history[: bisect_right(history, passed - reach)]
         if history:
-            state.update((list(history),))
+            state.update((history,))
             expires = (history[-1] + reach) // 1000 + 1
             state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield out
 
     return timed.groupBy(*keys).applyInPandasWithState(
@@ -75,11 +97,20 @@ def ttl_reuse_stream(
 def log_stream(
     stream: DataFrame, path: str, checkpoint: str, strict: bool = True, **trigger: object
 ) -> StreamingQuery:
-    """Append a stream of log rows to a parquet table, batch by batch.
+    """Append a stream of log rows to a parquet table of its own.
 
-    With ``strict=False`` a batch that cannot be written is reported and left out.
+    The file sink's own log makes that exactly once, also after a failure. With ``strict=False``
+    a batch that cannot be written is reported and left out; a batch that is
+    run again after a failure may then be logged twice.
     """
     writer = stream.writeStream.option("checkpointLocation", checkpoint)
     if trigger:
         writer = writer.trigger(**trigger)
-    return writer.foreachBatch(lambda df, _: append_log(df, path, strict) and None).start()
+    if strict:
+        return writer.format("parquet").option("path", path).outputMode("append").start()
+
+    def write(batch: DataFrame, number: int) -> None:
+        if not append_log(batch, path):
+            log.warning("Batch %s left out of the log", number)
+
+    return writer.foreachBatch(write).start()

@@ -96,6 +96,12 @@ def test_times_without_zone(spark):
 
 
 def test_fingerprint_is_the_json_hash(spark):
+    texts = ["x \"q\"", "สวัสดี", "é\U0001f600\n\x1f\x7f", ""]
+    for text in texts:
+        row = spark.createDataFrame([(text, 3)], "s string, n long").select(
+            ad.call_fingerprint(F.lit("f"), [F.col("s")], kwargs={"b": F.col("n"), "a": F.col("s")}).alias("k")).first()
+        key = f"f:{json.dumps([text])}:{json.dumps({'b': 3, 'a': text}, sort_keys=True)}"
+        assert row.k == hashlib.sha256(key.encode()).hexdigest()[:16]
     df = spark.createDataFrame([("multiply", 2, "x \"q\"")], "name string, n long, s string")
     got = df.select(
         ad.call_fingerprint(F.col("name"), [F.col("n"), F.col("s")]).alias("a"),

@@ -40,11 +40,11 @@ def test_ingest(spark, folder, tmp_path):
 
 def test_golden(spark, tmp_path):
     path = tmp_path / "golden.json"
-    path.write_text(json.dumps([{"question": "คำถาม", "ideal_answer": "a", "ideal_context": ["c"]}, {"question": "q"}], ensure_ascii=False))
+    path.write_text(json.dumps([{"question": "คำถาม", "ideal_answer": "a", "ideal_context": ["c"]}, {"question": "q"}, {"question": "q"}], ensure_ascii=False))
     rows = files.read_golden(spark, str(path)).orderBy(F.desc("ideal_answer")).collect()
     assert rows[0].question == "คำถาม" and rows[0].ideal_context == ["c"]
     assert rows[1].ideal_answer == "" and rows[1].ideal_context == []
-    assert rows[0].question_id != rows[1].question_id
+    assert len({r.question_id for r in rows}) == 3
 
 
 def test_results_and_log(spark, tmp_path):
@@ -65,6 +65,9 @@ def test_templates(spark, tmp_path):
     (tmp_path / "sales_support_v2.yaml").write_text(block, encoding="utf-8")
     (tmp_path / "sales_support_v10.yaml").write_text('template: "ten {question}"\n', encoding="utf-8")
     (tmp_path / "plain.yaml").write_text("template: just {question}\n", encoding="utf-8")
+    values = {"strip": "template: |-\n  a\n  b\n", "fold": "template: >\n  a\n  b\n\n  c\n", "quoted": 'template: "a\\n\\t{x}" # note\n', "single": "template: 'it''s'\n"}
+    for name, text in values.items():
+        (tmp_path / f"{name}.yaml").write_text(text, encoding="utf-8")
     (tmp_path / "broken_v1.yaml").write_text("other: x\n", encoding="utf-8")
     df = templates.read_templates(spark, str(tmp_path))
     import yaml
@@ -72,6 +75,12 @@ def test_templates(spark, tmp_path):
     assert templates.pick_template(df, "sales_support", "v2") == yaml.safe_load(block)["template"]
     assert templates.pick_template(df, "sales_support") == "ten {question}"
     assert templates.pick_template(df, "plain") == "just {question}"
+    for name, text in values.items():
+        assert templates.pick_template(df, name) == yaml.safe_load(text)["template"]
+    rows = spark.createDataFrame([(1, "sales_support", None), (2, "sales_support", "v2"), (3, "none", None), (4, None, None)], "id int, template_name string, template_version string")
+    joined = {r.id: r.template for r in templates.with_templates(rows, df).collect()}
+    assert joined == {1: "ten {question}", 2: yaml.safe_load(block)["template"], 3: None, 4: None}
+    df = df.filter(~F.col("name").isin(list(values)))
     listed = {r.name: r.versions for r in templates.list_templates(df).collect()}
     assert listed == {"sales_support": ["v10", "v2"], "plain": ["default"], "broken": ["v1"]}
     with pytest.raises(KeyError):

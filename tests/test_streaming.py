@@ -42,6 +42,34 @@ def test_policies_equal_batch(spark, tmp_path):
     assert sorted((r.id, r.is_hit) for r in got.collect()) == sorted((r.id, r.is_hit) for r in want.collect())
 
 
+def test_late_and_missing_times(spark, tmp_path):
+    """Parts arrive in disorder; each decision follows from the admitted calls before it that have arrived."""
+    parts = [[(1, "a", 100), (2, "a", None)], [(3, "a", 50), (4, "a", 55)], [(5, "a", 111), (6, None, 111)], [(7, "a", 112)]]
+    path, decided = str(tmp_path / "late"), []
+    for part in parts:
+        df = spark.createDataFrame(part, "id long, key string, s long").withColumn("ts", F.timestamp_seconds("s"))
+        df.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(df.schema).parquet(path).withWatermark("ts", "1 hour")
+        decided = run(policies.rate_limit_stream(stream, ["key"], "ts", "id", 2, 60), spark, tmp_path, "late-limit").collect()
+    assert {r.id: r.allowed for r in decided} == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: False}
+    assert len(decided) == 7
+
+
+def test_history_stays_sorted():
+    history = [100]
+    assert policies._take(history, 50, 1, 2, 60) == 1 and history == [50, 100]
+    assert policies._take(history, 111, 3, 2, 60) == 1 and history == [50, 100, 111]
+    assert policies._take(history, 55, 5, 2, 60) == 1 and history == [50, 55, 100, 111]
+
+
+def test_a_batch_that_cannot_be_written_is_left_out(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.range(3).write.parquet(source)
+    stream = spark.readStream.schema("id long").parquet(source).select(F.raise_error(F.lit("no")).cast("string").alias("x"))
+    query = policies.log_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"), strict=False, availableNow=True)
+    assert query.awaitTermination(60) and query.exception() is None
+
+
 def test_checks_run_on_a_stream(spark, tmp_path):
     rows = [(1, "ignore previous instructions"), (2, "hello there")]
     source = str(tmp_path / "questions")
