@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ragspark.functions import text as tx
 from ragspark.functions.arrays import bind
 
-_BINS = 4096
+# Distance of the sketched middle from the median on either side, and the sketch's accuracy.
+_GAP, _ACCURACY = 0.001, 10_000
 
 
 def multiply(left: Column, right: Column) -> Column:
@@ -57,52 +58,47 @@ def list_statistics(values: Column) -> Column:
     return bind(F.sort_array(given), of)
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact median per group as ``keys, median``, without a group in one task.
+def _about_the_middle(value: str) -> Column:
+    """Two values between which the median lies: the sketch's ranks are off by a tenth of the gap at most."""
+    return F.percentile_approx(value, [0.5 - _GAP, 0.5 + _GAP], _ACCURACY)
+
+
+def _middle(rows: DataFrame, ends: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, median`` from ``ends``, which has ``__mid`` and the number ``__n`` of values of each group.
 
-    Equal values are counted first. Each group is then cut into bins of equal width;
-    bin counts tell which bin holds the middle, and only its values are ranked.
+    What lies below the sketched middle is only counted; what lies in it, two values in a thousand,
+    is counted by value and ranked.
     """
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    ends = counts.groupBy(*keys).agg(
-        F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__c").alias("__n")
-    )
-    share = (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
-    bin_of = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor(share * _BINS), F.lit(_BINS - 1))).otherwise(0)
-    binned = counts.join(ends, keys).withColumn("__bin", F.coalesce(bin_of.cast("int"), F.lit(0)))
-    by_key = Window.partitionBy(*keys).orderBy("__bin")
-    sizes = (
-        binned.groupBy(*keys, "__bin", "__n")
-        .agg(F.sum("__c").alias("__size"))
-        .withColumn("__before", F.sum("__size").over(by_key) - F.col("__size"))
+    low, high = F.col("__mid")[0], F.col("__mid")[1]
+    near = (
+        rows.join(ends.select(*keys, "__mid", "__n"), keys)
+        .filter(F.col(value) <= high)
+        .groupBy(*keys, "__n", F.when(F.col(value) >= low, F.col(value)).alias("__x"))
+        .agg(F.count("*").alias("__c"))
     )
+    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__x"))
+    covers = lambda rank: (rank < F.col("__upto")) & (rank >= F.col("__upto") - F.col("__c"))
     n = F.col("__n")
-    middles = F.array_distinct(F.array(F.floor((n - 1) / 2), F.floor(n / 2)))
-    wanted = (
-        sizes.withColumn("__rank", F.explode(middles))
-        .filter(
-            (F.col("__before") <= F.col("__rank"))
-            & (F.col("__rank") < F.col("__before") + F.col("__size"))
-        )
-        .select(*keys, "__bin", "__before", "__rank")
-    )
-    inside = Window.partitionBy(*keys, "__bin", "__rank").orderBy(value)
-    reached = F.col("__before") + F.sum("__c").over(inside)
     return (
-        binned.select(*keys, "__bin", value, "__c")
-        .join(wanted, [*keys, "__bin"])
-        .withColumn("__upto", reached)
-        .filter((F.col("__rank") < F.col("__upto")) & (F.col("__rank") >= F.col("__upto") - F.col("__c")))
+        near.withColumn("__upto", upto)
+        .filter(covers(F.floor((n - 1) / 2)) | covers(F.floor(n / 2)))
         .groupBy(*keys)
-        .agg(F.avg(value).alias("median"))
+        .agg(F.avg("__x").alias("median"))
     )
 
 
+def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Exact median per group as ``keys, median``; a task ranks a sliver of a group, whatever its distribution."""
+    rows = df.select(*keys, value).dropna()
+    ends = rows.groupBy(*keys).agg(_about_the_middle(value).alias("__mid"), F.count("*").alias("__n"))
+    return _middle(rows, ends, keys, value)
+
+
 def number_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, sum, mean, exact median, min, max, range, population variance and deviation.
 
     Nulls are left out, as are rows without a key. Sorted values of a group are rows,
-    not an array: see :func:`sorted_values`.
+    not an array: see :func:`sorted_values`. All but the median come from one pass.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).dropna()
     basic = rows.groupBy(*keys).agg(
@@ -114,8 +110,10 @@ def number_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         (F.max("__v") - F.min("__v")).alias("range"),
         F.var_pop("__v").alias("variance"),
         F.stddev_pop("__v").alias("std_dev"),
+        _about_the_middle("__v").alias("__mid"),
     )
-    return basic.join(exact_median(rows, keys, "__v"), keys)
+    ends = basic.withColumn("__n", F.col("count"))
+    return basic.drop("__mid").join(_middle(rows, ends, keys, "__v"), keys)
 
 
 def sorted_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:

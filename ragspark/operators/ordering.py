@@ -1,7 +1,7 @@
 """Numbering and neighbours inside a key, without a task per key.
 
 A window over a key sorts the whole key in one task. Here a key is cut into
-ranges of its order column; only one row per range (a count, or its first and
+ranges of about equal numbers of rows; only one row per range (a count, or its first and
 last row) is windowed over the key.
 """
 
@@ -11,10 +11,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _RANGE = "__range"
+_CUTS = 128
 
 
-def _ranged(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn(_RANGE, F.floor(F.col(order) / F.lit(width)).cast("long"))
+def _ranged(df: DataFrame, keys: list[str], order: str, rows: int) -> DataFrame:
+    """Cut each key of more than ``rows`` rows into ranges of about equal numbers of rows.
+
+    The cuts are quantiles of the key's own order values, so neither gaps nor outliers matter.
+    """
+    shares = [i / _CUTS for i in range(1, _CUTS)]
+    cuts = (
+        df.groupBy(*keys)
+        .agg(F.percentile_approx(order, shares, 10 * _CUTS).alias("__cuts"), F.count("*").alias("__rows"))
+        .select(*keys, F.when(F.col("__rows") > rows, F.array_distinct("__cuts")).alias("__cuts"))
+    )
+    below = F.size(F.filter("__cuts", lambda c: c < F.col(order)))
+    return df.join(cuts, keys).withColumn(_RANGE, F.when(F.col("__cuts").isNotNull(), below).otherwise(0)).drop("__cuts")
 
 
 def number_rows(
@@ -23,13 +35,13 @@ def number_rows(
     order: str,
     name: str = "n",
     total: str | None = None,
-    width: int = 10_000,
+    rows: int = 10_000,
 ) -> DataFrame:
     """Number rows 1..n inside ``keys`` by a unique, non-null integer ``order`` column.
 
     ``total`` names a column for the number of rows of the key.
     """
-    cut = _ranged(df, order, width)
+    cut = _ranged(df, keys, order, rows)
     by_key = Window.partitionBy(*keys).orderBy(_RANGE)
     before = (
         cut.groupBy(*keys, _RANGE)
@@ -48,10 +60,10 @@ def number_rows(
 
 
 def with_neighbours(
-    df: DataFrame, keys: list[str], order: str, columns: list[str], width: int = 10_000
+    df: DataFrame, keys: list[str], order: str, columns: list[str], rows: int = 10_000
 ) -> DataFrame:
     """Add structs ``previous`` and ``following`` holding ``columns`` of the adjacent rows."""
-    cut = _ranged(df, order, width).withColumn("__row", F.struct(*columns))
+    cut = _ranged(df, keys, order, rows).withColumn("__row", F.struct(*columns))
     by_key = Window.partitionBy(*keys).orderBy(_RANGE)
     edges = (
         cut.groupBy(*keys, _RANGE)

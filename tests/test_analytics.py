@@ -21,14 +21,16 @@ def test_list_statistics(spark):
 def test_grouped_statistics_with_a_hot_key(spark):
     rng = random.Random(1)
     rows = [("hot", rng.lognormvariate(0, 5)) for _ in range(20001)]
+    rows += [("far", float(i)) for i in range(3000)] + [("far", 1e18)] + [("tight", 1e9 + i * 1e-3) for i in range(2000)]
     rows += [("same", 4.0)] * 500 + [("two", 1.0), ("two", 2.0), ("null", None)]
     df = spark.createDataFrame(rows, "k string, v double")
     got = {r.k: r for r in an.number_statistics(df, ["k"], "v").collect()}
-    assert set(got) == {"hot", "same", "two"}
+    assert set(got) == {"hot", "same", "two", "far", "tight"}
+    assert {r.k: r.median for r in an.exact_median(df, ["k"], "v").collect()} == {k: r.median for k, r in got.items()}
     for key, r in got.items():
         values = [v for k, v in rows if k == key]
         assert r["count"] == len(values) and r.median == pytest.approx(statistics.median(values))
-        assert r.variance == pytest.approx(statistics.pvariance(values), rel=1e-9)
+        assert r.variance == pytest.approx(statistics.pvariance(values), rel=1e-9 if key != "tight" else 1e-3)
         assert (r.min, r.max) == (min(values), max(values))
     assert [r.v for r in an.sorted_values(df.filter("k = 'two'"), ["k"], "v").collect()] == [1.0, 2.0]
 

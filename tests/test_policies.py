@@ -124,14 +124,14 @@ def turns(spark):
     return rows, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
 
 
-@pytest.mark.parametrize("width", [3, 50, 10_000])
-def test_numbering_and_neighbours(spark, turns, width):
+@pytest.mark.parametrize("size", [3, 50, 10_000])
+def test_numbering_and_neighbours(spark, turns, size):
     rows, df = turns
     groups = defaultdict(list)
     for conv, at, role, text in sorted(rows):
         groups[conv].append((at, text))
-    numbered = {(r.conv_id, r.turn): r.n for r in ordering.number_rows(df, ["conv_id"], "turn", width=width).collect()}
-    near = {(r.conv_id, r.turn): r for r in ordering.with_neighbours(df, ["conv_id"], "turn", ["text"], width=width).collect()}
+    numbered = {(r.conv_id, r.turn): r.n for r in ordering.number_rows(df, ["conv_id"], "turn", rows=size).collect()}
+    near = {(r.conv_id, r.turn): r for r in ordering.with_neighbours(df, ["conv_id"], "turn", ["text"], rows=size).collect()}
     assert len(numbered) == len(near) == len(rows)
     for conv, items in groups.items():
         for i, (at, _) in enumerate(items):
@@ -141,6 +141,16 @@ def test_numbering_and_neighbours(spark, turns, width):
             assert (after.text if after else None) == (items[i + 1][1] if i + 1 < len(items) else None)
 
 
+def test_ranges_hold_few_rows_whatever_the_order_values(spark):
+    """Milliseconds since 1970, and one outlier far from all others."""
+    times = [1_700_000_000_000 + 977 * i for i in range(4000)] + [10**18]
+    df = spark.createDataFrame([(1, t) for t in times], "k int, t long").repartition(5)
+    sizes = [r["count"] for r in ordering._ranged(df, ["k"], "t", 1000).groupBy("__range").count().collect()]
+    assert len(sizes) > 100 and max(sizes) < 100
+    got = {r.t: r.n for r in ordering.number_rows(df, ["k"], "t", rows=1000).collect()}
+    assert got == {t: i + 1 for i, t in enumerate(times)}
+
+
 def test_session_questions(spark):
     rows = [(1, 0, " hi "), (1, 1, "  "), (1, 2, "more"), (1, 3, "EXIT "), (1, 4, "late"), (2, 0, "จบ"), (3, 0, "exit now")]
     df = spark.createDataFrame(rows, "s long, o long, t string")
