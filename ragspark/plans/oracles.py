@@ -691,3 +691,35 @@ ORACLES["rendered_templates"] = """WITH told AS (SELECT r_name, n_nationkey, n_n
     FROM customer JOIN told ON c_nationkey = n_nationkey)
   SELECT c_custkey, 'v' || wanted AS template_version, 'As of {' || n_name || '}: ask ' || c_name || ' of ' || a.r_name AS prompt
   FROM asked a JOIN told t ON a.r_name = t.r_name AND n_nationkey = coalesce(wanted, latest)"""
+
+# Lines that are short enough are packed in runs; a longer line, and a text of one line, is packed by words.
+# Words of a thousand characters, which would be cut further, do not occur. A chunk begins with the tail of
+# the one before, as far as two hundred characters and the next piece allow.
+ORACLES["recursive_chunks"] = rf"""WITH RECURSIVE split AS (
+    SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i = 1 THEN x ELSE chr(10) || x END) AS parts
+    FROM documents),
+  lines AS (SELECT doc_id, n, line, len(parts) = 1 OR length(line) >= 1000 AS long FROM (
+    SELECT doc_id, parts, unnest(parts) AS line, generate_subscripts(parts, 1) AS n FROM split) WHERE line <> ''),
+  grouped AS (SELECT *, sum(long::INT) OVER (PARTITION BY doc_id ORDER BY n) * 2 - long::INT AS run FROM lines),
+  runs AS (SELECT doc_id, run, list(line ORDER BY n) AS p FROM grouped WHERE NOT long GROUP BY ALL
+    UNION ALL
+    SELECT doc_id, run, list_filter(list_transform(string_split(line, ' '), lambda x, i: CASE WHEN i = 1 THEN x ELSE ' ' || x END),
+      lambda x: x <> '') FROM grouped WHERE long),
+  summed AS (SELECT doc_id, run, p, list_transform(range(1, len(p) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT) AS c
+    FROM runs WHERE len(p) < 200
+    UNION ALL
+    SELECT doc_id, run, p, c FROM (SELECT doc_id, run, any_value(p) AS p, list(upto ORDER BY i) AS c FROM (
+      SELECT doc_id, run, p, i, sum(length(p[i])) OVER (PARTITION BY doc_id, run ORDER BY i)::BIGINT AS upto
+      FROM (SELECT doc_id, run, p, generate_subscripts(p, 1) AS i FROM runs WHERE len(p) >= 200)) GROUP BY doc_id, run)),
+  pack AS (
+    SELECT doc_id, run, 1 AS k, 1 AS s, greatest(1, len(list_filter(c, lambda x: x <= 1000))) AS e FROM summed
+    UNION ALL
+    SELECT doc_id, run, k + 1, s, greatest(e + 1, len(list_filter(c, lambda x: x - base <= 1000))) FROM (
+      SELECT doc_id, run, k, e, c, s, CASE WHEN s = 1 THEN 0 ELSE c[s - 1] END AS base FROM (
+        SELECT doc_id, run, k, e, c, 1 + len(list_filter(list_prepend(0, c[1:e]), lambda x:
+          c[e] - x > 200 OR (c[e] - x > 0 AND c[e] - x + length(p[e + 1]) > 1000))) AS s
+        FROM pack JOIN summed USING (doc_id, run) WHERE e < len(p)))),
+  texts AS (SELECT doc_id, run, k, regexp_replace(array_to_string(p[s:e], ''), '^[{SPACE}]+|[{SPACE}]+$', '', 'g') AS chunk
+    FROM pack JOIN summed USING (doc_id, run))
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY run, k) - 1)::INT AS chunk_no, length(chunk) AS chars, md5(chunk) AS digest
+  FROM texts WHERE chunk <> ''"""
