@@ -227,9 +227,17 @@ def training_windows(
     Rows whose id is null or whose crc32 modulo 3 is 1, and rows without a language or text, are left out.
     """
     rows = docs.filter(learns_from(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    named = rows.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"))
+    counts = named.groupBy("lang").count().collect()  # a row for each language
+    if not counts:
+        return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64)
+    # hashes low enough to be among the first: a few times as many rows as are taken, whatever the corpus holds
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4 * per_language / r["count"]))])[F.col("lang")]
+    hashed = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1))
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
     chosen = (
-        rows.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"))
+        named.withColumn("hash", hashed)
+        .filter(F.col("hash") <= share * float(1 << 53))
         .withColumn("n", F.row_number().over(order))
         .filter(F.col("n") <= per_language)
         .select("doc_id")
