@@ -50,9 +50,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip(os.sep)
 
 
+_made: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A path below :func:`shared_dir` that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below :func:`shared_dir` that no other run uses; :func:`discard` deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete what this driver has written below :func:`shared_dir`; results that still read it must be saved before."""
+    gone = 0
+    while _made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return gone
 
 
 def ship_package() -> None:

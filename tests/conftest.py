@@ -6,7 +6,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from ragspark.session import build_session, ship_package  # noqa: E402
+from ragspark.session import build_session, discard, ship_package  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,6 +26,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    discard(session)
     session.stop()
 
 

@@ -106,3 +106,12 @@ def test_quick_evaluations(spark, folder, tmp_path):
     _, summary = quick.quick_rag_eval(spark, system, str(path))
     row = summary.first()
     assert (row.avg_answer_relevance, row.avg_accuracy, row.successful_queries) == (10.0, 5.0, 2)
+
+
+def test_scratch_tables_are_deleted(spark):
+    from ragspark.session import discard, fresh_dir
+
+    path = fresh_dir(spark, "scratch")
+    spark.range(3).write.parquet(path)
+    assert files._exists(spark, path) and discard(spark) >= 1
+    assert not files._exists(spark, path) and discard(spark) == 0
