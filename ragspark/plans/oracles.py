@@ -684,7 +684,7 @@ _ESCAPED = """array_to_string(list_transform(string_split(head, ''), lambda c: C
   WHEN c = chr(13) THEN '\\r' WHEN c = '"' THEN '\\"' WHEN c = '\\' THEN '\\\\' WHEN unicode(c) > 127 THEN '\\u' || lpad(lower(to_hex(unicode(c))), 4, '0')
   ELSE c END), '')"""
 ORACLES["call_fingerprint_named"] = f"""SELECT doc_id, substr(sha256(lang || ':[]:{{"id": ' || doc_id || ', "text": "' || {_ESCAPED} || '"}}'), 1, 16) AS fingerprint
-  FROM (SELECT doc_id, lang, substr(text, 1, 200) AS head FROM documents)"""
+  FROM (SELECT doc_id, lang, text AS head FROM documents)"""
 ORACLES["rendered_templates"] = """WITH told AS (SELECT r_name, n_nationkey, n_name, max(n_nationkey) OVER (PARTITION BY r_name) AS latest
     FROM nation JOIN region ON n_regionkey = r_regionkey),
   asked AS (SELECT c_custkey, c_name, r_name, CASE WHEN c_custkey % 3 > 0 THEN n_nationkey END AS wanted

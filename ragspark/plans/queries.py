@@ -897,8 +897,8 @@ def latest_template(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def call_fingerprint_named(spark: SparkSession, folder: str) -> DataFrame:
     """Named arguments, among them texts with letters beyond ASCII."""
-    docs = table(spark, folder, "documents").select("doc_id", "lang", F.substring("text", 1, 200).alias("head"))
-    print_ = admission.call_fingerprint(F.col("lang"), [], kwargs={"text": F.col("head"), "id": F.col("doc_id")})
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    print_ = admission.call_fingerprint(F.col("lang"), [], kwargs={"text": F.col("text"), "id": F.col("doc_id")})
     return docs.select("doc_id", print_.alias("fingerprint"))
 
 
