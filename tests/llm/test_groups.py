@@ -301,3 +301,11 @@ def test_archives_read_across_blocks(tmp_path):
     reader.close()
     with open(places[0][0], "rb") as file:
         assert gzip.decompress(file.read()) == b"".join(bodies)
+
+
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op2_permutation_index", "op5_language_id", "op6_warc")])
+def test_no_query_plans_a_cross_join(spark, data, name):
+    plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    if name == "op8_spotsigs":
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
