@@ -723,3 +723,7 @@ ORACLES["recursive_chunks"] = rf"""WITH RECURSIVE split AS (
     FROM pack JOIN summed USING (doc_id, run))
   SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY run, k) - 1)::INT AS chunk_no, length(chunk) AS chars, md5(chunk) AS digest
   FROM texts WHERE chunk <> ''"""
+
+ORACLES["text_files"] = """SELECT conv_id, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn) || chr(10)) AS digest, true AS named
+  FROM conversations GROUP BY conv_id"""
+ORACLES["results_file"] = ORACLES["text_stats"]

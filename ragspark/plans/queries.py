@@ -952,3 +952,23 @@ def ttl_reuse_on_stream(spark: SparkSession, folder: str) -> DataFrame:
         return policies.ttl_reuse_stream(calls, ["fingerprint"], "ts", "event_id", TTL)
 
     return _on_stream(spark, folder, reuse).select("event_id", "fingerprint", "is_hit")
+
+
+@query
+def text_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations written as text files, a turn a line, and read back as documents."""
+    path = fresh_dir(spark, "texts")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("value"))
+    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    ordered.select("conv_id", "value").write.partitionBy("conv_id").text(path)
+    read = files.with_doc_id(files.read_documents(spark, path, ["conv_id=*/part-*"]))
+    conv = F.regexp_extract("source", r"conv_id=(\d+)/", 1).cast("long")
+    return read.select(conv.alias("conv_id"), F.md5("text").alias("digest"), (F.length("doc_id") == 32).alias("named"))
+
+
+@query
+def results_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all turns written by the result sink and read back."""
+    path = fresh_dir(spark, "results")
+    files.write_results(text_stats(spark, folder), path)
+    return spark.read.schema(text_stats(spark, folder).schema).json(path)
