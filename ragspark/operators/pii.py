@@ -33,7 +33,7 @@ _NEED_OF = {
 }
 
 # Sets off matches; no character of Unicode's has this value.
-_MARK = "\uffff"
+_MARK, _OTHER = "\uffff", "\ufffe"
 
 
 def _possessive(pattern: str, ignore_case: bool) -> str:
@@ -74,8 +74,8 @@ def _hits(
 ) -> Column:
     """Matches of one pattern and the gaps around them; ``needs`` has a flag per need.
 
-    Matches are marked in one search and cut apart at the marks. A text that holds the
-    mark itself is searched twice instead.
+    Matches are marked in one search and cut apart at the marks. A custom pattern searches a text
+    that holds the mark itself twice instead.
     """
     regex = _LINEAR.get(pattern, to_jvm)(pattern, ignore_case=ignore_case)
     guard = _need(name, pattern)
@@ -87,11 +87,17 @@ def _hits(
             F.filter(parts, lambda _, i: i % 2 == 1).alias("hits"), F.filter(parts, lambda _, i: i % 2 == 0).alias("gaps")
         )
 
-    once = F.split(F.regexp_replace(text, regex, f"{_MARK}$0{_MARK}"), _MARK, -1)
-    twice = F.struct(
-        F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hits"), F.split(text, regex, -1).alias("gaps")
-    )
-    found = F.when(F.contains(text, F.lit(_MARK)), twice).otherwise(bind(once, apart))
+    def once(body: Column) -> Column:
+        return bind(F.split(F.regexp_replace(body, regex, f"{_MARK}$0{_MARK}"), _MARK, -1), apart)
+
+    if rules.PII.get(name) == pattern:
+        # no built-in pattern matches either character, so one may stand for the other
+        found = once(F.translate(text, _MARK, _OTHER))
+    else:
+        twice = F.struct(
+            F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hits"), F.split(text, regex, -1).alias("gaps")
+        )
+        found = F.when(F.contains(text, F.lit(_MARK)), twice).otherwise(once(text))
     if guard:
         found = F.when(needs[guard], found).otherwise(F.struct(nothing.alias("hits"), nothing.alias("gaps")))
     return bind(found, lambda f: _typed(f, name, rank))

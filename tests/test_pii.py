@@ -64,6 +64,15 @@ def test_spans_and_masks_against_python(spark, documents):
         assert len(row.m.masked_text) == len(text)
 
 
+def test_texts_that_hold_the_mark(spark):
+    text = "\uffff a@b.co\uffffc@d.org \uffff0812345678"
+    df = spark.createDataFrame([(text,)], "text string")
+    got = df.select(pii.mask_pii(F.col("text"), {"mark": "\uffff."}).alias("m")).first().m
+    want = spans(text, {**rules.PII, "mark": "\uffff."})
+    assert [(s.start, s.end, s.type, s.value) for s in got.spans] == [(a, c, k, v) for a, _, c, k, v in want]
+    assert got.masked_text == masked(text, want)
+
+
 def test_confidence(spark):
     df = spark.createDataFrame([("Al Bo meets Alexander Hamilton",)], "text string")
     got = df.select(pii.detect_pii(F.col("text"), enabled_types=["potential_name"]).alias("s")).first().s
