@@ -100,3 +100,12 @@ def test_odd_rows_pass_each_stage(spark, data, stage):
     if name == "secret scans":
         assert len(kept) == len(rows) and [r.text for r in kept if r.doc_id == 4] == ["[assign] and other words"]
     assert run(spark, docs.filter("false"), data).count() == 0
+
+
+def test_one_row_of_each_group_whatever_its_id(spark, data):
+    """Null and repeated ids on different texts: no group vanishes and none stays twice; ties go to the smaller text."""
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcd")
+    rows = [(None, a), (None, b), (7, b), (5, c), (5, d), (9, d), (5, d.upper()), (8, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    kept = cp.near_dedup(spark, docs, data).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, a), (None, b), (5, c), (5, d.upper())], key=str)
