@@ -5,9 +5,10 @@ from collections import defaultdict
 
 import corpus_pipeline as cp
 import pytest
+from pyspark.sql import functions as F
 from test_groups import Union, plain_fingerprint
 
-from ragspark.llm import nearcopies, secrets
+from ragspark.llm import nearcopies, quality, secrets
 from ragspark.llm.common import written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -145,3 +146,19 @@ def test_near_copies_have_jaccard_of_four_fifths(spark, block_rows, block_shingl
     far = [p for p in pairs if (plain_fingerprint(texts[p[0]]) ^ plain_fingerprint(texts[p[1]])).bit_count() > 4]
     assert len(far) > 50 and sum(got[i] == got[j] for i, j in pairs) >= 0.99 * len(pairs)
     assert all(union.find(i) == union.find(got[i]) for i in got) and len(got) == len(texts)
+
+
+def test_rows_are_judged_one_by_one(spark, data):
+    """A blank or poor row takes no other row of its id along, null or not."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    good = {(r.text, r.source, r.lang) for r in cp.quality_classifier(spark, docs, data).collect()}
+    assert 0 < len(good) < docs.count()
+    same = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(7)).cast("long"))
+    mixed = docs.unionByName(same.withColumn("text", F.when(F.col("doc_id").isNull(), F.lit(" ")).otherwise(F.col("text"))).filter("text = ' '").limit(3))
+    shared = mixed.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(1 << 40)).cast("long"))
+    model = quality.fit(shared, spark.read.parquet(f"{data}/labels.parquet"))
+    numbered = written(shared.withColumn("n", F.monotonically_increasing_id()), "numbered")
+    keeps = {r.doc_id for r in quality.classify(numbered, model, doc_id="n").filter("keep").select("doc_id").collect()}
+    expected = sorted((str(r.doc_id), r.text) for r in numbered.collect() if r.n in keeps)
+    got = sorted((str(r.doc_id), r.text) for r in cp.quality_classifier(spark, shared, data).collect())
+    assert got == expected and {i for i, _ in got} == {"None", str(1 << 40)}
