@@ -24,7 +24,7 @@ from ragspark.llm.common import text_slices, written
 KINDS = ("assign", "access", "hex", "pem", "jwt")
 BASE_KINDS = KINDS[:3]
 #: Rule versions: bump a name when its rules change, and only that version is scanned again.
-RULES = {"base-1": BASE_KINDS, "blocks-1": KINDS[3:]}
+RULES = {"base-1": BASE_KINDS, "blocks-2": KINDS[3:]}
 
 LEDGER = "blob string, rules string, spans array<struct<start: int, rank: int, kind: string, end: int>>"
 
@@ -34,11 +34,43 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _ASSIGNED = 6
-# Further kinds: private key headers and signed web tokens.
-_PEM = re.compile(r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----")
+# Further kinds: private keys from the header to the end of the key, and signed web tokens.
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]{2,12} ){0,3}PRIVATE KEY(?: BLOCK)?)-----")
+# Inside a key without an END line; line ends may be written as \\n.
+_GAP = re.compile(r"(?:\s|\\[nr])*")
+_FIELD = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\r\n\\]*")
+_BASE64 = re.compile(r"[A-Za-z0-9+/=]+")
+_LINE_ENDS = re.compile(r"[^\S\r\n]*(?:[\r\n]|\\[nr]|[\"'`]|\Z)")
+_FULL_LINE = 16
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,2000}\.eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{16,2000}")
 
 
+def _key_end(text: str, at: int, label: str) -> int:
+    """End of the private key whose header ends at ``at``: its END line, or else the end of its base64 block."""
+    following = text.find("-----BEGIN ", at)
+    last = f"-----END {label}-----"
+    closed = text.find(last, at, following if following >= 0 else len(text))
+    if closed >= 0:
+        return closed + len(last)
+    end = at
+    while field := _FIELD.match(text, _GAP.match(text, end).end()):
+        end = field.end()
+    # a short word belongs to the key only as its last line, or as the check sum after that
+    while block := _BASE64.match(text, _GAP.match(text, end).end()):
+        short = len(block[0]) < _FULL_LINE
+        if short and (end == at or not _LINE_ENDS.match(text, block.end())):
+            break
+        end = block.end()
+        if short and not text.startswith("=", _GAP.match(text, end).end()):
+            break
+    return end
+
+
+def _keys(text: str) -> Iterator[tuple[int, int]]:
+    for m in _PEM.finditer(text):
+        yield m.start(), _key_end(text, m.end(), m[1])
+
+
 def find(text: str, kinds: tuple[str, ...]) -> list[tuple[int, int, str, int]]:
     """Sorted ``(start, rank of the kind, kind, end)`` of a whole text.
 
@@ -57,7 +89,10 @@ def find(text: str, kinds: tuple[str, ...]) -> list[tuple[int, int, str, int]]:
             continue
         if kind == "jwt" and "eyJ" not in text or kind == "pem" and "-----BEGIN " not in text:
             continue
-        pattern = {"access": _ACCESS, "hex": _HEX, "pem": _PEM, "jwt": _JWT}[kind]
+        if kind == "pem":
+            out += [(start, rank, kind, end) for start, end in _keys(text)]
+            continue
+        pattern = {"access": _ACCESS, "hex": _HEX, "jwt": _JWT}[kind]
         out += [(m.start(), rank, kind, m.end()) for m in pattern.finditer(text)]
     return sorted(out)
 
