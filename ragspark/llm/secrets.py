@@ -24,7 +24,7 @@ from ragspark.llm.common import text_slices, written
 KINDS = ("assign", "access", "hex", "pem", "jwt")
 BASE_KINDS = KINDS[:3]
 #: Rule versions: bump a name when its rules change, and only that version is scanned again.
-RULES = {"base-1": BASE_KINDS, "blocks-2": KINDS[3:]}
+RULES = {"base-1": BASE_KINDS, "blocks-3": KINDS[3:]}
 
 LEDGER = "blob string, rules string, spans array<struct<start: int, rank: int, kind: string, end: int>>"
 
@@ -42,7 +42,9 @@ _FIELD = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|Message
 _BASE64 = re.compile(r"[A-Za-z0-9+/=]+")
 _LINE_ENDS = re.compile(r"[^\S\r\n]*(?:[\r\n]|\\[nr]|[\"'`]|\Z)")
 _FULL_LINE = 16
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,2000}\.eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{16,2000}")
+# Web tokens: maximal runs first, their parts are tested afterwards.
+_RUN = re.compile(r"[A-Za-z0-9_.-]+")
+_SEGMENT, _SIGNATURE = 11, 16
 
 
 def _key_end(text: str, at: int, label: str) -> int:
@@ -71,6 +73,26 @@ def _keys(text: str) -> Iterator[tuple[int, int]]:
         yield m.start(), _key_end(text, m.end(), m[1])
 
 
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of three parts joined by dots, of which the first two hold JSON objects; in one pass over the text."""
+    for run in _RUN.finditer(text):
+        if "eyJ" not in run[0]:
+            continue
+        parts, starts, at = run[0].split("."), [], run.start()
+        for part in parts:
+            starts.append(at)
+            at += len(part) + 1
+        i = 0
+        while i + 2 < len(parts):
+            head, body, signed = parts[i : i + 3]
+            begin = head.find("eyJ")
+            if begin >= 0 and len(head) - begin >= _SEGMENT and body.startswith("eyJ") and len(body) >= _SEGMENT and len(signed) >= _SIGNATURE:
+                yield starts[i] + begin, starts[i + 2] + len(signed)
+                i += 3
+            else:
+                i += 1
+
+
 def find(text: str, kinds: tuple[str, ...]) -> list[tuple[int, int, str, int]]:
     """Sorted ``(start, rank of the kind, kind, end)`` of a whole text.
 
@@ -89,10 +111,10 @@ def find(text: str, kinds: tuple[str, ...]) -> list[tuple[int, int, str, int]]:
             continue
         if kind == "jwt" and "eyJ" not in text or kind == "pem" and "-----BEGIN " not in text:
             continue
-        if kind == "pem":
-            out += [(start, rank, kind, end) for start, end in _keys(text)]
+        if kind in ("pem", "jwt"):
+            out += [(start, rank, kind, end) for start, end in (_keys if kind == "pem" else _tokens)(text)]
             continue
-        pattern = {"access": _ACCESS, "hex": _HEX, "jwt": _JWT}[kind]
+        pattern = {"access": _ACCESS, "hex": _HEX}[kind]
         out += [(m.start(), rank, kind, m.end()) for m in pattern.finditer(text)]
     return sorted(out)
 

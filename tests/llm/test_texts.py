@@ -306,6 +306,15 @@ def test_private_keys_are_masked_whole():
     assert masked("-----BEGIN PRIVATE KEY-----\n" * 20_000).count("[pem]") == 20_000
 
 
+@pytest.mark.parametrize("head, body, signed", [(8, 8, 16), (2000, 2000, 2000), (2001, 8, 16), (8, 2001, 16), (8, 8, 2001), (90_000, 90_000, 90_000)])
+def test_web_tokens_of_any_length(head, body, signed):
+    token = "eyJ" + "a" * head + ".eyJ" + "b" * body + "." + "c" * signed
+    assert masked(f"x {token} y, {token}.more www.{token}") == "x [jwt] y, [jwt].more www.[jwt]"
+    assert masked("Bearer_" + token) == "Bearer_[jwt]"
+    for part in ("eyJ" + "a" * 7 + ".eyJ" + "b" * 8 + "." + "c" * 16, "eyJ" + "a" * 8 + ".b." + "c" * 16, "eyJ" + "a" * 8 + ".eyJ" + "b" * 8 + "." + "c" * 15, "eyJ" * 90_000):
+        assert masked(part) == part
+
+
 def test_secret_hard_rows(hard, empty):
     found, _ = secrets.scan(hard, path="doc_id")
     assert found.count() == 2 * len(HARD)
