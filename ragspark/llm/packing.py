@@ -9,6 +9,9 @@ that fits to the next until a bin without a conflict is found.
 A source or cluster with many pieces in a shard (a third of all rows, say) would make that search walk
 over all the bins it is in already; for those, the number of bins without it is kept by residual.
 
+A duplicate cluster is the texts that are equal up to case and white space. A column of clusters (near-duplicate
+groups, say) makes rows of one value conflict as well; its nulls conflict with nothing.
+
 An empty or null text is one piece of length 0 with a null bin. A null source conflicts with nothing.
 Repeated rows are packed each, and conflict as copies of one cluster. Extra columns are ignored.
 """
@@ -33,7 +36,7 @@ _FREQUENT = 0.01
 _MAX_FREQUENT = 64
 _MOST_TASKS = 20_000
 
-PACKED = "doc_id long, piece int, start long, length long, bin_id string, position int"
+_PACKED = "doc_id long, piece int, start long, length long, carried string, bin_id string, position int"
 
 
 def best_fit(sizes: list[int], conflicts: list[tuple], capacity: int) -> list[int]:
@@ -89,15 +92,17 @@ def best_fit(sizes: list[int], conflicts: list[tuple], capacity: int) -> list[in
     return out
 
 
-def pieces(docs: DataFrame, doc_id: str, text: str, source: str, capacity: int) -> DataFrame:
-    """``doc_id, source, cluster, piece, start, length``: a row per piece of at most ``capacity`` characters."""
+def pieces(docs: DataFrame, doc_id: str, text: str, source: str, capacity: int, cluster: str | None = None, carry: str | None = None) -> DataFrame:
+    """``doc_id, source, cluster, group, carried, piece, start, length``: a row per piece of at most ``capacity`` characters."""
+    text_or_null = lambda name: F.lit(None).cast("string") if name is None else F.col(name).cast("string")
     body = F.coalesce(F.col(text), F.lit(""))
     copies = F.xxhash64(F.lower(F.trim(F.regexp_replace(body, r"\s+", " "))))
     sized = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), copies.alias("cluster"), F.char_length(body).cast("long").alias("chars")
+        F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), copies.alias("cluster"),
+        text_or_null(cluster).alias("group"), text_or_null(carry).alias("carried"), F.char_length(body).cast("long").alias("chars"),
     )
     return sized.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("chars") / capacity).cast("int") - 1, F.lit(0)))).alias("piece")).select(
-        "doc_id", "source", "cluster", "piece",
+        "doc_id", "source", "cluster", "group", "carried", "piece",
         (F.col("piece").cast("long") * capacity).alias("start"),
         F.least(F.lit(capacity), F.col("chars") - F.col("piece").cast("long") * capacity).alias("length"),
     )
@@ -111,9 +116,14 @@ def pack(
     capacity: int = CAPACITY,
     shard_chars: int = SHARD_CHARS,
     shard_pieces: int = SHARD_PIECES,
+    cluster: str | None = None,
+    carry: str | None = None,
 ) -> DataFrame:
-    """``doc_id, piece, start, length, bin_id, position`` of every piece; ``position`` counts from 0 in a bin."""
-    items = written(pieces(docs, doc_id, text, source, capacity), "pieces")
+    """``doc_id, piece, start, length, bin_id, position`` of every piece; ``position`` counts from 0 in a bin.
+
+    ``cluster`` names a column of further clusters; the column ``carry`` is added to the result, as a string.
+    """
+    items = written(pieces(docs, doc_id, text, source, capacity, cluster, carry), "pieces")
     total = items.filter("length > 0").agg(F.sum("length").alias("chars"), F.count(F.lit(1)).alias("n")).collect()[0]
     shards = max(1, -(-(total["chars"] or 0) // shard_chars), -(-total["n"] // shard_pieces))
     dealt = items.filter("length > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)))
@@ -122,18 +132,20 @@ def pack(
         group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         sizes = group.column("length").to_pylist()
         sources, clusters = group.column("source").to_pylist(), group.column("cluster").to_pylist()
-        keys = [((s,) if s is not None else ()) + (c,) for s, c in zip(sources, clusters)]
+        groups = group.column("group").to_pylist()
+        keys = [((s,) if s is not None else ()) + (c,) + ((("group", g),) if g is not None else ()) for s, c, g in zip(sources, clusters, groups)]
         bins = best_fit(sizes, keys, capacity)
         shard = group.column("shard")[0].as_py()
         places, held = [], Counter()
         for b in bins:
             places.append(held[b])
             held[b] += 1
-        return group.select(["doc_id", "piece", "start", "length"]).append_column("bin_id", pa.array([f"{shard}-{b}" for b in bins])).append_column(
+        return group.select(["doc_id", "piece", "start", "length", "carried"]).append_column("bin_id", pa.array([f"{shard}-{b}" for b in bins])).append_column(
             "position", pa.array(places, pa.int32())
         )
 
     # a shard is few bytes but seconds of work, so Spark must not put shards together by their size
-    packed = dealt.repartition(min(shards, _MOST_TASKS), "shard").groupBy("shard").applyInArrow(one, PACKED)
-    empty = items.filter("length = 0").select("doc_id", "piece", "start", "length", F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("int").alias("position"))
-    return packed.unionByName(empty)
+    packed = dealt.repartition(min(shards, _MOST_TASKS), "shard").groupBy("shard").applyInArrow(one, _PACKED)
+    empty = items.filter("length = 0").select("doc_id", "piece", "start", "length", "carried", F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("int").alias("position"))
+    done = packed.unionByName(empty)
+    return done.drop("carried") if carry is None else done.withColumnRenamed("carried", carry)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.llm import bpe, langid, packing, permindex, quality, secrets, simhash, spotsigs, tokens, warc
-from ragspark.llm.common import learns_from, table
+from ragspark.llm.common import learns_from, table, written
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -78,7 +78,10 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    keyed = written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = simhash.near_duplicates(keyed, "row").select(F.col("doc_id").alias("row"), "component_id")
+    return packing.pack(keyed.join(groups.hint("shuffle_hash"), "row"), cluster="component_id")
 
 
 QUERIES = {

@@ -186,6 +186,21 @@ def test_copies_stay_apart(spark):
     assert len({r.bin_id for r in got}) == 12
 
 
+def test_given_clusters_stay_apart(spark, tmp_path):
+    frame = spark.createDataFrame([(i, f"text number {i}", None, i % 3 or None) for i in range(12)], "doc_id long, text string, source string, near int")
+    bins = defaultdict(list)
+    for r in packing.pack(frame, capacity=1000, cluster="near").collect():
+        bins[r.bin_id].append(r.doc_id % 3)
+    assert len(bins) == 4 and all(b.count(1) < 2 and b.count(2) < 2 for b in bins.values())
+    base = [f"word{i}" for i in range(400)]
+    rows = [(i if i % 4 else None, " ".join([*base[:399], f"other{i}"]), None) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    prints = [plain_fingerprint(r[1]) for r in rows]
+    assert all((a ^ prints[0]).bit_count() <= 4 for a in prints)
+    got = queries.op10_best_fit_packing(spark, str(tmp_path)).collect()
+    assert len(got) == 12 and len({r.bin_id for r in got}) == 12
+
+
 # -- nearest neighbours -------------------------------------------------------------------------------------
 
 
