@@ -162,3 +162,12 @@ def test_rows_are_judged_one_by_one(spark, data):
     expected = sorted((str(r.doc_id), r.text) for r in numbered.collect() if r.n in keeps)
     got = sorted((str(r.doc_id), r.text) for r in cp.quality_classifier(spark, shared, data).collect())
     assert got == expected and {i for i, _ in got} == {"None", str(1 << 40)}
+
+
+def test_pieces_get_their_own_text(spark, data):
+    """Repeated and null ids in the packing stage: a piece is there once a row, with the text of that row."""
+    rows = [(1, "a" * 9000), (1, "b" * 100), (None, "c" * 50), (None, "d" * 60), (2, "e" * 70), (2, "e" * 70), (3, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)], SCHEMA).repartition(3)
+    got = sorted((str(r.doc_id), r.piece, r.length, r.text) for r in cp.best_fit_packing(spark, docs, data).collect())
+    expected = [(str(i), k, len((t or "")[8192 * k :][:8192]), (t or "")[8192 * k :][:8192]) for i, t in rows for k in range(1 + (len(t or "") > 8192))]
+    assert got == sorted(expected)
