@@ -932,7 +932,8 @@ def _on_stream(spark: SparkSession, folder: str, decide: Callable[[DataFrame], D
     source, path, state = fresh_dir(spark, "events"), fresh_dir(spark, "decided"), fresh_dir(spark, "decided-state")
     for low, high in zip([None, *at], [*at, None]):
         part = timed if low is None else timed.filter(F.unix_micros("ts") > low)
-        part = part if high is None else part.filter(F.unix_micros("ts") <= high)
+        # a null time is in the first part
+        part = part if high is None else part.filter((F.unix_micros("ts") <= high) | (F.col("ts").isNull() if low is None else F.lit(False)))
         part.write.mode("append").parquet(source)
         stream = spark.readStream.schema(timed.schema).parquet(source).withWatermark("ts", "1 hour")
         policies.log_stream(decide(stream), path, state, availableNow=True).awaitTermination()
