@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import langid, nearcopies, packing, quality, secrets
+from ragspark.llm import langid, packing, quality, secrets, simhash
 from ragspark.llm.common import table, written
 from ragspark.session import ship_package
 
@@ -41,9 +41,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of five-word Jaccard 0.8 or more: that of the smallest id, then the smallest text; a null id is the smallest."""
+    """Keep one row of each group of linked fingerprints (four-word shingles, four bits at most): that of the smallest id, then the smallest text; a null id is the smallest."""
     keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    groups = nearcopies.near_copies(keyed, "__row").withColumnRenamed("component_id", "__group")
+    linked = simhash.near_duplicates(keyed, "__row")
+    groups = linked.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
     # a group by its ids; texts are read only where rows share the smallest id
     rows = written(keyed.select("__row", F.struct("doc_id").alias("__id")).join(groups, "__row"), "grouped")
     ids = rows.groupBy("__group", "__id").agg(F.min("__row").alias("__row"), F.count(F.lit(1)).alias("__n"))
