@@ -1,6 +1,5 @@
 """The corpus pipeline: each stage against a plain restatement, the whole on given tables, odd rows."""
 
-import random
 from collections import defaultdict
 
 import corpus_pipeline as cp
@@ -8,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_groups import Union, plain_fingerprint
 
-from ragspark.llm import nearcopies, quality, secrets
+from ragspark.llm import quality, secrets
 from ragspark.llm.common import written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -113,41 +112,6 @@ def test_one_row_of_each_group_whatever_its_id(spark, data):
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, a), (None, b), (5, c), (5, d.upper())], key=str)
 
 
-def plain_similar(texts):
-    """All pairs of texts whose sets of five words in a row have a Jaccard of 0.8 or more."""
-    sets = []
-    for t in texts:
-        words = (t or "").lower().split()
-        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
-    pairs = ((i, j) for j in range(len(sets)) for i in range(j))
-    return [(i, j) for i, j in pairs if sets[i] == sets[j] or sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-
-
-@pytest.mark.parametrize("block_rows, block_shingles", [(4096, 1 << 20), (2, 150)])
-def test_near_copies_have_jaccard_of_four_fifths(spark, block_rows, block_shingles):
-    """Recall against brute force on pairs from 0.8 on, most of them beyond four bits; nothing below 0.8 links."""
-    rng = random.Random(3)
-    texts = [None, "", " \n", "short text", "Short Text", "a b c d e f g h", "a b c d e f g h i"]
-    for _ in range(120):
-        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(30, 300))]
-        texts.append(" ".join(base))
-        for _ in range(rng.randrange(3)):
-            copy = list(base)
-            for _ in range(rng.randrange(1, 2 + len(base) // 35)):
-                copy[rng.randrange(len(copy))] = "changed"
-            texts.append(" ".join(copy))
-    keyed = written(spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(3), "keyed")
-    got = {r.k: r.component_id for r in nearcopies.near_copies(keyed, "k", block_rows=block_rows, block_shingles=block_shingles).collect()}
-    pairs, union = plain_similar(texts), Union()
-    for i in range(len(texts)):
-        union.find(i)
-    for i, j in pairs:
-        union.join(i, j)
-    far = [p for p in pairs if (plain_fingerprint(texts[p[0]]) ^ plain_fingerprint(texts[p[1]])).bit_count() > 4]
-    assert len(far) > 50 and sum(got[i] == got[j] for i, j in pairs) >= 0.99 * len(pairs)
-    assert all(union.find(i) == union.find(got[i]) for i in got) and len(got) == len(texts)
-
-
 def test_rows_are_judged_one_by_one(spark, data):
     """A blank or poor row takes no other row of its id along, null or not."""
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
