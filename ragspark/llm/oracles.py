@@ -13,4 +13,64 @@ FROM (
     FROM (SELECT page_id, coalesce(html, '') AS body FROM pages)))
 """
 
-ORACLES: dict[str, str] = {"op6_warc": OP6}
+#: Rules as a join on host suffixes; aliases as what links reach from blocked addresses. Targets relative to a folder do not occur.
+OP11 = r"""
+WITH RECURSIVE rules(decision, rhost, rpath) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+         ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+),
+pages_n AS (SELECT row_number() OVER () AS n, page_id, url, html FROM pages),
+tags AS (
+  SELECT url, unnest(regexp_extract_all(
+    regexp_replace(regexp_replace(html, '<!--.*?(-->|\z)', ' ', 'gs'), '<script\b.*?(</script|\z)|<style\b.*?(</style|\z)|<textarea\b.*?(</textarea|\z)|<title\b.*?(</title|\z)', ' ', 'gis'),
+    '<(?:link|meta)\b[^<>]*>', 0, 'i')) AS tag
+  FROM pages_n WHERE url LIKE '%://%' AND (html ILIKE '%canonical%' OR html ILIKE '%refresh%')
+),
+targets AS (
+  SELECT url, CASE
+      WHEN tag ILIKE '<link%' AND regexp_matches(tag, '[\s"''/]rel\s*=\s*["'']?([^"''<>]*\s)?canonical[\s"''>]', 'i')
+        THEN regexp_extract(tag, '[\s"''/]href\s*=\s*["'']?([^"''<>\s]+)', 1, 'i')
+      WHEN tag ILIKE '<meta%' AND regexp_matches(tag, '[\s"''/]http-equiv\s*=\s*["'']?\s*refresh[\s"''>]', 'i')
+        THEN regexp_extract(tag, '[;,]\s*url\s*=\s*["'']?([^"''<>]+)', 1, 'i') END AS target
+  FROM tags
+),
+named(url) AS (
+  SELECT url FROM pages_n WHERE url LIKE '%://%'
+  UNION SELECT url FROM targets WHERE target <> ''
+  UNION SELECT CASE WHEN target LIKE '%://%' THEN target WHEN target LIKE '//%' THEN split_part(url, '://', 1) || ':' || target
+    ELSE regexp_extract(url, '^[^:]*://[^/?#]*') || target END
+  FROM targets WHERE target LIKE '%://%' OR target LIKE '/%'
+),
+parts AS (
+  SELECT url,
+    translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS path,
+    lower(split_part(url, '://', 1)) || '://' || lower(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'))
+      || CASE WHEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE '' END
+      || regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^#]*)', 1) AS node
+  FROM named
+),
+judged AS (
+  SELECT url, host, path, node,
+    arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(decision, length(rhost || rpath)) AS decision
+  FROM parts LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY ALL
+),
+links AS (
+  SELECT s.node AS a, t.node AS b FROM targets x
+  JOIN parts s ON s.url = x.url
+  JOIN parts t ON t.url = CASE WHEN target LIKE '%://%' THEN target WHEN target LIKE '//%' THEN split_part(x.url, '://', 1) || ':' || target
+    ELSE regexp_extract(x.url, '^[^:]*://[^/?#]*') || target END
+  WHERE target LIKE '%://%' OR target LIKE '/%'
+),
+twoway AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+blocked(node) AS (
+  SELECT node FROM judged WHERE decision = 'block' AND node IN (SELECT a FROM twoway)
+  UNION SELECT b FROM blocked JOIN twoway ON a = blocked.node
+)
+SELECT page_id, coalesce(j.host, '') AS host, coalesce(j.path, '') AS path, rule,
+  CASE WHEN rule IS NOT NULL THEN decision WHEN j.node IN (SELECT node FROM blocked) THEN 'block' ELSE 'allow' END AS verdict
+FROM pages_n p LEFT JOIN judged j ON j.url = p.url
+"""
+
+ORACLES: dict[str, str] = {"op6_warc": OP6, "op11_url_filter": OP11}

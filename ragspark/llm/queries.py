@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import bpe, langid, packing, permindex, quality, secrets, simhash, spotsigs, tokens, warc
+from ragspark.llm import bpe, langid, packing, permindex, quality, secrets, simhash, spotsigs, tokens, urlfilter, warc
 from ragspark.llm.common import learns_from, table, written
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
 
 
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,6 +91,11 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(keyed.join(groups.hint("shuffle_hash"), "row"), cluster="component_id")
 
 
+def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return urlfilter.judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_permutation_index": op2_permutation_index,
@@ -95,4 +107,5 @@ QUERIES = {
     "op8_spotsigs": op8_spotsigs,
     "op9_simhash": op9_simhash,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_url_filter": op11_url_filter,
 }
