@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import bpe, langid, packing, permindex, quality, secrets, simhash, spotsigs, tokens, urlfilter, warc
+from ragspark.llm import bpe, langid, packing, permindex, quality, repair, secrets, simhash, spotsigs, tokens, urlfilter, warc
 from ragspark.llm.common import learns_from, table, written
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -96,6 +96,11 @@ def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.all_conversations(turns, *repair.repair(repair.damaged(turns)))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_permutation_index": op2_permutation_index,
@@ -108,4 +113,5 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_url_filter": op11_url_filter,
+    "op12_structure_repair": op12_structure_repair,
 }
