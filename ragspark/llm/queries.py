@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import bpe, langid, packing, permindex, quality, repair, secrets, simhash, spotsigs, tokens, urlfilter, warc
+from ragspark.llm import bpe, langid, packing, permindex, quality, repair, secrets, simhash, spotsigs, tokens, trie, urlfilter, warc
 from ragspark.llm.common import learns_from, table, written
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -101,6 +101,10 @@ def op12_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.all_conversations(turns, *repair.repair(repair.damaged(turns)))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.trie(*trie.rebuilt(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_permutation_index": op2_permutation_index,
@@ -114,4 +118,5 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_url_filter": op11_url_filter,
     "op12_structure_repair": op12_structure_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
