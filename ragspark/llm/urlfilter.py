@@ -140,8 +140,7 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     named = (
         pages.filter(F.col(url).contains("://") & body.rlike("(?i)canonical|refresh"))
         .select(F.col(url).alias("source"), F.explode(tags).alias("__tag"))
-        .select("source", F.nullif(to, F.lit("")).alias("target"))
-        .filter(F.col("target").isNotNull())
+        .select("source", to.alias("target"))
     )
     return redirect_links(named)
 
@@ -149,7 +148,8 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def redirect_links(redirects: DataFrame) -> DataFrame:
     """``a, b``: the addresses of ``source, target`` rows, a relative target being resolved against its source."""
     both = with_address(with_target(redirects.select("source", "target"), "target", "source", "b"), "source", "a")
-    return both.select("a", "b").dropna()
+    # a generator keeps the filter from being written into the plan with all that it filters
+    return both.select(F.explode_outer(F.array(F.struct("a", "b"))).alias("link")).select("link.*").dropna()
 
 
 def ruled(frame: DataFrame, rules: list[tuple[str, str, str]], host: str = "host", path: str = "path") -> DataFrame:
