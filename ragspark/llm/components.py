@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.llm.common import written
+from ragspark.llm.hot import salted_join
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,19 +14,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points every node at its smallest neighbour, follows the pointers twice and puts the
     ends in place of the nodes, so the graph shrinks to nothing in a few rounds, and neighbours are only
-    ever aggregated, never listed. Each round is a written table. Nulls link nothing.
+    ever aggregated, never listed. Each round is a written table. Nulls link nothing. A hub, or a node that much points at, is
+    split wherever it is joined.
     """
     edges = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     ends = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).withColumn("to", F.least("node", "to"))
-        if first.isEmpty():
+        if edges.isEmpty():
             break
-        step = written(_follow(_follow(first)), "pointers")
+        step = written(_follow(written(_follow(written(first, "first")), "pointers")), "pointers")
         ends = step if ends is None else written(_moved(ends, step, "to"), "ends")
+        near = written(_moved(edges, step, "a"), "links")
         edges = written(
-            _moved(_moved(edges, step, "a"), step, "b")
+            _moved(near, step, "b")
             .filter("a <> b")
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct(),
@@ -39,7 +42,8 @@ def components(links: DataFrame) -> DataFrame:
 def _moved(frame: DataFrame, step: DataFrame, column: str) -> DataFrame:
     """``column`` replaced by what its value points at, where it points."""
     at = step.select(F.col("node").alias(column), F.col("to").alias("__to"))
-    return frame.join(at, column, "left").withColumn(column, F.coalesce("__to", column)).drop("__to").select(*frame.columns)
+    joined = salted_join(frame, at, [column])
+    return joined.withColumn(column, F.coalesce("__to", column)).drop("__to").select(*frame.columns)
 
 
 def _follow(step: DataFrame) -> DataFrame:
