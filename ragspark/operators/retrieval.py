@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 METRICS = ("l2", "cosine", "dot")
 
+# Estimated bytes of vectors that one task of the exact search holds.
+BLOCK_BYTES = 64 << 20
 # Scores held at a time by one task.
 _SCORES = 4_000_000
 # Significant digits of a cost that decide; what follows depends on the order of summation.
@@ -105,6 +107,13 @@ def _score(cost: Column, metric: str) -> Column:
     return -cost if metric == "dot" else 1.0 - cost
 
 
+def _blocks(vectors: DataFrame, least: int) -> int:
+    """Blocks of about ``BLOCK_BYTES`` by the optimizer's estimate, which costs no job; ``least`` where it knows nothing."""
+    size = int(vectors._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < 1 << 60
+    return max(least, -(-size // BLOCK_BYTES)) if known else least
+
+
 def top_k(
     questions: DataFrame,
     vectors: DataFrame,
@@ -126,17 +135,18 @@ def top_k(
     Exact. ``score`` is the distance for ``l2`` and the similarity otherwise. Ranks follow the cost to twelve
     digits (of its own size; of one for ``cosine``), then the vector id.
 
-    One plan for all sizes, and no job while it is built: vectors are shuffled once into ``blocks`` (the session's
-    shuffle partitions, if not given), each question goes to every block and streams past the vectors
-    that its task holds, and a block returns k rows per question. A task holds one block of vectors, so ``blocks``
-    is chosen as for any join, by the memory of an executor.
+    One plan for all sizes, and no job while it is built: vectors are shuffled once into ``blocks``, each question goes
+    to every block and streams past the vectors that its task holds, and a block returns k rows per question. A task
+    holds one block of vectors. Unless given, there are as many blocks as the session has shuffle partitions, and more
+    where the optimizer's estimate of the table asks for it, so that a block stays near ``BLOCK_BYTES``.
+    :mod:`ragspark.operators.cells` skips blocks instead, for the price of an index.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     if k < 1:
         raise ValueError("k must be positive")
     session = vectors.sparkSession
-    count = blocks or int(session.conf.get("spark.sql.shuffle.partitions"))
+    count = blocks or _blocks(vectors, int(session.conf.get("spark.sql.shuffle.partitions")))
     q_field, v_field = questions.schema[qid], vectors.schema[vid]
     schema = T.StructType(
         [

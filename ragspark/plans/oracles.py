@@ -357,8 +357,12 @@ COSTS = {
 SCORES = {"l2": "sqrt(cost)", "dot": "-cost", "cosine": "1 - cost"}
 
 
-def nearest(k: int, metric: str) -> str:
-    return f"""{CENTRES}, costs AS (SELECT question_id, vec_id, label, {'round(c, 12)' if metric == 'cosine' else SIGNIFICANT} AS cost
+ASKED = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+  centres AS (SELECT vec_id AS question_id, v AS qv FROM e WHERE vec_id % 20 = 0)"""
+
+
+def nearest(k: int, metric: str, asked: str = CENTRES) -> str:
+    return f"""{asked}, costs AS (SELECT question_id, vec_id, label, {'round(c, 12)' if metric == 'cosine' else SIGNIFICANT} AS cost
       FROM (SELECT question_id, vec_id, label, {COSTS[metric]} AS c FROM centres CROSS JOIN e)),
     hits AS (SELECT * FROM (SELECT question_id, vec_id, label, round({SCORES[metric]}, 6) AS score,
       row_number() OVER (PARTITION BY question_id ORDER BY cost, vec_id) AS rank FROM costs) WHERE rank <= {k})"""
@@ -600,6 +604,7 @@ ORACLES: dict[str, str] = {
       md5(substr(text, s + 1, 1000)) AS digest, source FROM pieces""",
     "embedding_column": f"WITH {buckets('dv', 'doc_id', 'text', 'documents')} SELECT doc_id, b AS bucket, c AS n FROM dv",
     "topk_l2": f"WITH {nearest(10, 'l2')} {HIT_COLUMNS}",
+    "topk_by_cells": f"WITH {nearest(10, 'l2', ASKED)} {HIT_COLUMNS}",
     "topk_cosine": f"WITH {nearest(10, 'cosine')} {HIT_COLUMNS}",
     "topk_dot": f"WITH {nearest(10, 'dot')} {HIT_COLUMNS}",
     "score_threshold": f"WITH {nearest(20, 'cosine')} {HIT_COLUMNS} WHERE score >= 0.3",

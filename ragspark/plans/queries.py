@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ragspark.functions import text as tx
 from ragspark.functions import vectors as vec
 from ragspark.functions.arrays import explode_rows
-from ragspark.operators import admission, analytics, chunking, evaluation, pii, retrieval, sessions
+from ragspark.operators import admission, analytics, cells, chunking, evaluation, pii, retrieval, sessions
 from ragspark.operators import checks as ck
 from ragspark.plans import guardrails, ingestion
 from ragspark.session import fresh_dir
@@ -548,6 +548,23 @@ def topk_dot(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(_nearest(spark, folder, 10, "dot"))
 
 
+def _by_cells(spark: SparkSession, folder: str, recall: float | None) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    hits, _ = cells.search(cells.build_index(vectors), asked, 10, recall=recall)
+    return _rounded(hits)
+
+
+@query
+def topk_by_cells(spark: SparkSession, folder: str) -> DataFrame:
+    return _by_cells(spark, folder, None)
+
+
+@query
+def topk_approximate(spark: SparkSession, folder: str) -> DataFrame:
+    return _by_cells(spark, folder, 0.95)
+
+
 @query
 def score_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(retrieval.above_score(_nearest(spark, folder, 20, "cosine"), 0.3))
