@@ -11,9 +11,17 @@ cut into cells as long as ``reach``. A cell is *light* when it and the cell befo
 it hold at most ``max_calls`` calls: all of its calls are admitted, whatever came
 before, and they are all the history that the next cell can see. Runs of other
 cells, each led by the light cell before it, are therefore independent, and one
-key splits into as many pieces as it has quiet spells. Only a spell above the limit
-is decided in sequence: its calls stream through one task in time order, with no
-more than ``max_calls`` times in memory, and the fold jumps over rejected calls.
+key splits into as many pieces as it has quiet spells.
+
+A long spell above the limit is cut into blocks of cells. All that a block needs of the past is the admitted times
+less than ``reach`` before it, at most ``max_calls`` of them; once they are known, all blocks are decided at once.
+For ``max_calls=1`` they are found exactly: after an admitted call comes the first call ``reach`` later, so
+every call that can be a block's first admitted one leads to a last one, all of them are followed at once (calls with one
+successor go on as one), and the short table from first to last is looked up block by block. Otherwise blocks start from what
+the cells before them lead to with an empty past; a block whose predecessor ends otherwise is decided again, and only that. Busy calls soon
+forget how a spell began, so few blocks change more than once; what has not settled after some rounds is
+decided in sequence from its first unsettled block. Every fold streams its calls in time order with at most ``max_calls``
+times in memory and jumps over rejected calls.
 """
 
 from __future__ import annotations
@@ -27,8 +35,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragspark.session import stored
+
 MICROS = 1_000_000
 _CELLS = 4096
+# Cells of a block, cells before a block that it is started from, and how often blocks are decided again.
+_BLOCK_CELLS = 256
+_AHEAD_CELLS = 64
+_ROUNDS = 8
 
 
 def epoch_micros(df: DataFrame, column: str) -> Column:
@@ -66,28 +80,34 @@ def admit(
     return taken
 
 
+def _runs(pdf: pd.DataFrame, lead: list[str], skip: np.ndarray | None = None) -> Iterator[tuple]:
+    """Start, end and values of ``lead`` of each run of equal values, but for those whose first row is to ``skip``."""
+    change = np.zeros(len(pdf), dtype=bool)
+    change[0] = True
+    for name in lead:
+        column = pdf[name].to_numpy()
+        change[1:] |= column[1:] != column[:-1]
+    starts = np.flatnonzero(change)
+    ends = np.r_[starts[1:], len(pdf)]
+    if skip is not None:
+        wanted = ~skip[starts]
+        starts, ends = starts[wanted], ends[wanted]
+    yield from zip(starts, ends, *[pdf[name].iloc[starts].tolist() for name in lead])
+
+
 def _fold(keys: list[str], max_calls: int, reach: int):
-    lead = [*keys, "__piece"]
+    lead = [*keys, "__piece", "__block"]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, history = None, deque()
         for pdf in batches:
             if pdf.empty:
                 continue
-            change = np.zeros(len(pdf), dtype=bool)
-            change[0] = True
-            for name in lead:
-                column = pdf[name].to_numpy()
-                change[1:] |= column[1:] != column[:-1]
-            starts = np.flatnonzero(change)
-            ends = np.r_[starts[1:], len(pdf)]
             times = pdf["__t"].to_numpy()
             sizes = pdf["__n"].to_numpy()
             every = pdf["__all"].to_numpy()
             taken = np.where(every, sizes, 0)
-            open_ = ~every[starts]
-            firsts = [pdf[name].iloc[starts[open_]].tolist() for name in lead]
-            for a, b, *key in zip(starts[open_], ends[open_], *firsts):
+            for a, b, *key in _runs(pdf, lead, every):
                 if key != current:
                     current, history = key, deque()
                 taken[a:b] = admit(history, times[a:b], sizes[a:b], max_calls, reach)
@@ -97,12 +117,204 @@ def _fold(keys: list[str], max_calls: int, reach: int):
     return run
 
 
+def _states(keys: list[str], max_calls: int, reach: int, columns: list[str]):
+    """Admitted times that a block starts and ends with, as far as the next block can see them."""
+    lead = [*keys, "__piece", "__block"]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, history, began, end, out = None, deque(), None, 0, []
+
+        def seen(at: int) -> list[int]:
+            return [t for t in history if at - t < reach]
+
+        def close() -> None:
+            if current is not None:
+                out.append((*current, seen(end - _BLOCK_CELLS * reach) if began is None else began, seen(end)))
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            times, sizes, warm = (pdf[c].to_numpy() for c in ("__t", "__n", "__warm"))
+            for a, b, *key in _runs(pdf, lead):
+                if key != current:
+                    close()
+                    current, history, began = key, deque(), None
+                    end = (key[-2] + (key[-1] + 1) * _BLOCK_CELLS) * reach
+                # the past comes before the block's own calls
+                own = a + int(np.searchsorted(~warm[a:b], True))
+                if own > a:
+                    admit(history, times[a:own], sizes[a:own], max_calls, reach)
+                if own < b:
+                    if began is None:
+                        began = seen(end - _BLOCK_CELLS * reach)
+                    admit(history, times[own:b], sizes[own:b], max_calls, reach)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        close()
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    return run
+
+
+def follow(times: np.ndarray, limit: int, reach: int, phases: deque, first: list[int], last: list[int]) -> None:
+    """Carry on all ways through ``times`` in which one call is admitted at a time.
+
+    ``first`` holds the calls that may come first, those before ``limit`` and the next one; ``last`` the last call admitted after each.
+    ``phases`` are ``(last, members)``, oldest first; ways that meet go on as one.
+    """
+    i = 0
+    while i < len(times):
+        t = int(times[i])
+        opens = not first or first[-1] < limit
+        due = bool(phases) and t - phases[0][0] >= reach
+        if not opens and not due:
+            if not phases:
+                return
+            i += max(1, int(np.searchsorted(times[i:], phases[0][0] + reach)))
+            continue
+        members: list[int] = []
+        while phases and t - phases[0][0] >= reach:
+            more = phases.popleft()[1]
+            members, more = (more, members) if len(more) > len(members) else (members, more)
+            members.extend(more)
+        if opens:
+            members.append(len(first))
+            first.append(t)
+            last.append(t)
+        phases.append((t, members))
+        i += 1
+
+
+def _ways(keys: list[str], reach: int, columns: list[str]):
+    """For each block the calls that may be admitted first, the last one admitted after each, and the last admitted call before it."""
+    lead = [*keys, "__piece", "__block"]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, phases, first, last, before, out = None, deque(), [], [], [], []
+
+        def close() -> None:
+            if current is None:
+                return
+            for t, members in phases:
+                for i in members:
+                    last[i] = t
+            # of first calls that lead to the same last one, the latest will do
+            ends = [i for i in range(len(first)) if i + 1 == len(first) or last[i + 1] != last[i]]
+            out.append((*current, before, [first[i] for i in ends], [last[i] for i in ends]))
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            times, warm = pdf["__t"].to_numpy(), pdf["__warm"].to_numpy()
+            for a, b, *key in _runs(pdf, lead):
+                if key != current:
+                    close()
+                    current, phases, first, last, before = key, deque(), [], [], []
+                own = a + int(np.searchsorted(~warm[a:b], True))
+                if own > a:
+                    before = [int(times[own - 1])]
+                start = (key[-2] + key[-1] * _BLOCK_CELLS) * reach
+                follow(times[own:b], start + reach, reach, phases, first, last)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        close()
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    return run
+
+
+def _looked_up(keys: list[str], reach: int, columns: list[str]):
+    """The last admitted call before each block, block by block."""
+    lead = [*keys, "__piece"]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, at = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            out = []
+            rows = zip(pdf["__block"], pdf["__before"], pdf["__first"], pdf["__last"], *[pdf[name] for name in lead])
+            for block, before, first, last, *key in rows:
+                if key != current:
+                    current, at = key, int(before[0]) if len(before) else None
+                out.append((*key, block, [] if at is None else [at]))
+                i = 0 if at is None else int(np.searchsorted(first, at + reach))
+                if i < len(first):
+                    at = int(last[i])
+            yield pd.DataFrame(out, columns=columns)
+
+    return run
+
+
+def _piecewise(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    lead = [*keys, "__piece", "__block"]
+    return rows.repartition(*lead).sortWithinPartitions(*lead, *order)
+
+
+def _as_rows(states: DataFrame, keys: list[str], past: str) -> DataFrame:
+    """The past of blocks as calls that are known to be admitted."""
+    return states.select(*keys, "__piece", "__block", F.explode(past).alias("__t")).select(
+        *keys, "__piece", "__block", "__t", F.lit(1).cast("long").alias("__n"), F.lit(False).alias("__all"), F.lit(True).alias("__warm")
+    )
+
+
+def _single_past(rows: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """``__past`` of each block where one call is admitted at a time: exact, by following every way through each block."""
+    lead = [rows.schema[k] for k in keys] + [T.StructField("__piece", T.LongType()), T.StructField("__block", T.LongType())]
+    times = T.ArrayType(T.LongType())
+    found = [T.StructField("__before", times), T.StructField("__first", times), T.StructField("__last", times)]
+    ways = T.StructType(lead + found)
+    table = _piecewise(rows, keys, "__t").mapInPandas(_ways(keys, reach, ways.names), ways)
+    past = T.StructType([*lead, T.StructField("__past", times)])
+    in_order = table.repartition(*keys, "__piece").sortWithinPartitions(*keys, "__piece", "__block")
+    return in_order.mapInPandas(_looked_up(keys, reach, past.names), past).withColumn("__segment", F.col("__block"))
+
+
+def _settled_past(rows: DataFrame, ahead: DataFrame, keys: list[str], max_calls: int, reach: int) -> DataFrame:
+    """``__past`` of each block, started from the cells before it and decided again where the block before ends otherwise.
+
+    ``__segment`` is the block itself, or the first block of its piece that has not settled.
+    """
+    lead = [*keys, "__piece", "__block"]
+    times = T.ArrayType(T.LongType())
+    schema = T.StructType(
+        [rows.schema[k] for k in keys]
+        + [T.StructField(c, T.LongType()) for c in ("__piece", "__block")]
+        + [T.StructField("__past", times), T.StructField("__left", times)]
+    )
+
+    def decided(some: DataFrame) -> DataFrame:
+        return _piecewise(some, keys, "__t").mapInPandas(_states(keys, max_calls, reach, schema.names), schema)
+
+    states = stored(decided(rows.union(ahead)), "states")
+    for turn in range(_ROUNDS + 1):
+        before = states.select(*keys, "__piece", (F.col("__block") + 1).alias("__block"), F.col("__left").alias("__wanted"))
+        both = states.join(before, lead, "left")
+        changed = (F.col("__block") > 0) & (F.col("__past") != F.col("__wanted"))
+        wanted = stored(both.filter(changed).select(*lead, "__wanted"), "wanted")
+        if turn == _ROUNDS or wanted.isEmpty():
+            break
+        again = rows.filter("__block > 0").join(wanted.select(*lead), lead, "left_semi").union(_as_rows(wanted, keys, "__wanted"))
+        new = decided(again).withColumnRenamed("__past", "__now").withColumnRenamed("__left", "__after")
+        kept = states.join(new, lead, "left")
+        states = stored(kept.select(*lead, F.coalesce("__now", "__past").alias("__past"), F.coalesce("__after", "__left").alias("__left")), "states")
+    unsettled = wanted.groupBy(*keys, "__piece").agg(F.min("__block").alias("__open"))
+    right = states.join(wanted, lead, "left").withColumn("__past", F.coalesce("__wanted", "__past"))
+    return right.join(unsettled, [*keys, "__piece"], "left").select(
+        *lead, "__past", F.coalesce(F.least("__block", "__open"), "__block").alias("__segment")
+    )
+
+
 def admitted_calls(
     df: DataFrame, keys: list[str], time: Column, max_calls: int, reach: int
 ) -> DataFrame:
     """``keys, __t, __taken``: how many calls of each distinct time are admitted.
 
-    Keys and times must not be null.
+    Keys and times must not be null. Some small tables are written and read while the plan is built.
     """
     if max_calls < 1 or reach < 1:
         raise ValueError("max_calls and the window must be positive")
@@ -114,26 +326,46 @@ def admitted_calls(
         .withColumn("__cell", F.coalesce(F.floor(F.col("__t") / F.lit(reach)).cast("long"), F.lit(0)))
     )
     cells = _pieces(counts.groupBy(*keys, "__cell").agg(F.sum("__n").alias("__size")), keys, max_calls)
+    # a light cell is a piece of its own
+    own_piece = F.when(F.col("__light"), F.col("__cell")).otherwise(F.col("__piece"))
+    place = F.col("__cell") - own_piece
+    cells = cells.withColumn("__piece", own_piece).withColumn("__block", F.floor(place / _BLOCK_CELLS).cast("long"))
     placed = counts.join(cells, [*keys, "__cell"])
-    as_warm_up = F.struct((F.col("__cell") + 1).alias("piece"), F.lit(True).alias("warm"))
-    as_own = F.struct(
-        F.when(F.col("__light"), F.col("__cell")).otherwise(F.col("__piece")).alias("piece"),
-        F.lit(False).alias("warm"),
-    )
-    roles = F.when(F.col("__leads"), F.array(as_own, as_warm_up)).otherwise(F.array(as_own))
-    ordered = (
-        placed.select(*keys, "__t", "__n", "__light", F.explode_outer(roles).alias("__role"))
-        .select(
+    warm_up = F.struct((F.col("__cell") + 1).alias("piece"), F.lit(0).cast("long").alias("block"), F.lit(True).alias("warm"))
+    own = F.struct(F.col("__piece").alias("piece"), F.col("__block").alias("block"), F.lit(False).alias("warm"))
+    roles = F.when(F.col("__leads"), F.array(own, warm_up)).otherwise(F.array(own))
+    rows = stored(
+        placed.select(*keys, "__t", "__n", "__cell", "__light", F.explode_outer(roles).alias("__role")).select(
             *keys,
             F.col("__role.piece").alias("__piece"),
+            F.col("__role.block").alias("__block"),
             "__t",
             "__n",
             (F.col("__light") & ~F.col("__role.warm")).alias("__all"),
             F.col("__role.warm").alias("__warm"),
-        )
-        .repartition(*keys, "__piece")
-        .sortWithinPartitions(*keys, "__piece", "__t")
+            "__cell",
+        ),
+        "calls",
     )
+    long = stored(rows.filter("__block > 0").select(*keys, "__piece").distinct(), "long")
+    final = rows.drop("__cell")
+    if not long.isEmpty():
+        spells = rows.join(long, [*keys, "__piece"], "left_semi")
+        place = F.pmod(F.col("__cell") - F.col("__piece"), F.lit(_BLOCK_CELLS))
+        if max_calls == 1:
+            past = _single_past(spells.drop("__cell"), keys, reach)
+        else:
+            near = ~F.col("__warm") & (place >= _BLOCK_CELLS - _AHEAD_CELLS)
+            ahead = spells.filter(near).withColumn("__block", F.col("__block") + 1).withColumn("__warm", F.lit(True))
+            # only for blocks that have calls of their own
+            blocks = spells.filter("NOT __warm").select(*keys, "__piece", "__block").distinct()
+            ahead = ahead.join(blocks, [*keys, "__piece", "__block"], "left_semi").select(*final.columns)
+            past = _settled_past(spells.drop("__cell"), ahead, keys, max_calls, reach)
+        past = stored(past, "past")
+        joined = final.join(past.select(*keys, "__piece", "__block", "__segment"), [*keys, "__piece", "__block"], "left")
+        segment = joined.withColumn("__block", F.coalesce("__segment", "__block")).select(*final.columns)
+        final = segment.union(_as_rows(past.filter("__block > 0 AND __block = __segment"), keys, "__past"))
+    ordered = _piecewise(final, keys, "__t")
     schema = T.StructType(
         [ordered.schema[k] for k in keys]
         + [T.StructField(c, T.LongType()) for c in ("__t", "__taken")]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark.operators.retrieval import METRICS, _ids, _matrix, _nearest, _score
-from ragspark.session import fresh_dir
+from ragspark.session import fresh_dir, stored
 
 MOST_CELLS = 4096
 SAMPLE_ROWS = 32
@@ -255,19 +255,12 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def _two_rounds(index: CellIndex, asked: DataFrame, k: int, cosine: float | None) -> tuple[DataFrame, DataFrame]:
     """The hits, and all visits; each is a written table."""
-    spark = asked.sparkSession
-
-    def written(frame: DataFrame, name: str) -> DataFrame:
-        path = fresh_dir(spark, name)
-        frame.write.parquet(path)
-        return spark.read.schema(frame.schema).parquet(path)
-
     open_ = asked.withColumn("__limit", F.lit(float("inf")))
-    first = written(_visits(index.cells, open_, k, cosine, second=False), "visits")
-    early = written(_best(_probe(index, first, k), k), "hits")
+    first = stored(_visits(index.cells, open_, k, cosine, second=False), "visits")
+    early = stored(_best(_probe(index, first, k), k), "hits")
     reached = early.filter(F.col("rank") == k).select("__q", F.col("__cost").alias("__limit"))
     limited = asked.join(reached, "__q", "left").fillna(float("inf"), ["__limit"])
-    second = written(_visits(index.cells, limited, k, cosine, second=True), "visits")
+    second = stored(_visits(index.cells, limited, k, cosine, second=True), "visits")
     late = _best(_probe(index, second, k), k)
     hits = _best(early.drop("rank").union(late.drop("rank")), k)
     where = ["__cell", "__part", "__q"]
@@ -276,10 +269,7 @@ def _two_rounds(index: CellIndex, asked: DataFrame, k: int, cosine: float | None
 
 def _asked(questions: DataFrame, qid: str, vector: str) -> DataFrame:
     known = questions.select(F.col(qid).alias("__q"), F.col(vector).cast("array<double>").alias("__v")).filter(F.col("__v").isNotNull())
-    path = fresh_dir(questions.sparkSession, "asked")
-    once = known.groupBy("__q").agg(F.min("__v").alias("__v"))
-    once.write.parquet(path)
-    return questions.sparkSession.read.schema(once.schema).parquet(path)
+    return stored(known.groupBy("__q").agg(F.min("__v").alias("__v")), "asked")
 
 
 def neighbour_cosine(index: CellIndex, asked: DataFrame, k: int, recall: float, trials: int = TRIALS) -> float:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -60,6 +60,13 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` written as Parquet below :func:`shared_dir` and read again, for what is read more than once."""
+    path = fresh_dir(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def discard(spark: SparkSession) -> int:
     """Delete what this driver has written below :func:`shared_dir`; results that still read it must be saved before."""
     gone = 0

@@ -62,6 +62,52 @@ def test_rate_limit(spark, name, cells, monkeypatch):
     assert {r.id for r in rows if r.allowed} == limiter(calls, n, window)
 
 
+@pytest.mark.parametrize("blocks", [(1, 1), (4, 1), (8, 3)])
+@pytest.mark.parametrize("name", CASES)
+def test_busy_spells_in_blocks(spark, name, blocks, monkeypatch):
+    """Spells cut in many blocks, for limits and reuse, equal the fold in sequence."""
+    monkeypatch.setattr(ad, "_BLOCK_CELLS", blocks[0])
+    monkeypatch.setattr(ad, "_AHEAD_CELLS", blocks[1])
+    calls, n, window = CASES[name]
+    rows = ad.rate_limit(frame(spark, calls), ["key"], "ts", "id", n, window).collect()
+    assert {r.id for r in rows if r.allowed} == limiter(calls, n, window)
+    rows = ad.ttl_reuse(frame(spark, calls), ["key"], "ts", "id", window).collect()
+    assert {r.id for r in rows if r.is_hit} == cache(calls, window)
+
+
+def test_one_key_above_its_limit_runs_in_many_tasks(spark, monkeypatch):
+    """All rows are one unbroken spell of one key: its blocks are decided apart, and settle."""
+    rng = random.Random(9)
+    calls, t = [], 0
+    for i in range(20_000):
+        t += rng.randrange(1, 9)
+        calls.append((i, "hot", t))
+    seen = {}
+    original = ad._piecewise
+    monkeypatch.setattr(ad, "_piecewise", lambda rows, *a: seen.setdefault(len(seen), original(rows, *a)))
+    rows = ad.rate_limit(frame(spark, calls), ["key"], "ts", "id", 3, 30).collect()
+    assert {r.id for r in rows if r.allowed} == limiter(calls, 3, 30)
+    spell = seen[len(seen) - 1]
+    sizes = [r["count"] for r in spell.groupBy("__piece", "__block").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) < 0.15 * len(calls)
+    seen.clear()
+    rows = ad.ttl_reuse(frame(spark, calls), ["key"], "ts", "id", 30).collect()
+    assert {r.id for r in rows if r.is_hit} == cache(calls, 30)
+    sizes = [r["count"] for r in seen[len(seen) - 1].groupBy("__piece", "__block").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) < 0.15 * len(calls)
+
+
+def test_spells_that_never_settle(spark, monkeypatch):
+    """Calls of one rhythm keep the phase in which they began, so a wrong start is never forgotten."""
+    monkeypatch.setattr(ad, "_BLOCK_CELLS", 2)
+    monkeypatch.setattr(ad, "_AHEAD_CELLS", 1)
+    calls = [(i, "k", i * 7) for i in range(600)] + [(1000, "k", 3), (1001, "k", 5)]
+    rows = ad.rate_limit(frame(spark, calls), ["key"], "ts", "id", 3, 60).collect()
+    assert {r.id for r in rows if r.allowed} == limiter(calls, 3, 60)
+    rows = ad.ttl_reuse(frame(spark, calls), ["key"], "ts", "id", 60).collect()
+    assert {r.id for r in rows if r.is_hit} == cache(calls, 60)
+
+
 def test_rate_limit_sequence(spark):
     calls, n, window = CASES["edges"]
     rows = ad.rate_limit(frame(spark, calls), ["key"], "s", "id", n, window).orderBy("id").collect()
