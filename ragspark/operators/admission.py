@@ -425,18 +425,13 @@ def _timed(df: DataFrame, keys: list[str], time: Column) -> DataFrame:
     return known.withColumn("__t", F.coalesce(time, F.lit(0).cast("long")))
 
 
-def decide(
-    df: DataFrame, keys: list[str], time: Column, tie: str, max_calls: int, reach: int, name: str
-) -> DataFrame:
-    """Add the boolean ``name``; calls of one time are taken in the order of ``tie``.
+def _assigned(rows: DataFrame, known: DataFrame, keys: list[str], taken: DataFrame, tie: str, max_calls: int) -> DataFrame:
+    """``rows`` with ``__last``, the last tie that is admitted at their key and time.
 
     Of equal times at most the first ``max_calls`` matter. That limit is applied before
     the shuffle as well as after it, so many calls at one instant do not pile up.
     """
-    rows = df.withColumn("__t", time)
-    known = _timed(df, keys, time)
     at = [*keys, "__t"]
-    taken = admitted_calls(df, keys, time, max_calls, reach)
     by_time = Window.partitionBy(*at).orderBy("__tie")
     last = (
         known.select(*at, F.col(tie).alias("__tie"))
@@ -447,11 +442,67 @@ def decide(
         .groupBy(*at)
         .agg(F.max("__tie").alias("__last"))
     )
-    return (
-        rows.join(last, at, "left")
-        .withColumn(name, F.coalesce(F.col(tie) <= F.col("__last"), F.lit(False)))
-        .select(*df.columns, name)
+    return rows.join(last, at, "left")
+
+
+def decide(
+    df: DataFrame, keys: list[str], time: Column, tie: str, max_calls: int, reach: int, name: str
+) -> DataFrame:
+    """Add the boolean ``name``; calls of one time are taken in the order of ``tie``."""
+    rows = df.withColumn("__t", time)
+    taken = admitted_calls(df, keys, time, max_calls, reach)
+    told = _assigned(rows, _timed(df, keys, time), keys, taken, tie, max_calls)
+    return told.withColumn(name, F.coalesce(F.col(tie) <= F.col("__last"), F.lit(False))).select(*df.columns, name)
+
+
+def admit_among(times: np.ndarray, sizes: np.ndarray, known: np.ndarray, history: deque, max_calls: int, reach: int) -> np.ndarray:
+    """Admitted calls of each time, in time order, among calls that are ``known`` to be admitted."""
+    taken = np.zeros(len(times), dtype=np.int64)
+    fixed = np.flatnonzero(known)
+    i = 0
+    while i < len(times):
+        t, n = int(times[i]), int(sizes[i])
+        while history and t - history[0] >= reach:
+            history.popleft()
+        if not known[i]:
+            n = min(max_calls - len(history), n)
+            if n <= 0:
+                # on to the time at which enough has passed, or to the next known call
+                free = i + int(np.searchsorted(times[i:], history[len(history) - max_calls] + reach))
+                after = np.searchsorted(fixed, i)
+                i = max(i + 1, min(free, int(fixed[after]) if after < len(fixed) else free))
+                continue
+            taken[i] = n
+        history.extend([t] * n)
+        i += 1
+    return taken
+
+
+def admitted_after(counts: DataFrame, history: DataFrame, keys: list[str], max_calls: int, reach: int) -> DataFrame:
+    """``keys, __t, __taken`` for new calls counted by time (``__t, __n``), given admitted ones, before, between or after them.
+
+    A key is one task, which streams its calls in time order and holds the admitted ones within reach.
+    """
+    rows = counts.select(*keys, "__t", "__n", F.lit(False).alias("__known")).union(
+        history.select(*keys, "__t", "__n", F.lit(True).alias("__known"))
     )
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "__t", F.col("__known").desc())
+    schema = T.StructType([ordered.schema[k] for k in keys] + [T.StructField(c, T.LongType()) for c in ("__t", "__taken")])
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, past = None, deque()
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            times, sizes, known = (pdf[c].to_numpy() for c in ("__t", "__n", "__known"))
+            taken = np.zeros(len(pdf), dtype=np.int64)
+            for a, b, *key in _runs(pdf, keys):
+                if key != current:
+                    current, past = key, deque()
+                taken[a:b] = admit_among(times[a:b], sizes[a:b], known[a:b], past, max_calls, reach)
+            yield pdf[[*keys, "__t"]].assign(__taken=taken)[~known]
+
+    return ordered.mapInPandas(run, schema)
 
 
 def rate_limit(

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from ragspark.functions import text as tx
 from ragspark.functions import vectors as vec
@@ -941,7 +942,7 @@ def rendered_templates(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("c_custkey", "template_version", text.alias("prompt"))
 
 
-def _on_stream(spark: SparkSession, folder: str, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _on_stream(spark: SparkSession, folder: str, decide: Callable[[DataFrame, str, str], StreamingQuery]) -> DataFrame:
     """Decisions on events that arrive in four parts, by time; the stream stops after each and goes on with the next."""
     events = table(spark, folder, "events")
     timed = events.select("event_id", F.timestamp_micros(admission.epoch_micros(events, "ts")).alias("ts"), "event_type", "user_id")
@@ -952,24 +953,25 @@ def _on_stream(spark: SparkSession, folder: str, decide: Callable[[DataFrame], D
         # a null time is in the first part
         part = part if high is None else part.filter((F.unix_micros("ts") <= high) | (F.col("ts").isNull() if low is None else F.lit(False)))
         part.write.mode("append").parquet(source)
-        stream = spark.readStream.schema(timed.schema).parquet(source).withWatermark("ts", "1 hour")
-        policies.log_stream(decide(stream), path, state, availableNow=True).awaitTermination()
-    return spark.read.parquet(path)
+        decide(spark.readStream.schema(timed.schema).parquet(source), path, state).awaitTermination()
+    return policies.read_log(spark, path)
 
 
 @query
 def rate_limit_on_stream(spark: SparkSession, folder: str) -> DataFrame:
-    limit = lambda s: policies.rate_limit_stream(s, ["event_type"], "ts", "event_id", RATE_LIMIT, RATE_WINDOW)
+    def limit(stream: DataFrame, path: str, state: str) -> StreamingQuery:
+        return policies.rate_limit_stream(stream, ["event_type"], "ts", "event_id", path, state, RATE_LIMIT, RATE_WINDOW, availableNow=True)
+
     return _on_stream(spark, folder, limit).select("event_id", "event_type", "allowed")
 
 
 @query
 def ttl_reuse_on_stream(spark: SparkSession, folder: str) -> DataFrame:
-    def reuse(stream: DataFrame) -> DataFrame:
+    def reuse(stream: DataFrame, path: str, state: str) -> StreamingQuery:
         calls = stream.select("event_id", "ts", _fingerprint("user_id").alias("fingerprint"))
-        return policies.ttl_reuse_stream(calls, ["fingerprint"], "ts", "event_id", TTL)
+        return policies.ttl_reuse_stream(calls, ["fingerprint"], "ts", "event_id", path, state, TTL, availableNow=True)
 
-    return _on_stream(spark, folder, reuse).select("event_id", "fingerprint", "is_hit")
+    return _on_stream(spark, folder, reuse).select("event_id", "fingerprint", (~F.col("is_computed")).alias("is_hit"))
 
 
 @query

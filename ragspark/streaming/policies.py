@@ -1,77 +1,83 @@
-"""Rate limit, time-bounded reuse and checks on streams."""
+"""Rate limit, time-bounded reuse and checks on streams.
+
+A micro-batch is decided as a batch is: its calls are counted by time, merged by a sort with the admitted calls that are still within
+reach, and streamed in time order. So a trigger may hold any number of calls of a key, and what is held is the
+admitted calls within reach. The admitted calls that later batches may need are written beside the decisions and committed with
+them, by batch number: a batch that is run again after a failure starts from the same past, and changes nothing if it was committed.
+"""
 
 from __future__ import annotations
 
 import logging
-from bisect import bisect_right
-from collections.abc import Iterable, Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ragspark.operators.admission import MICROS, epoch_micros
-from ragspark.sources.files import append_log
+from ragspark.operators.admission import MICROS, _assigned, admitted_after, epoch_micros
+from ragspark.streaming.batches import BatchLog
 
 log = logging.getLogger(__name__)
 
-
-def _take(history: list[int], t: int, calls: int, max_calls: int, reach: int) -> int:
-    """How many of the calls at ``t`` are admitted; ``history`` stays sorted, whatever the order of times.
-
-    The batch rule: admitted calls less than ``reach`` before ``t`` count. A call that comes late
-    is judged by those before it; what was decided after it stands.
-    """
-    after = bisect_right(history, t)
-    taken = max(0, min(calls, max_calls - (after - bisect_right(history, t - reach))))
-    history[after:after] = [t] * taken
-    return taken
+_KEY = "__key"
 
 
 def _decide(
-    stream: DataFrame, keys: list[str], ts: str, tie: str, max_calls: int, reach: int, name: str
-) -> DataFrame:
-    """The batch rule with the admitted times of a key as its state.
-
-    Rows of one trigger are taken in time order, all of a key's together, so the source
-    should bound its triggers. An admitted time is kept until the watermark (which the stream must
-    carry on ``ts``) has passed its reach, as a late call may still need it; a key without any is
-    dropped. Rows without a time get ``false``, as in batch.
+    stream: DataFrame,
+    keys: list[str],
+    ts: str,
+    tie: str,
+    max_calls: int,
+    reach: int,
+    name: str,
+    path: str,
+    checkpoint: str,
+    delay_seconds: float,
+    trigger: dict,
+) -> StreamingQuery:
+    """Write each micro-batch with the decision ``name`` to a :class:`BatchLog`.
+
+    An admitted time is kept until it is ``reach`` and the delay behind the latest time seen, as a late call may still need it. A late call is
+    judged by the admitted calls before it; what was decided after it stands. Rows without a time get ``false``; null keys are a key.
     """
-    timed = stream.withColumn("__t", epoch_micros(stream, ts))
-    columns = stream.columns
-    schema = T.StructType([*stream.schema.fields, T.StructField(name, T.BooleanType())])
 
-    def run(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        done = BatchLog(spark, path)
+        past = done.committed()
+        if number in past:
             return
-        history = sorted(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(parts), ignore_index=True).sort_values(["__t", tie])
-        known = pdf[pdf["__t"].notna()]
-        times, first, sizes = np.unique(known["__t"].to_numpy(dtype=np.int64), return_index=True, return_counts=True)
-        taken = np.array([_take(history, int(t), int(n), max_calls, reach) for t, n in zip(times, sizes)], dtype=np.int64)
-        place = np.arange(len(known)) - np.repeat(first, sizes)
-        out = pdf[columns].copy()
-        out[name] = False
-        out.loc[known.index, name] = place < np.repeat(taken, sizes)
-        passed = state.getCurrentWatermarkMs() * 1000
-        del history[: bisect_right(history, passed - reach)]
-        if history:
-            state.update((history,))
-            expires = (history[-1] + reach) // 1000 + 1
-            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield out
-
-    return timed.groupBy(*keys).applyInPandasWithState(
-        run, schema, "calls array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+        key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+        rows = batch.withColumn("__t", epoch_micros(batch, ts)).withColumn(_KEY, key)
+        known = rows.filter("__t IS NOT NULL")
+        counts = known.groupBy(_KEY, "__t").agg(F.count(F.lit(1)).alias("__n"))
+        clock = None
+        if past:
+            clock = done.note(past[-1]).get("clock")
+            history = spark.read.schema(f"{_KEY} string, __t long, __n long").parquet(done.folder("history", past[-1]))
+        else:
+            history = counts.select(_KEY, "__t", "__n").filter("false")
+        taken_at = done.folder("taken", number)
+        admitted_after(counts, history, [_KEY], max_calls, reach).write.mode("overwrite").parquet(taken_at)
+        taken = spark.read.schema(f"{_KEY} string, __t long, __taken long").parquet(taken_at)
+        told = _assigned(rows, known, [_KEY], taken.filter("__taken > 0"), tie, max_calls)
+        out = told.withColumn(name, F.coalesce(F.col(tie) <= F.col("__last"), F.lit(False))).select(*batch.columns, name)
+        out.write.mode("overwrite").parquet(done.folder("data", number))
+        latest = taken.agg(F.max("__t")).first()[0]
+        clock = max((t for t in (clock, latest) if t is not None), default=None)
+        kept = history.union(taken.filter("__taken > 0")).groupBy(_KEY, "__t").agg(F.sum("__n").alias("__n"))
+        if clock is not None:
+            kept = kept.filter(F.col("__t") > clock - round(delay_seconds * MICROS) - reach)
+        kept.write.mode("overwrite").parquet(done.folder("history", number))
+        done.commit(number, {"clock": clock})
+        done.drop("taken", number)
+        for old in past[:-1]:
+            done.drop("history", old)
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def rate_limit_stream(
@@ -79,19 +85,36 @@ def rate_limit_stream(
     keys: list[str],
     ts: str,
     tie: str,
+    path: str,
+    checkpoint: str,
     max_calls: int = 10,
     window_seconds: float = 60,
-) -> DataFrame:
-    """Add ``allowed`` to a stream with a watermark on ``ts``."""
-    return _decide(stream, keys, ts, tie, max_calls, round(window_seconds * MICROS) + 1, "allowed")
+    delay_seconds: float = 3600,
+    **trigger: object,
+) -> StreamingQuery:
+    """Write a stream of calls with ``allowed`` to ``path``; see :func:`read_log`."""
+    reach = round(window_seconds * MICROS) + 1
+    return _decide(stream, keys, ts, tie, max_calls, reach, "allowed", path, checkpoint, delay_seconds, trigger)
 
 
 def ttl_reuse_stream(
-    stream: DataFrame, keys: list[str], ts: str, tie: str, ttl_seconds: float = 300
-) -> DataFrame:
-    """Add ``is_hit`` to a stream with a watermark on ``ts``."""
-    out = _decide(stream, keys, ts, tie, 1, round(ttl_seconds * MICROS), "__computed")
-    return out.withColumn("is_hit", ~F.col("__computed")).drop("__computed")
+    stream: DataFrame,
+    keys: list[str],
+    ts: str,
+    tie: str,
+    path: str,
+    checkpoint: str,
+    ttl_seconds: float = 300,
+    delay_seconds: float = 3600,
+    **trigger: object,
+) -> StreamingQuery:
+    """Write a stream of calls with ``is_computed`` to ``path``: false where an earlier call of the key is still valid."""
+    return _decide(stream, keys, ts, tie, 1, round(ttl_seconds * MICROS), "is_computed", path, checkpoint, delay_seconds, trigger)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all batches that were committed at ``path``."""
+    return BatchLog(spark, path).read()
 
 
 def log_stream(
@@ -99,9 +122,10 @@ def log_stream(
 ) -> StreamingQuery:
     """Append a stream of log rows to a parquet table of its own.
 
-    The file sink's own log makes that exactly once, also after a failure. With ``strict=False``
-    a batch that cannot be written is reported and left out; a batch that is
-    run again after a failure may then be logged twice.
+    The file sink's own log makes that exactly once, also after a failure. With ``strict=False`` the table is a :class:`BatchLog`
+    (read it with :func:`read_log`), and the stream goes on where a batch cannot be written there: the batch is reported and waits beside the
+    checkpoint, and is written before the next one that succeeds. Nothing is lost or written twice; only a
+    batch that can be written to neither place ends the stream, which then resumes with it.
     """
     writer = stream.writeStream.option("checkpointLocation", checkpoint)
     if trigger:
@@ -110,7 +134,25 @@ def log_stream(
         return writer.format("parquet").option("path", path).outputMode("append").start()
 
     def write(batch: DataFrame, number: int) -> None:
-        if not append_log(batch, path):
-            log.warning("Batch %s left out of the log", number)
+        spark = batch.sparkSession
+        done, aside = BatchLog(spark, path), BatchLog(spark, f"{checkpoint}/aside")
+        try:
+            flush_waiting(done, aside)
+            done.put(batch, number)
+        except (PySparkException, Py4JJavaError) as problem:
+            log.warning("Batch %s is not in the log yet and waits: %s", number, problem)
+            if number not in aside.waiting():
+                batch.write.mode("overwrite").parquet(aside.folder("held", number))
+                aside.spark.range(0).write.mode("overwrite").parquet(aside.folder("waiting", number))
 
     return writer.foreachBatch(write).start()
+
+
+def flush_waiting(done: BatchLog, aside: BatchLog) -> int:
+    """Write the batches that wait, oldest first; how many were written."""
+    written = 0
+    for number in aside.waiting():
+        written += done.put(aside.spark.read.parquet(aside.folder("held", number)), number)
+        aside.drop("waiting", number)
+        aside.drop("held", number)
+    return written

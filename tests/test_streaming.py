@@ -1,11 +1,17 @@
+import os
 import random
+from collections import deque
 
+import numpy as np
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ragspark.operators import admission as ad
 from ragspark.plans.guardrails import GuardrailPlan
 from ragspark.sources.files import append_log
 from ragspark.streaming import policies
+from ragspark.streaming.batches import BatchLog
 
 
 def write_calls(spark, path, files=4):
@@ -26,48 +32,141 @@ def run(stream, spark, tmp_path, name):
     return spark.read.parquet(out)
 
 
+def decided(spark, tmp_path, name, start):
+    query = start(str(tmp_path / name), str(tmp_path / f"{name}-state"))
+    assert query.awaitTermination(120) and query.exception() is None
+    return policies.read_log(spark, str(tmp_path / name))
+
+
 def test_policies_equal_batch(spark, tmp_path):
     path = str(tmp_path / "calls")
     batch = write_calls(spark, path)
 
     def stream():
-        source = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
-        return source.withWatermark("ts", "1 hour")
+        return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
-    got = run(policies.rate_limit_stream(stream(), ["key"], "ts", "id", 3, 60), spark, tmp_path, "limit")
+    limit = lambda out, state: policies.rate_limit_stream(stream(), ["key"], "ts", "id", out, state, 3, 60, availableNow=True)
+    got = decided(spark, tmp_path, "limit", limit)
     want = ad.rate_limit(batch, ["key"], "ts", "id", 3, 60)
     assert sorted((r.id, r.allowed) for r in got.collect()) == sorted((r.id, r.allowed) for r in want.collect())
-    got = run(policies.ttl_reuse_stream(stream(), ["key"], "ts", "id", 90), spark, tmp_path, "reuse")
+    reuse = lambda out, state: policies.ttl_reuse_stream(stream(), ["key"], "ts", "id", out, state, 90, availableNow=True)
+    got = decided(spark, tmp_path, "reuse", reuse)
     want = ad.ttl_reuse(batch, ["key"], "ts", "id", 90)
-    assert sorted((r.id, r.is_hit) for r in got.collect()) == sorted((r.id, r.is_hit) for r in want.collect())
+    assert sorted((r.id, not r.is_computed) for r in got.collect()) == sorted((r.id, r.is_hit) for r in want.collect())
 
 
 def test_late_and_missing_times(spark, tmp_path):
     """Parts arrive in disorder; each decision follows from the admitted calls before it that have arrived."""
     parts = [[(1, "a", 100), (2, "a", None)], [(3, "a", 50), (4, "a", 55)], [(5, "a", 111), (6, None, 111)], [(7, "a", 112)]]
-    path, decided = str(tmp_path / "late"), []
+    path, rows = str(tmp_path / "late"), []
     for part in parts:
         df = spark.createDataFrame(part, "id long, key string, s long").withColumn("ts", F.timestamp_seconds("s"))
         df.coalesce(1).write.mode("append").parquet(path)
-        stream = spark.readStream.schema(df.schema).parquet(path).withWatermark("ts", "1 hour")
-        decided = run(policies.rate_limit_stream(stream, ["key"], "ts", "id", 2, 60), spark, tmp_path, "late-limit").collect()
-    assert {r.id: r.allowed for r in decided} == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: False}
-    assert len(decided) == 7
-
-
-def test_history_stays_sorted():
-    history = [100]
-    assert policies._take(history, 50, 1, 2, 60) == 1 and history == [50, 100]
-    assert policies._take(history, 111, 3, 2, 60) == 1 and history == [50, 100, 111]
-    assert policies._take(history, 55, 5, 2, 60) == 1 and history == [50, 55, 100, 111]
-
-
-def test_a_batch_that_cannot_be_written_is_left_out(spark, tmp_path):
+        stream = spark.readStream.schema(df.schema).parquet(path)
+        limit = lambda out, state: policies.rate_limit_stream(stream, ["key"], "ts", "id", out, state, 2, 60, availableNow=True)  # noqa: B023, E731
+        rows = decided(spark, tmp_path, "late-limit", limit).collect()
+    assert {r.id: r.allowed for r in rows} == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: False}
+    assert len(rows) == 7
+
+
+def test_new_calls_among_known_ones():
+    """Against a plain count of the admitted calls before each, whatever is known before, between and after."""
+    rng = random.Random(2)
+    for _ in range(300):
+        known = sorted(rng.randrange(100) for _ in range(rng.randrange(8)))
+        new = sorted({rng.randrange(100): rng.randrange(1, 4) for _ in range(rng.randrange(1, 30))}.items())
+        most, reach = rng.randrange(1, 4), rng.randrange(1, 30)
+        rows = sorted([(t, 0, 1) for t in known] + [(t, 1, n) for t, n in new])
+        times, fresh, sizes = (np.array(x) for x in zip(*rows))
+        got = ad.admit_among(times, sizes, fresh == 0, deque(), most, reach)
+        admitted, want = list(known), []
+        for t, n in new:
+            free = most - sum(t - reach < a <= t for a in admitted)
+            want.append(max(0, min(n, free)))
+            admitted += [t] * want[-1]
+        assert got[fresh == 1].tolist() == want
+
+
+def test_a_large_trigger_of_one_key_needs_little_memory(spark, tmp_path):
+    """Two million calls of one key in one trigger; what a worker holds is the admitted calls in reach, not the trigger."""
+    rows, most = 2_000_000, {}
+    calls = spark.range(rows).select(F.col("id"), F.lit("hot").alias("key"), (F.col("id") * 7919 % rows).alias("__t"), F.lit(1).cast("long").alias("__n"))
+
+    class Seen(deque):
+        def extend(self, items):
+            super().extend(items)
+            most["held"] = max(most.get("held", 0), len(self))
+
+    taken = ad.admitted_after(calls, calls.filter("false"), ["key"], 10, 60).agg(F.sum("__taken"), F.count("*")).first()
+    assert tuple(taken) == (-(-rows // 60) * 10, rows)
+    ad.admit_among(np.arange(100_000), np.ones(100_000, dtype=int), np.zeros(100_000, dtype=bool), Seen(), 10, 60)
+    assert most["held"] <= 10
+
+
+def test_a_batch_run_again_changes_nothing(spark, tmp_path):
+    """The driver is lost after a batch is decided and before the stream knows: the batch is run again, from the same past."""
+    path = str(tmp_path / "calls")
+    batch = write_calls(spark, path)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+
+    def go():
+        stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        assert policies.rate_limit_stream(stream, ["key"], "ts", "id", out, state, 3, 60, availableNow=True).awaitTermination(120)
+
+    go()
+    want = sorted((r.id, r.allowed) for r in ad.rate_limit(batch, ["key"], "ts", "id", 3, 60).collect())
+    last = max(int(n) for n in os.listdir(f"{state}/commits") if n.isdigit())
+    # the stream forgets its last batch; the log still knows it
+    for name in (str(last), f".{last}.crc"):
+        if os.path.exists(f"{state}/commits/{name}"):
+            os.remove(f"{state}/commits/{name}")
+    go()
+    assert sorted((r.id, r.allowed) for r in policies.read_log(spark, out).collect()) == want
+    # the log forgets it too, and its folder is half written: the batch is decided again
+    number = BatchLog(spark, out).committed()[-1]
+    for at in (f"{state}/commits/{last}", f"{state}/commits/.{last}.crc", f"{out}/commits/{number:010d}", f"{out}/commits/.{number:010d}.crc"):
+        if os.path.exists(at):
+            os.remove(at)
+    spark.range(3).write.mode("overwrite").parquet(f"{out}/data/{number:010d}")
+    go()
+    assert sorted((r.id, r.allowed) for r in policies.read_log(spark, out).collect()) == want
+
+
+def test_a_batch_that_cannot_be_written_waits(spark, tmp_path):
+    """The log's place is taken by a file at first: batches wait, then go in, each once, also when one is run again."""
+    source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    (tmp_path / "out").write_text("in the way")
+
+    def go(low):
+        spark.range(low, low + 3).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("id long").parquet(source)
+        query = policies.log_stream(stream, out, state, strict=False, availableNow=True)
+        assert query.awaitTermination(60) and query.exception() is None
+
+    go(0)
+    go(10)
+    assert len(BatchLog(spark, f"{state}/aside").waiting()) == 2
+    (tmp_path / "out").unlink()
+    go(20)
+    want = [0, 1, 2, 10, 11, 12, 20, 21, 22]
+    assert sorted(r.id for r in policies.read_log(spark, out).collect()) == want
+    assert BatchLog(spark, f"{state}/aside").waiting() == []
+    last = max(int(n) for n in os.listdir(f"{state}/commits") if n.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        if os.path.exists(f"{state}/commits/{name}"):
+            os.remove(f"{state}/commits/{name}")
+    go(30)
+    assert sorted(r.id for r in policies.read_log(spark, out).collect()) == [*want, 30, 31, 32]
+
+
+def test_a_batch_that_cannot_be_computed_is_not_passed_over(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.range(3).write.parquet(source)
     stream = spark.readStream.schema("id long").parquet(source).select(F.raise_error(F.lit("no")).cast("string").alias("x"))
     query = policies.log_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"), strict=False, availableNow=True)
-    assert query.awaitTermination(60) and query.exception() is None
+    with pytest.raises(StreamingQueryException):
+        query.awaitTermination(60)
+    assert BatchLog(spark, str(tmp_path / "out")).committed() == []
 
 
 def test_checks_run_on_a_stream(spark, tmp_path):
