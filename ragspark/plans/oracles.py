@@ -604,6 +604,15 @@ ORACLES: dict[str, str] = {
       md5(substr(text, s + 1, 1000)) AS digest, source FROM pieces""",
     "embedding_column": f"WITH {buckets('dv', 'doc_id', 'text', 'documents')} SELECT doc_id, b AS bucket, c AS n FROM dv",
     "topk_l2": f"WITH {nearest(10, 'l2')} {HIT_COLUMNS}",
+    "lexicon_matches": f"""WITH passages AS (SELECT {tokens('text')} AS w FROM benchmark),
+      phrases AS (SELECT DISTINCT array_to_string(w[i:i + n - 1], ' ') AS phrase, list_distinct(w[i:i + n - 1]) AS bag, n
+        FROM passages, range(3, 21) a(n), range(1, len(w) - n + 2) b(i)),
+      numbered AS (SELECT phrase, any_value(bag) AS bag, max(n) AS n, row_number() OVER () AS p FROM phrases GROUP BY phrase),
+      asked AS (SELECT p, len(bag) AS size, unnest(bag) AS word FROM numbered),
+      held AS (SELECT DISTINCT doc_id, unnest({tokens('text')}) AS word FROM documents),
+      found AS (SELECT doc_id, p FROM asked JOIN held USING (word) GROUP BY doc_id, p, size HAVING count(*) = size)
+      SELECT doc_id, count(*) AS n_phrases, max(n) AS longest, min(phrase) AS first_phrase
+      FROM found JOIN numbered USING (p) GROUP BY doc_id""",
     "topk_by_cells": f"WITH {nearest(10, 'l2', ASKED)} {HIT_COLUMNS}",
     "topk_cosine": f"WITH {nearest(10, 'cosine')} {HIT_COLUMNS}",
     "topk_dot": f"WITH {nearest(10, 'dot')} {HIT_COLUMNS}",

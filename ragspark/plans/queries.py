@@ -11,7 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ragspark.functions import text as tx
 from ragspark.functions import vectors as vec
 from ragspark.functions.arrays import explode_rows
-from ragspark.operators import admission, analytics, cells, chunking, evaluation, pii, retrieval, sessions
+from ragspark.operators import admission, analytics, cells, chunking, evaluation, lexicon, pii, retrieval, sessions
 from ragspark.operators import checks as ck
 from ragspark.plans import guardrails, ingestion
 from ragspark.session import fresh_dir
@@ -445,6 +445,37 @@ def checks_on_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+# phrase lists
+
+
+def _passage_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """All runs of three to twenty words of the benchmark passages: over 100,000 phrases of 200 passages."""
+    words = table(spark, folder, "benchmark").select(tx.tokens(F.col("text")).alias("words"))
+    runs = F.flatten(
+        F.transform(
+            F.sequence(F.lit(3), F.lit(20)),
+            lambda n: F.transform(
+                F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>")),
+                lambda i: F.array_join(F.slice("words", i, n), " "),
+            ),
+        )
+    )
+    return words.select(F.explode_outer(runs).alias("phrase")).dropna().distinct().withColumn("phrase_id", F.md5("phrase"))
+
+
+@query
+def lexicon_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """For each document the phrases of a large list whose words it holds: how many, how many words the longest has, the first by text."""
+    phrases = _passage_phrases(spark, folder)
+    found = lexicon.phrase_matches(_documents(spark, folder), phrases)
+    length = F.size(F.split("phrase", " "))
+    return (
+        found.join(phrases, "phrase_id")
+        .groupBy("doc_id")
+        .agg(F.count("*").alias("n_phrases"), F.max(length).alias("longest"), F.min("phrase").alias("first_phrase"))
+    )
+
+
 # chunks and retrieval
 
 
