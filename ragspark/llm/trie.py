@@ -9,7 +9,7 @@ sequence and then over all sequences through a node, so a subtree is never walke
 A prefix is known by its depth and four sums of 31 bits, over its turns, of hashes of place and SHA-256 of role and text (124 bits in
 all). Sums run in parallel: a sequence is cut into blocks of depths, and the totals of a block are all that is carried over. One
 conversation, or one prefix, may be a third of all rows: numbering is by ranges (:mod:`ragspark.llm.runs`), joins back to
-rows are salted (:mod:`ragspark.llm.hot`), the rest are sums that combine before they are shuffled. Lists of ends are cut into
+rows are salted (:mod:`ragspark.operators.hotkeys`), the rest are sums that combine before they are shuffled. Lists of ends are cut into
 chunks in parallel; a digest over a list has an order, so one task streams the chunks of a list.
 
 Odd rows: null role or text is empty; turns come in order, nulls first, turns of one number by role and digest of text; a null
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragspark.llm.common import written
-from ragspark.llm.hot import salted_join
+from ragspark.operators.hotkeys import salted_join
 from ragspark.llm.runs import numbered
 
 #: Depths of a block.

@@ -16,7 +16,7 @@ address that links to itself is its own alias only. Repeated pages are judged on
 with one host and path ``allow`` wins. An empty table gives an empty result. Only the named columns are read.
 
 All of it is columns and joins. Rules are a parameter and are broadcast by host; links, components and aliases are never
-collected; joins on addresses are salted (:mod:`ragspark.llm.hot`), as one address may be most of a table.
+collected; joins on addresses are salted (:mod:`ragspark.operators.hotkeys`), as one address may be most of a table.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.llm.components import components
-from ragspark.llm.hot import salted_join
+from ragspark.operators.hotkeys import salted_join
 
 #: Rules travel with the plan; a longer list is refused, as its broadcast would no longer be small.
 MOST_RULES = 1_000_000
