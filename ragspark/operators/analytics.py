@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import text as tx
 from ragspark.functions.arrays import bind
+from ragspark.operators.hotkeys import salted_join
+from ragspark.session import stored
 
 # Distance of the sketched middle from the median on either side, and the sketch's accuracy.
 _GAP, _ACCURACY = 0.001, 10_000
+# Values of a group that one task may rank, bins that a wider range is cut in, and how often at most.
+_RANKED, _BINS, _NARROWED = 1_000_000, 64, 12
+# Groups whose ends, five numbers each, are broadcast.
+_BROADCAST = 100_000
 
 
 def multiply(left: Column, right: Column) -> Column:
@@ -53,7 +59,7 @@ def list_statistics(values: Column) -> Column:
         )
 
     given = F.when(F.size(values) > 0, values.cast("array<double>")).otherwise(
-        F.raise_error(F.lit("Numbers list cannot be empty"))
+        F.raise_error(F.lit("An empty list has no statistics"))
     )
     return bind(F.sort_array(given), of)
 
@@ -63,42 +69,82 @@ def _about_the_middle(value: str) -> Column:
     return F.percentile_approx(value, [0.5 - _GAP, 0.5 + _GAP], _ACCURACY)
 
 
+def _covers(rank: Column) -> Column:
+    return (rank < F.col("__upto")) & (rank >= F.col("__upto") - F.col("__c"))
+
+
+def _within(rows: DataFrame, ends: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``value`` and how often it occurs (``__times``) up to the upper end of each group.
+
+    The ends of up to ``_BROADCAST`` groups go to the rows. Those of more meet them by their key, equal values being
+    counted before, and a group with many values being split.
+    """
+    if ends.count() <= _BROADCAST:
+        near = rows.withColumn("__times", F.lit(1).cast("long")).join(F.broadcast(ends), keys)
+    else:
+        counted = rows.groupBy(*keys, value).agg(F.count("*").alias("__times"))
+        near = salted_join(counted, ends, keys, "inner", F.xxhash64(value))
+    return near.filter(F.col(value) <= F.col("__high"))
+
+
+def _narrowed(rows: DataFrame, ends: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``ends`` again, around the bins between them that hold the middle; counts of bins are all that is windowed.
+
+    Bins are cut at quantiles of the values between the ends, so that they hold like numbers of values, whatever these are.
+    """
+    between = _within(rows, ends, keys, value).filter(F.col(value) >= F.col("__low"))
+    shares = [i / _BINS for i in range(1, _BINS)]
+    cuts = between.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, shares, 20 * _BINS)).alias("__cuts"))
+    cut = stored(ends.join(cuts, keys), "cuts")
+    place = F.when(F.col(value) < F.col("__low"), -1).otherwise(F.size(F.filter("__cuts", lambda c: c < F.col(value))))
+    bins = _within(rows, cut, keys, value).groupBy(*keys, "__n", place.alias("__bin"))
+    counted = bins.agg(F.sum("__times").alias("__c"), F.min(value).alias("__min"), F.max(value).alias("__max"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__bin"))
+    held = counted.withColumn("__upto", upto).filter(_covers(F.floor((F.col("__n") - 1) / 2)) | _covers(F.floor(F.col("__n") / 2)))
+    return held.groupBy(*keys, "__n").agg(F.min("__min").alias("__low"), F.max("__max").alias("__high"), F.sum("__c").alias("__held"))
+
+
 def _middle(rows: DataFrame, ends: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys, median`` from ``ends``, which has ``__mid`` and the number ``__n`` of values of each group.
+    """``keys, median`` from ``ends``: the number ``__n`` of values of each group and two values about its middle.
 
-    What lies below the sketched middle is only counted; what lies in it, two values in a thousand,
-    is counted by value and ranked.
+    What lies below the ends is only counted; what lies between them is counted by value and ranked. While that may be more than
+    ``_RANKED`` values of a group, the ends are narrowed to the bins that hold the middle: each time about
+    ``_BINS`` times fewer values are left, and a range of one value is done.
     """
-    low, high = F.col("__mid")[0], F.col("__mid")[1]
+    ends = ends.select(*keys, "__n", "__low", "__high", F.ceil(F.col("__n") * 2 * _GAP).alias("__held"))
+    for _ in range(_NARROWED):
+        most = ends.filter("__low < __high").agg(F.max("__held")).first()[0] or 0
+        if most <= _RANKED:
+            break
+        ends = stored(_narrowed(rows, ends.drop("__held"), keys, value), "ends")
     near = (
-        rows.join(ends.select(*keys, "__mid", "__n"), keys)
-        .filter(F.col(value) <= high)
-        .groupBy(*keys, "__n", F.when(F.col(value) >= low, F.col(value)).alias("__x"))
-        .agg(F.count("*").alias("__c"))
+        _within(rows, ends.drop("__held"), keys, value)
+        .groupBy(*keys, "__n", F.when(F.col(value) >= F.col("__low"), F.col(value)).alias("__x"))
+        .agg(F.sum("__times").alias("__c"))
     )
     upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__x"))
-    covers = lambda rank: (rank < F.col("__upto")) & (rank >= F.col("__upto") - F.col("__c"))
     n = F.col("__n")
     return (
         near.withColumn("__upto", upto)
-        .filter(covers(F.floor((n - 1) / 2)) | covers(F.floor(n / 2)))
+        .filter(_covers(F.floor((n - 1) / 2)) | _covers(F.floor(n / 2)))
         .groupBy(*keys)
         .agg(F.avg("__x").alias("median"))
     )
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact median per group as ``keys, median``; a task ranks a sliver of a group, whatever its distribution."""
+    """Exact median per group as ``keys, median``; a task ranks a bounded part of a group, whatever its size and distribution."""
     rows = df.select(*keys, value).dropna()
-    ends = rows.groupBy(*keys).agg(_about_the_middle(value).alias("__mid"), F.count("*").alias("__n"))
-    return _middle(rows, ends, keys, value)
+    sketched = rows.groupBy(*keys).agg(_about_the_middle(value).alias("__mid"), F.count("*").alias("__n"))
+    ends = sketched.select(*keys, "__n", F.col("__mid")[0].alias("__low"), F.col("__mid")[1].alias("__high"))
+    return _middle(rows, stored(ends, "ends"), keys, value)
 
 
 def number_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, sum, mean, exact median, min, max, range, population variance and deviation.
 
     Nulls are left out, as are rows without a key. Sorted values of a group are rows,
-    not an array: see :func:`sorted_values`. All but the median come from one pass.
+    not an array: see :func:`sorted_values`. All but the median come from one pass, whose result, a row a group, is written.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).dropna()
     basic = rows.groupBy(*keys).agg(
@@ -112,8 +158,9 @@ def number_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.stddev_pop("__v").alias("std_dev"),
         _about_the_middle("__v").alias("__mid"),
     )
-    ends = basic.withColumn("__n", F.col("count"))
-    return basic.drop("__mid").join(_middle(rows, ends, keys, "__v"), keys)
+    told = stored(basic.withColumns({"__low": F.col("__mid")[0], "__high": F.col("__mid")[1]}).drop("__mid"), "statistics")
+    ends = told.select(*keys, F.col("count").alias("__n"), "__low", "__high")
+    return told.drop("__low", "__high").join(_middle(rows, ends, keys, "__v"), keys)
 
 
 def sorted_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -138,7 +185,7 @@ def formula(expression: str, columns: list[str]) -> Column:
     while at < len(text):
         found = _TOKEN.match(text, at)
         if not found:
-            raise ValueError("Expression contains forbidden characters")
+            raise ValueError(f"Not part of a formula: {text[at:at + 20]!r}")
         number, name, sign = found.groups()
         if number:
             if re.fullmatch(r"0\d+", number) and float(number) != 0:

@@ -14,7 +14,7 @@ def test_list_statistics(spark):
     assert a["count"] == 4 and a.variance == 12.5 and a.std_dev == pytest.approx(12.5**0.5)
     assert a.sorted == [1.0, 2.0, 3.0, 10.0]
     assert b.median == 5.0 and b.variance == 0.0
-    with pytest.raises(Exception, match="cannot be empty"):
+    with pytest.raises(Exception, match="no statistics"):
         spark.sql("select cast(array() as array<double>) v").select(an.list_statistics(F.col("v"))).collect()
 
 
@@ -35,6 +35,35 @@ def test_grouped_statistics_with_a_hot_key(spark):
     assert [r.v for r in an.sorted_values(df.filter("k = 'two'"), ["k"], "v").collect()] == [1.0, 2.0]
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_medians_are_narrowed_until_few_values_are_ranked(spark, monkeypatch, broadcast):
+    """Clumps, outliers, many equal values and infinite ones: exact, and no window ranks more than the bound."""
+    monkeypatch.setattr(an, "_GAP", 0.2)
+    monkeypatch.setattr(an, "_RANKED", 40)
+    monkeypatch.setattr(an, "_BINS", 16)
+    monkeypatch.setattr(an, "_BROADCAST", broadcast)
+    rng = random.Random(3)
+    groups = {
+        "clump": [1e-9 * rng.random() for _ in range(3000)] + [1e9 * rng.random() for _ in range(2999)],
+        "wide": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(3001)],
+        "even": [float(i) for i in range(4000)],
+        "equal": [2.5] * 3000 + [float(i) for i in range(100)],
+        "two": [1.0] * 1000 + [7.0] * 1000,
+        "infinite": [float("-inf")] * 700 + [float(i) for i in range(900)] + [float("inf")] * 700,
+        "few": [3.0, -1.0],
+    }
+    rows = [(k, v) for k, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    seen = []
+    original = an._within
+    monkeypatch.setattr(an, "_within", lambda r, e, k, v: seen.append((r, e)) or original(r, e, k, v))
+    got = {r.k: r.median for r in an.exact_median(df, ["k"], "v").collect()}
+    assert got == {k: statistics.median(v) for k, v in groups.items()}
+    assert len(seen) > 2
+    last = original(*seen[-1], ["k"], "v").filter("v >= __low AND __low < __high")
+    assert max((r["count"] for r in last.select("k", "v").distinct().groupBy("k").count().collect()), default=0) <= 40
+
+
 @pytest.mark.parametrize(
     "text,value", [("a + b * 2", 8.0), ("(a+b)*2", 10.0), ("-a - -b", 1.0), ("a--b", 5.0), ("a / b", 2 / 3), ("1.5*a", 3.0), (".5+2.", 2.5)]
 )
