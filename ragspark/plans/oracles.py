@@ -693,6 +693,8 @@ ORACLES: dict[str, str] = {
 
 ORACLES["rate_limit_on_stream"] = ORACLES["rate_limit"]
 ORACLES["ttl_reuse_on_stream"] = ORACLES["ttl_reuse"]
+ORACLES["answer_pairs_on_stream"] = ORACLES["answer_pairs"]
+ORACLES["session_filter_on_stream"] = ORACLES["session_filter"]
 # escapes of letters beyond ASCII, all in the first plane here
 _ESCAPED = """array_to_string(list_transform(string_split(head, ''), lambda c: CASE WHEN c = chr(10) THEN '\\n' WHEN c = chr(9) THEN '\\t'
   WHEN c = chr(13) THEN '\\r' WHEN c = '"' THEN '\\"' WHEN c = '\\' THEN '\\\\' WHEN unicode(c) > 127 THEN '\\u' || lpad(lower(to_hex(unicode(c))), 4, '0')

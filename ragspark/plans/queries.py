@@ -17,6 +17,7 @@ from ragspark.plans import guardrails, ingestion
 from ragspark.session import fresh_dir
 from ragspark.sources import files, templates
 from ragspark.streaming import policies
+from ragspark.streaming import sessions as session_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1005,6 +1006,44 @@ def ttl_reuse_on_stream(spark: SparkSession, folder: str) -> DataFrame:
     return _on_stream(spark, folder, reuse).select("event_id", "fingerprint", (~F.col("is_computed")).alias("is_hit"))
 
 
+def _turns_in_parts(spark: SparkSession, folder: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Conversation turns that reach a stream in four parts, a turn a minute; the stream stops after each part and goes on with the next."""
+    when = F.timestamp_seconds(86_400 + F.col("turn") * 60 + F.pmod("conv_id", F.lit(60)))
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text", when.alias("ts"))
+    source = fresh_dir(spark, "turns")
+    for low, high in ((None, 2), (2, 4), (4, 6), (6, None)):
+        part = turns if low is None else turns.filter(F.col("turn") >= low)
+        (part if high is None else part.filter(F.col("turn") < high)).write.mode("append").parquet(source)
+        start(spark.readStream.schema(turns.schema).parquet(source)).awaitTermination()
+
+
+@query
+def answer_pairs_on_stream(spark: SparkSession, folder: str) -> DataFrame:
+    path, state = fresh_dir(spark, "pairs"), fresh_dir(spark, "pairs-state")
+
+    def start(turns: DataFrame) -> StreamingQuery:
+        return policies.log_stream(session_streams.answer_pairs_stream(turns), path, state, availableNow=True)
+
+    _turns_in_parts(spark, folder, start)
+    pairs = spark.read.schema("conv_id long, turn long, question string, answer string, context string").parquet(path)
+    digest = lambda c: F.md5(c).alias(c)
+    return pairs.select("conv_id", "turn", digest("question"), digest("answer"), F.coalesce(F.md5("context"), F.lit("")).alias("context"))
+
+
+@query
+def session_filter_on_stream(spark: SparkSession, folder: str) -> DataFrame:
+    path, state = fresh_dir(spark, "asked"), fresh_dir(spark, "asked-state")
+
+    def start(turns: DataFrame) -> StreamingQuery:
+        said = turns.select("conv_id", "turn", "ts", _turn_text().alias("said"))
+        return session_streams.session_questions_stream(said, "conv_id", "turn", "said", "ts", path, state, availableNow=True)
+
+    _turns_in_parts(spark, folder, start)
+    asked = policies.read_log(spark, path)
+    totals = asked.groupBy("conv_id").agg(F.count("*").alias("total_questions"))
+    return asked.join(totals, "conv_id").select("conv_id", "turn", "question_no", "total_questions", F.md5("question").alias("digest"))
+
+
 @query
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations written as text files, a turn a line, and read back as documents."""

@@ -12,9 +12,10 @@ QUICK = [
     "semantic_chunks_percentile", "topk_cosine", "document_retrieval", "number_stats", "rate_limit",
     "session_filter", "guardrail_report", "checks_on_stream", "vector_table", "pii_counts", "pii_masked_all", "pii_verdict",
     "recursive_chunks", "rendered_templates", "call_fingerprint_named", "rate_limit_on_stream", "ttl_reuse", "mmr",
-    "text_files", "results_file", "topk_by_cells",
+    "text_files", "results_file", "topk_by_cells", "lexicon_matches",
 ]
-RUN_WHEN_BUILT = ("checks_on_stream", "vector_table", "rate_limit_on_stream", "ttl_reuse_on_stream", "text_files", "results_file", "topk_by_cells", "topk_approximate")
+RUN_WHEN_BUILT = ("checks_on_stream", "vector_table", "rate_limit_on_stream", "ttl_reuse_on_stream", "text_files", "results_file", "topk_by_cells", "topk_approximate",
+                  "answer_pairs_on_stream", "session_filter_on_stream")
 
 
 @pytest.fixture(scope="module")

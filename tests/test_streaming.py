@@ -12,6 +12,7 @@ from ragspark.plans.guardrails import GuardrailPlan
 from ragspark.sources.files import append_log
 from ragspark.streaming import policies
 from ragspark.streaming.batches import BatchLog
+from ragspark.streaming.sessions import answer_pairs_stream, session_questions_stream
 
 
 def write_calls(spark, path, files=4):
@@ -179,3 +180,39 @@ def test_checks_run_on_a_stream(spark, tmp_path):
     got = run(stream, spark, tmp_path, "checked")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) == [(1, False), (2, True)]
     assert append_log(got, str(tmp_path / "copy"))
+
+
+def test_pairs_whose_parts_come_in_any_order(spark, tmp_path):
+    """An answer before its question, a context after both, a pair over three triggers, and one that came too late to pair."""
+    row = lambda c, n, role, at: (c, n, role, f"{role} {c}.{n}", at)
+    parts = [
+        [row(1, 1, "assistant", 60), row(2, 0, "system", 0), row(2, 1, "user", 60), row(3, 0, "user", 0)],
+        [row(1, 0, "user", 0), row(2, 2, "assistant", 120), row(1, 2, "user", 120)],
+        [row(1, 3, "assistant", 180), row(3, 1, "assistant", 9000), row(4, 0, "user", 8000), row(4, 1, "user", 8060)],
+    ]
+    path, out = str(tmp_path / "turns"), None
+    for part in parts:
+        df = spark.createDataFrame(part, "conv_id long, turn long, role string, text string, s long")
+        df = df.select("conv_id", "turn", "role", "text", F.timestamp_seconds(F.col("s") + 86_400).alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(path)
+        out = run(answer_pairs_stream(spark.readStream.schema(df.schema).parquet(path)), spark, tmp_path, "pairs")
+    got = sorted((r.conv_id, r.turn, r.answer, r.context) for r in out.collect())
+    assert got == [(1, 0, "assistant 1.1", None), (1, 2, "assistant 1.3", "assistant 1.1"), (2, 1, "assistant 2.2", "system 2.0")]
+
+
+def test_sessions_end_and_are_forgotten(spark, tmp_path):
+    parts = [
+        [(1, 0, " hi ", 0), (1, 1, "", 1), (2, 0, "a", 0), (3, 0, "quit", 0), (None, 0, "x", 0)],
+        [(1, 2, "more", 10), (2, 1, "EXIT", 11), (2, 2, "after", 12), (3, 1, "still out", 13)],
+        [(1, 3, "last", 20), (2, 3, "no", 21), (4, 0, "late riser", 5000)],
+        [(2, 9, "back again", 9000), (4, 1, "on", 9001)],
+    ]
+    path, got = str(tmp_path / "said"), None
+    for part in parts:
+        df = spark.createDataFrame(part, "conv_id long, turn long, said string, s long").withColumn("ts", F.timestamp_seconds("s"))
+        df.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(df.schema).parquet(path)
+        go = lambda out, state: session_questions_stream(stream, "conv_id", "turn", "said", "ts", out, state, timeout_seconds=4000.0, availableNow=True)  # noqa: B023, E731
+        got = decided(spark, tmp_path, "sessions", go)
+    rows = sorted((r.conv_id, r.question_no, r.question) for r in got.collect())
+    assert rows == [(1, 1, "hi"), (1, 2, "more"), (1, 3, "last"), (2, 1, "a"), (2, 1, "back again"), (4, 1, "late riser"), (4, 2, "on")]
