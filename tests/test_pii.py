@@ -1,6 +1,7 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,31 @@ def test_counts_equal_spans(spark, documents):
             F.sum(F.size(pii.detect_pii(t, enabled_types=[kind]))).alias("m"),
         ).first()
         assert both.n == both.m
+
+
+def test_addresses_equal_the_plain_search(spark):
+    """Runs of every kind before, between and after addresses, against the pattern itself."""
+    rng = random.Random(11)
+    pieces = ["a", "b1", ".", "-", "%", "@", "@x.co", "@y.c", "@z.org.x", "é", " ", "_", "..", "@-.", "\u0e01", "K", "@m.COM|", "\uffff", "\ufdd0"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
+    pattern = re.compile(rules.PII["email"], re.IGNORECASE)
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    got = frame.select("n", pii.detect_pii(F.col("t"), enabled_types=["email"]).alias("s"), pii.count_pii(F.col("t"), "email").alias("c")).collect()
+    found = 0
+    for r in got:
+        want = [(m.start(), m.end(), m.group()) for m in pattern.finditer(texts[r.n])]
+        assert [(x.start, x.end, x.value) for x in r.s] == want and r.c == len(want), texts[r.n]
+        found += len(want)
+    assert found > 300
+
+
+@pytest.mark.parametrize("run", ["a.", "-", "a@", "a@b.", ".a1-", "@b.c"])
+def test_long_runs_take_linear_time(spark, run):
+    """50,000 characters beside a real address, before and after it, in under a second each."""
+    text = run * (50_000 // len(run))
+    frame = spark.createDataFrame([(f"{text} me@mail.org {text}",), (f"{text}me@mail.org{text}",)], "t string").coalesce(1)
+    query = frame.select(F.size(pii.detect_pii(F.col("t"), enabled_types=["email"])).alias("n"))
+    query.collect()
+    start = time.time()
+    assert all(r.n >= 1 for r in query.collect())
+    assert time.time() - start < 2
