@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragspark.operators.hotkeys import salted_join
+
 _RANGE = "__range"
 _CUTS = 128
 
@@ -26,7 +28,8 @@ def _ranged(df: DataFrame, keys: list[str], order: str, rows: int) -> DataFrame:
         .select(*keys, F.when(F.col("__rows") > rows, F.array_distinct("__cuts")).alias("__cuts"))
     )
     below = F.size(F.filter("__cuts", lambda c: c < F.col(order)))
-    return df.join(cuts, keys).withColumn(_RANGE, F.when(F.col("__cuts").isNotNull(), below).otherwise(0)).drop("__cuts")
+    # the rows of a busy key do not meet its cuts in one task
+    return salted_join(df, cuts, keys, "inner", F.xxhash64(*keys, order)).withColumn(_RANGE, F.when(F.col("__cuts").isNotNull(), below).otherwise(0)).drop("__cuts")
 
 
 def number_rows(

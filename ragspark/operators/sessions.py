@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions.patterns import SPACE
 from ragspark.operators import rules
+from ragspark.operators.hotkeys import salted_join
 from ragspark.operators.ordering import number_rows, with_neighbours
 
 
@@ -28,7 +29,7 @@ def session_questions(
         F.min(F.when(F.lower("question").isin(words), F.col(order))).alias("__end")
     )
     kept = (
-        rows.join(ends, session)
+        salted_join(rows.filter(F.col(session).isNotNull()), ends, [session], "inner", F.xxhash64(session, order))
         .filter(F.col("__end").isNull() | (F.col(order) < F.col("__end")))
         .filter(F.col("question") != "")
         .drop("__end")

@@ -240,23 +240,24 @@ class GuardrailPlan:
 
 
 def _run(df: DataFrame, checks: list[Check], given: Any, max_warnings: int | None) -> DataFrame:
-    """Results up to and including the first fail; a failed row skips all later checks."""
-    out, last, failed = df, F.expr(f"cast(array() as array<{schemas.RESPONSE}>)"), None
+    """Results up to and including the first fail; a failed row skips all later checks.
+
+    A check is a column, null where it was skipped, and knows of the ones before it by one flag. The columns are put
+    together once.
+    """
+    out, failed = df, None
     for i, check in enumerate(checks):
         out = ck.add_check(out, f"__c{i}", check.build(given), failed)
-        got = F.col(f"__c{i}")
-        more = F.concat(last, F.array(got))
-        out = out.withColumn(
-            f"__r{i}", more if failed is None else F.when(failed, last).otherwise(more)
-        )
-        last = F.col(f"__r{i}")
-        failed = ck.is_failed(F.element_at(last, -1))
-    results = last
-    failed = F.coalesce(ck.is_failed(F.try_element_at(last, F.lit(-1))), F.lit(False))
-    valid = ~failed
+        now = F.coalesce(ck.is_failed(F.col(f"__c{i}")), F.lit(False))
+        out = out.withColumn(f"__f{i}", now if failed is None else failed | now)
+        failed = F.col(f"__f{i}")
+    made = F.array(*[F.col(f"__c{i}") for i in range(len(checks))]) if checks else F.array()
+    results = F.filter(made.cast(f"array<{schemas.RESPONSE}>"), lambda r: r.isNotNull())
+    out = out.withColumn("results", results)
+    valid = F.lit(True) if failed is None else ~failed
     if max_warnings is not None:
-        valid = valid & (F.size(F.filter(last, ck.is_warning)) <= max_warnings)
-    return out.withColumns({"is_valid": valid, "results": results})
+        valid = valid & (F.size(F.filter("results", ck.is_warning)) <= max_warnings)
+    return out.withColumn("is_valid", valid)
 
 
 def report(results: Column) -> Column:
