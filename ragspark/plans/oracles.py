@@ -691,6 +691,30 @@ ORACLES: dict[str, str] = {
       FROM documents GROUP BY source""",
 }
 
+ORACLES |= {
+    "golden_cases": f"""WITH {PAIRS} SELECT md5(question) AS question, md5(CASE WHEN turn % 3 > 0 THEN answer ELSE '' END) AS ideal_answer,
+      coalesce(md5(context), '') AS ideal_context, count(*) AS cases FROM pairs GROUP BY ALL""",
+    "quick_generation": f"""WITH {PAIRS}, told AS (SELECT coalesce(context, question) AS a, CASE WHEN turn % 3 > 0 THEN answer ELSE '' END AS b FROM pairs),
+      kw AS (SELECT a, b, {keyword_set('a')} AS a_kw, {keyword_set('b')} AS b_kw FROM told)
+      SELECT round(avg(10 * {similarity('a', 'b')}), 6) AS avg_overall_quality, count(*) AS total_queries FROM kw""",
+    "template_files": """SELECT lower(replace(r_name, ' ', '_')) AS name, 'v' || n_nationkey AS version, max(n_nationkey) OVER (PARTITION BY r_name)::INT AS latest,
+      md5('As of ' || n_name || ':' || chr(10) || '  ask {question}' || chr(10)) AS digest FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "custom_patterns": r"""WITH t AS (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type || p_partkey AS text FROM part),
+      w AS (SELECT p_partkey, text, regexp_extract(text, '[A-Za-z]{2,}[0-9]{2,}$') AS last FROM t)
+      SELECT p_partkey, CASE WHEN last = '' THEN '' ELSE (length(text) - length(last)) || ':' || last END AS spans FROM w""",
+    "custom_check": f"""WITH {PAIRS}, r AS (SELECT conv_id, turn, {length_result('question', 2, 1500)} AS len, contains(question, '?') AS asks FROM pairs)
+      SELECT conv_id, turn, len = 'pass' AS is_valid, 'InputLengthValidator=' || len
+        || CASE WHEN len = 'fail' THEN '' WHEN asks THEN ',QuestionMark=pass' ELSE ',QuestionMark=warning' END AS outcomes FROM r""",
+    "gated_checks": f"""WITH {PREPARED}, p AS (SELECT *, {toxic_levels('question', 'all')} AS lv, {hate_parts('question')} FROM prepared),
+      r AS (SELECT {TOXIC_RESULT} AS toxic FROM p)
+      SELECT 'lengths' AS gate, 'InputLengthValidator' AS validator, count(*) AS runs FROM r
+      UNION ALL SELECT 'unsafe', 'ToxicityValidator', count(*) FROM r
+      UNION ALL SELECT 'unsafe', 'HateSpeechValidator', count(*) FILTER (toxic <> 'fail') FROM r""",
+    "custom_embedder": "SELECT doc_id, " + ", ".join(
+        f"length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{c}', '')) AS {c}" for c in "aeiou") + " FROM documents",
+    "chosen_analyses": "SELECT l_orderkey, l_linenumber, round(l_quantity::DOUBLE * l_tax::DOUBLE, 6) AS product FROM lineitem",
+}
+
 ORACLES["rate_limit_on_stream"] = ORACLES["rate_limit"]
 ORACLES["ttl_reuse_on_stream"] = ORACLES["ttl_reuse"]
 ORACLES["answer_pairs_on_stream"] = ORACLES["answer_pairs"]

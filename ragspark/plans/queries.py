@@ -13,7 +13,7 @@ from ragspark.functions import vectors as vec
 from ragspark.functions.arrays import explode_rows
 from ragspark.operators import admission, analytics, cells, chunking, evaluation, lexicon, pii, retrieval, sessions
 from ragspark.operators import checks as ck
-from ragspark.plans import guardrails, ingestion
+from ragspark.plans import guardrails, ingestion, quick
 from ragspark.session import fresh_dir
 from ragspark.sources import files, templates
 from ragspark.streaming import policies
@@ -1006,6 +1006,140 @@ def ttl_reuse_on_stream(spark: SparkSession, folder: str) -> DataFrame:
     return _on_stream(spark, folder, reuse).select("event_id", "fingerprint", (~F.col("is_computed")).alias("is_hit"))
 
 
+def _golden_file(spark: SparkSession, folder: str) -> str:
+    """Question and answer pairs as test cases: JSON arrays, a file for a hundred conversations, with fields left out as in hand-written files."""
+    path = fresh_dir(spark, "golden")
+    pairs = _pairs(spark, folder)
+    case = F.to_json(
+        F.struct(
+            "question",
+            F.when(F.col("turn") % 3 > 0, F.col("answer")).alias("ideal_answer"),
+            F.when(F.col("context").isNotNull(), F.array("context")).alias("ideal_context"),
+        )
+    )
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("conv_id", "turn", case.alias("case")))), lambda c: c["case"])
+    hundred = F.floor(F.col("conv_id") / 100).alias("part")
+    arrays = pairs.groupBy(hundred).agg(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    return f"{path}/part=*"
+
+
+@query
+def golden_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Test cases written as JSON files and read back; cases that are given again count as cases of their own."""
+    cases = files.read_golden(spark, _golden_file(spark, folder))
+    return cases.groupBy(
+        F.md5("question").alias("question"), F.md5("ideal_answer").alias("ideal_answer"), F.coalesce(F.md5(F.get("ideal_context", F.lit(0))), F.lit("")).alias("ideal_context")
+    ).agg(F.count_distinct("question_id").alias("cases"))
+
+
+@query
+def quick_generation(spark: SparkSession, folder: str) -> DataFrame:
+    """One call over a file of test cases: answers from the context or the question, scored by keywords."""
+    answered = lambda df: df.withColumn("generated_answer", F.coalesce(F.get("ideal_context", F.lit(0)), F.col("question")))
+    _, total = quick.quick_generation_eval(spark, answered, _golden_file(spark, folder))
+    return total.select(F.round("avg_overall_quality", 6).alias("avg_overall_quality"), "total_queries")
+
+
+@query
+def template_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A YAML file for each nation, a version of its region's template, read back and listed with the latest of each."""
+    path = fresh_dir(spark, "templates")
+    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
+    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_nationkey", "n_name")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in rows.collect():  # the 25 nations
+        name = f"{r['r_name'].lower().replace(' ', '_')}_v{r['n_nationkey']}.yaml"
+        out = system.create(spark._jvm.org.apache.hadoop.fs.Path(root, name))
+        out.write(bytearray(f"# made for {r['n_name']}\ntemplate: |\n  As of {r['n_name']}:\n    ask {{question}}\n".encode()))
+        out.close()
+    told = templates.read_templates(spark, path)
+    latest = templates.latest_templates(told).select("name", F.col("number").alias("latest"))
+    return told.join(latest, "name").select("name", "version", "latest", F.md5("template").alias("digest"))
+
+
+ORDER_NUMBER = r"\b[A-Z][a-z]+\d{2,}\b"
+
+
+@query
+def custom_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    """A pattern of the user's beside a built-in one, over the names, brands and types of parts."""
+    named = table(spark, folder, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", F.concat("p_type", F.col("p_partkey").cast("string"))).alias("text"))
+    found = pii.detect_pii(F.col("text"), {"order_number": ORDER_NUMBER}, ["order_number", "email"])
+    spans = F.transform(F.filter(found, lambda s: s["type"] == "order_number"), lambda s: F.concat_ws(":", s["start"].cast("string"), s["value"]))
+    return named.select("p_partkey", F.array_join(spans, ",").alias("spans"))
+
+
+@query
+def custom_check(spark: SparkSession, folder: str) -> DataFrame:
+    """A check of the user's after the built-in length check, all others switched off."""
+    plan = guardrails.GuardrailPlan(
+        {
+            "input_validation": {"check_prompt_injection": False, "check_profanity": False, "max_length": 1500},
+            "content_safety": {"enabled": False},
+            "pii_detection": {"enabled": False},
+        }
+    )
+
+    def no_question_mark(view: ck.TextView) -> Column:
+        asks = F.contains(view.text, F.lit("?"))
+        return ck.response("QuestionMark", F.when(asks, ck.PASS).otherwise(ck.WARNING), F.when(asks, "asks").otherwise("tells"), F.lit(1.0))
+
+    plan.add_input_check("QuestionMark", no_question_mark)
+    checked = plan.validate_input(_pairs(spark, folder))
+    told = F.transform("results", lambda r: F.concat_ws("=", r["validator"], r["result"]))
+    return checked.select("conv_id", "turn", "is_valid", F.array_join(told, ",").alias("outcomes"))
+
+
+@query
+def gated_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each check ran under each configuration, and the checks that the configuration's summary names."""
+    parts = []
+    for name, config in GATES.items():
+        plan = guardrails.GuardrailPlan(config)
+        runs = guardrails.report_counts(plan.validate_input(_pairs(spark, folder)))
+        listed = plan.summary(spark).select(F.explode_outer("input_validators").alias("validator"))
+        parts.append(listed.join(runs.groupBy("validator").agg(F.sum("runs").alias("runs")), "validator", "left").withColumn("gate", F.lit(name)))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    return every.filter("validator IS NOT NULL").select("gate", "validator", F.coalesce("runs", F.lit(0)).alias("runs"))
+
+
+GATES = {
+    "off": {"enabled": False},
+    "lengths": {
+        "input_validation": {"check_prompt_injection": False, "check_profanity": False},
+        "content_safety": {"enabled": False},
+        "pii_detection": {"enabled": False},
+    },
+    "unsafe": {"input_validation": {"enabled": False}, "pii_detection": {"enabled": False}},
+}
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    """Counts of five letters: an embedder of the user's."""
+    return [[float(t.count(c)) for c in "aeiou"] for t in texts]
+
+
+@query
+def custom_embedder(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder).select("doc_id", vec.embed(F.col("text"), _letters).alias("v"))
+    return docs.select("doc_id", *[F.get("v", F.lit(i)).cast("long").alias(c) for i, c in enumerate("aeiou")])
+
+
+@query
+def chosen_analyses(spark: SparkSession, folder: str) -> DataFrame:
+    """What a configuration switches on, out of the registry of analyses, applied to line items and documents."""
+    config = {"enabled": True, "calculator": {"enabled": True, "tools": ["multiply", "unknown"]}, "text_analyzer": {"enabled": False, "tools": ["count_words"]}}
+    chosen = analytics.enabled_analyses(config)
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    for tool in sorted(chosen):
+        items = chosen[tool](items, "l_quantity", "l_tax")
+    return items.select("l_orderkey", "l_linenumber", F.round("product", 6).alias("product"))
+
+
 def _turns_in_parts(spark: SparkSession, folder: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
     """Conversation turns that reach a stream in four parts, a turn a minute; the stream stops after each part and goes on with the next."""
     when = F.timestamp_seconds(86_400 + F.col("turn") * 60 + F.pmod("conv_id", F.lit(60)))

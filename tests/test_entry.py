@@ -13,9 +13,10 @@ QUICK = [
     "session_filter", "guardrail_report", "checks_on_stream", "vector_table", "pii_counts", "pii_masked_all", "pii_verdict",
     "recursive_chunks", "rendered_templates", "call_fingerprint_named", "rate_limit_on_stream", "ttl_reuse", "mmr",
     "text_files", "results_file", "topk_by_cells", "lexicon_matches",
+    "golden_cases", "quick_generation", "template_files", "custom_patterns", "custom_check", "gated_checks", "custom_embedder", "chosen_analyses",
 ]
 RUN_WHEN_BUILT = ("checks_on_stream", "vector_table", "rate_limit_on_stream", "ttl_reuse_on_stream", "text_files", "results_file", "topk_by_cells", "topk_approximate",
-                  "answer_pairs_on_stream", "session_filter_on_stream")
+                  "answer_pairs_on_stream", "session_filter_on_stream", "golden_cases", "quick_generation", "template_files", "lexicon_matches")
 
 
 @pytest.fixture(scope="module")
