@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.llm.common import map_texts, written
+from ragspark.operators.hotkeys import salted_join
 
 #: Bound of the fitting sample: labelled rows taken, by hash of the id.
 MAX_LABELLED = 8000
@@ -114,7 +115,10 @@ def fit(
     label: str = "quality",
     max_labelled: int = MAX_LABELLED,
 ) -> ShapeModel:
-    """Fit on at most ``max_labelled`` labelled ids, the first by hash; a label above 0 is good, null labels are left out."""
+    """Fit on at most ``max_labelled`` labelled ids, the first by hash; a label above 0 is good, null labels are left out.
+
+    An id counts once, with its smallest text that is not null, however many rows have it.
+    """
     rated = (
         labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
         .groupBy(F.col(doc_id).alias("doc_id"))
@@ -126,7 +130,8 @@ def fit(
     good = {r["doc_id"]: float(r["good"] > 0) for r in rated}
     if not good:
         return ShapeModel()
-    sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("doc_id").isin(list(good)))
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("doc_id").isin(list(good)))
+    sample = named.groupBy("doc_id").agg(F.min("text").alias("text"))
     got = map_texts(sample, "text", lambda: _shapes, "shape array<double>").filter("shape is not null").orderBy("doc_id").toArrow()
     if not got.num_rows:
         return ShapeModel()
@@ -204,7 +209,8 @@ def posteriors(judged: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     prior = (less("path_s", own) + of_paths * host) / (less("path_n", one) + of_paths)
     odds = _logit(F.col("p_doc")) + _logit(F.col("site_prior")) - _logit(F.lit(mean))
     return (
-        rows.join(site, ["host", "path"], "left")
+        # one path may hold a third of all rows
+        salted_join(rows, site, ["host", "path"], "left", F.xxhash64("doc_id", "p_doc"))
         .withColumn("site_prior", prior)
         .withColumn("quality", F.when(F.col("p_doc").isNull(), F.lit(0.0)).otherwise(1 / (1 + F.exp(-odds))))
         .withColumn("keep", F.col("quality") >= threshold)
