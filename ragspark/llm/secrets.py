@@ -3,7 +3,8 @@
 Every version of every path is addressed by the SHA-256 of its text. The ledger holds one row per blob and
 rule version, with what was found. A scan reads the texts of those blobs only that some rule version
 has not seen, once for each blob, however many paths hold it; findings of old and new blobs are then
-joined back to all paths. ``scan`` returns the grown ledger, so the next scan pays for new content or rules.
+joined back to all paths. ``scan`` returns the grown ledger, so the next scan pays for new content or rules; ``scan_instalment`` keeps it in a
+lasting table.
 
 Null texts are the blob of the empty text. Repeated rows share a blob and each get its findings. Spans count
 code points, ends are exclusive.
@@ -19,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.llm.common import text_slices, written
+from ragspark.operators.hotkeys import salted_join
+from ragspark.streaming.batches import BatchLog
 
 #: Kinds of finding, in the order that ties at one start take.
 KINDS = ("assign", "access", "hex", "pem", "jwt")
 BASE_KINDS = KINDS[:3]
 #: Rule versions: bump a name when its rules change, and only that version is scanned again.
-RULES = {"base-1": BASE_KINDS, "blocks-3": KINDS[3:]}
+RULES = {"base-1": BASE_KINDS, "blocks-4": KINDS[3:]}
 
 LEDGER = "blob string, rules string, spans array<struct<start: int, rank: int, kind: string, end: int>>"
 
@@ -42,18 +45,24 @@ _FIELD = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|Message
 _BASE64 = re.compile(r"[A-Za-z0-9+/=]+")
 _LINE_ENDS = re.compile(r"[^\S\r\n]*(?:[\r\n]|\\[nr]|[\"'`]|\Z)")
 _FULL_LINE = 16
+# Up to an END line: fields, full base64 lines (or words of that length), and shorter ones that stand alone on their line.
+_KEY = re.compile(
+    rf"(?:(?:\s|\\[nr])*+(?:{_FIELD.pattern}|[A-Za-z0-9+/=]{{{_FULL_LINE},}}+|[A-Za-z0-9+/=]++(?=[^\S\r\n]*(?:[\r\n]|\\[nr]|-----END))))*+(?:\s|\\[nr])*+"
+)
 # Web tokens: maximal runs first, their parts are tested afterwards.
 _RUN = re.compile(r"[A-Za-z0-9_.-]+")
 _SEGMENT, _SIGNATURE = 11, 16
 
 
 def _key_end(text: str, at: int, label: str) -> int:
-    """End of the private key whose header ends at ``at``: its END line, or else the end of its base64 block."""
-    following = text.find("-----BEGIN ", at)
+    """End of the private key whose header ends at ``at``: its END line where only fields and base64 stand between, or else the end of its base64 block.
+
+    A header that is only named in prose ends where it ends.
+    """
     last = f"-----END {label}-----"
-    closed = text.find(last, at, following if following >= 0 else len(text))
-    if closed >= 0:
-        return closed + len(last)
+    body = _KEY.match(text, at)
+    if text.startswith(last, body.end()):
+        return body.end() + len(last)
     end = at
     while field := _FIELD.match(text, _GAP.match(text, end).end()):
         end = field.end()
@@ -161,8 +170,14 @@ def scan(
 
     ``spans`` is sorted and empty where nothing was found.
     """
+    return _scan(versions, empty_ledger(versions) if ledger is None else ledger, path, text, rules)[:2]
+
+
+def _scan(
+    versions: DataFrame, ledger: DataFrame, path: str, text: str, rules: dict[str, tuple[str, ...]] | None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The findings, the grown ledger, and what is new in it."""
     rules = RULES if rules is None else rules
-    ledger = empty_ledger(versions) if ledger is None else ledger
     bodies = addressed(versions, path, text)
     paths = written(bodies.select("path", "blob"), "paths")
     seen = ledger.filter(F.col("rules").isin(list(rules))).groupBy("blob").agg(F.collect_set("rules").alias("seen"))
@@ -185,8 +200,26 @@ def scan(
         .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     )
     nothing = F.array().cast("array<struct<start: int, rank: int, kind: string, end: int>>")
-    joined = paths.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", nothing).alias("spans"))
-    return joined, grown
+    # a blob may be at a third of all paths
+    told = salted_join(paths, found, ["blob"], "left", F.xxhash64("path"))
+    joined = told.select("path", "blob", F.coalesce("spans", nothing).alias("spans"))
+    return joined, grown, fresh
+
+
+def scan_instalment(
+    versions: DataFrame, home: str, number: int, path: str = "path", text: str = "text", rules: dict[str, tuple[str, ...]] | None = None
+) -> DataFrame:
+    """Findings of one instalment of versions, against the ledger that lives at ``home`` and grows by what is new.
+
+    ``home`` outlives the run: it is a table of committed batches, one for each instalment by ``number``, kept where the caller keeps tables. An
+    instalment that is scanned again, after a failure or on purpose, finds its own commit and appends nothing, so a blob is in the ledger once a rule version.
+    """
+    spark = versions.sparkSession
+    book = BatchLog(spark, home)
+    known = spark.read.schema(LEDGER).parquet(*[book.folder("data", n) for n in book.committed()]) if book.committed() else empty_ledger(versions)
+    findings, grown, fresh = _scan(versions, known, path, text, rules)
+    book.put(fresh, number)
+    return findings
 
 
 def joined_spans(spans, kinds: tuple[str, ...] = KINDS):

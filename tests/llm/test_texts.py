@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -304,6 +305,60 @@ def test_private_keys_are_masked_whole():
     assert masked("the header -----BEGIN PRIVATE KEY----- is text") == "the header [pem] is text"
     assert masked("-----BEGIN PUBLIC KEY-----\n" + line) == "-----BEGIN PUBLIC KEY-----\n" + line
     assert masked("-----BEGIN PRIVATE KEY-----\n" * 20_000).count("[pem]") == 20_000
+    # a header that is named in prose does not swallow what stands before an END line far below
+    prose = "is how a key begins. " * 60
+    assert masked(f"-----BEGIN PRIVATE KEY----- {prose}-----END PRIVATE KEY-----") == f"[pem] {prose}-----END PRIVATE KEY-----"
+    assert masked(f"-----BEGIN PRIVATE KEY----- {line} {line} -----END PRIVATE KEY----- x") == "[pem] x"
+    assert masked(f"-----BEGIN PRIVATE KEY-----\nab\ncd\n{line}\nef==\n-----END PRIVATE KEY-----") == "[pem]"
+    assert len(masked("-----BEGIN PRIVATE KEY-----\n" + "a " * 100_000)) > 200_000
+
+
+def test_a_lasting_ledger_grows_once(spark, tmp_path):
+    """Instalments share a ledger on disk; one that is scanned again appends nothing and finds the same."""
+    home = str(tmp_path / "ledger")
+    texts = ["token=abcdefgh", "plain", "AKIA" + "A" * 20]
+    first = spark.createDataFrame([(1, texts[0]), (2, texts[1])], "path long, text string")
+    second = spark.createDataFrame([(3, texts[0]), (4, texts[2]), (1, texts[1])], "path long, text string")
+    rows = lambda f: sorted((r.path, secrets_of(r.spans)) for r in f.collect())
+    secrets_of = lambda spans: tuple((s.kind, s.start, s.end) for s in spans)
+    one = rows(secrets.scan_instalment(first, home, 0))
+    two = rows(secrets.scan_instalment(second, home, 1))
+    assert one == [(1, (("assign", 0, 14),)), (2, ())] and two == [(1, ()), (3, (("assign", 0, 14),)), (4, (("access", 0, 24),))]
+    read = lambda: spark.read.parquet(f"{home}/data/*")
+    assert read().count() == 3 * len(secrets.RULES) and read().select("blob", "rules").distinct().count() == read().count()
+    assert rows(secrets.scan_instalment(second, home, 1)) == two and read().count() == 3 * len(secrets.RULES)
+
+
+def test_samples_take_an_id_once(spark):
+    """Bounds are of documents, whether an id has one row or hundreds; no language vanishes."""
+    words = {"en": "the cat sat on a mat and looked at the moon ", "de": "der hund lief durch den wald und sah den mond "}
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for again in (800, 5):
+        for one in ids[:6]:
+            rows = [(one, words["en"] * 9 + str(k), "en") for k in range(again)] + [(i, words["de"] * 9, "de") for i in ids[20:60]]
+            docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+            languages, windows, labels = langid.training_windows(docs, per_language=10)
+            assert languages == ["de", "en"] and 0 < (labels == 1).sum() <= langid.WINDOWS_PER_DOC and (labels == 0).sum() <= 10 * langid.WINDOWS_PER_DOC
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    once = [(i, ("good clean words here " if i % 2 else "!!! $$$ 123 ") * (i + 3)) for i in range(20)]
+    single = quality.fit(spark.createDataFrame(once, "doc_id long, text string"), labels)
+    many = quality.fit(spark.createDataFrame(once + once[:3] * 300, "doc_id long, text string"), labels)
+    assert np.allclose(single.weights, many.weights) and single.offset == pytest.approx(many.offset)
+
+
+def test_registered_language_and_quality_queries(spark, data):
+    """Both queries over their whole tables: their columns, who is held out, and what they say of rows with known answers."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = queries.op5_language_id(spark, data).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs) and set(rows[0].asDict()) >= {"doc_id", "held_out", "lang_pred", "score"}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
+    told = [r for r in rows if r.held_out and docs[r.doc_id].lang is not None and len(docs[r.doc_id].text or "") > 200]
+    assert sum(r.lang_pred == docs[r.doc_id].lang for r in told) >= 0.9 * len(told) > 0
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    judged = queries.op3_quality_classifier(spark, data).collect()
+    assert sorted(r.doc_id for r in judged) == sorted(docs) and all(0 <= r.quality <= 1 for r in judged)
+    kept = {q: [r.keep for r in judged if labels.get(r.doc_id) == q] for q in (0, 1)}
+    assert np.mean(kept[1]) >= 0.95 and np.mean(kept[0]) <= 0.3
 
 
 @pytest.mark.parametrize("head, body, signed", [(8, 8, 16), (2000, 2000, 2000), (2001, 8, 16), (8, 2001, 16), (8, 8, 2001), (90_000, 90_000, 90_000)])
