@@ -33,8 +33,9 @@ def phrase_matches(
 ) -> DataFrame:
     """``key, phrase_id`` of every phrase whose words are all words of the text."""
     listed = phrases.select(F.col(phrase_id).alias("__pid"), _bag(phrase).alias("__words")).filter(F.size("__words") > 0)
-    named = stored(listed.withColumn("__bag", F.sha2(F.array_join("__words", " "), 256)), "phrases")
-    bags = named.dropDuplicates(["__bag"]).select("__bag", "__words")
+    named = stored(listed.withColumn("__line", F.array_join("__words", " ")), "phrases")
+    # numbers, written with their bags: what is shuffled for every match is a few bytes
+    bags = stored(named.groupBy("__line").agg(F.first("__words").alias("__words")).withColumn("__bag", F.monotonically_increasing_id()), "bags")
     words = bags.select("__bag", F.size("__words").alias("__size"), F.explode("__words").alias("__word"))
     vocabulary = words.select("__word").distinct()
     held = texts.select(F.col(key).alias("__key"), F.explode_outer(F.array_distinct(tokens(F.col(text)))).alias("__word")).filter("__word IS NOT NULL")
@@ -64,6 +65,6 @@ def phrase_matches(
         .select("__key", "__bag")
     )
     matched = stored(candidates.filter("__size = 1").select("__key", "__bag").union(whole), "matched")
-    ids = named.groupBy("__bag").agg(F.collect_list("__pid").alias("__pids"))
+    ids = named.join(bags.select("__line", "__bag"), "__line").groupBy("__bag").agg(F.collect_list("__pid").alias("__pids"))
     told = salted_join(matched, ids, ["__bag"], "inner", F.xxhash64("__key"))
     return told.select(F.col("__key").alias(key), F.explode("__pids").alias(phrase_id))
