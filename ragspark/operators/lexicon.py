@@ -53,16 +53,21 @@ def phrase_matches(
     posted = rarest.groupBy("__word").agg(F.collect_list(F.struct("__bag", "__size")).alias("__bags"))
     met = salted_join(posts, posted, ["__word"], "inner", F.xxhash64("__key"))
     candidates = stored(met.select("__key", F.col("__word").alias("__under"), F.explode("__bags").alias("b")).select("__key", "__under", "b.*"), "candidates")
-    several = candidates.filter("__size > 1")
-    others = words.join(rarest.select("__bag", F.col("__word").alias("__under")), "__bag").filter("__word <> __under")
-    rest = others.groupBy("__bag").agg(F.collect_list("__word").alias("__others"))
-    asked = salted_join(several, rest, ["__bag"], "inner", F.xxhash64("__key")).select("__key", "__bag", "__size", F.explode("__others").alias("__word"))
+    # the next rarest word first: it rules most candidates out for one lookup each
+    others = known.join(rarest.select("__bag", F.col("__word").alias("__under")), "__bag").filter("__word <> __under")
+    rest = others.groupBy("__bag").agg(F.sort_array(F.collect_list(F.struct("__texts", "__word"))).alias("__others"))
+    rest = rest.select("__bag", F.col("__others")[0]["__word"].alias("__word"), F.transform(F.slice("__others", 2, F.size("__others")), lambda o: o["__word"]).alias("__more"))
+    asked = salted_join(candidates.filter("__size > 1").drop("__under"), rest.select("__bag", "__word"), ["__bag"], "inner", F.xxhash64("__key"))
+    left = stored(asked.join(posts, ["__key", "__word"], "left_semi").select("__key", "__bag", "__size"), "left")
+    further = salted_join(left.filter("__size > 2"), rest.select("__bag", "__more"), ["__bag"], "inner", F.xxhash64("__key"))
     whole = (
-        asked.join(posts, ["__key", "__word"], "left_semi")
+        further.select("__key", "__bag", "__size", F.explode("__more").alias("__word"))
+        .join(posts, ["__key", "__word"], "left_semi")
         .groupBy("__key", "__bag", "__size")
         .agg(F.count(F.lit(1)).alias("__found"))
-        .filter("__found = __size - 1")
+        .filter("__found = __size - 2")
         .select("__key", "__bag")
+        .union(left.filter("__size = 2").select("__key", "__bag"))
     )
     matched = stored(candidates.filter("__size = 1").select("__key", "__bag").union(whole), "matched")
     ids = named.join(bags.select("__line", "__bag"), "__line").groupBy("__bag").agg(F.collect_list("__pid").alias("__pids"))
