@@ -253,8 +253,8 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _two_rounds(index: CellIndex, asked: DataFrame, k: int, cosine: float | None) -> tuple[DataFrame, DataFrame]:
-    """The hits, and all visits; each is a written table."""
+def _two_rounds(index: CellIndex, asked: DataFrame, k: int, cosine: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The hits, all visits with their round (``__early``), and the questions with the limit of the first round."""
     open_ = asked.withColumn("__limit", F.lit(float("inf")))
     first = stored(_visits(index.cells, open_, k, cosine, second=False), "visits")
     early = stored(_best(_probe(index, first, k), k), "hits")
@@ -264,7 +264,8 @@ def _two_rounds(index: CellIndex, asked: DataFrame, k: int, cosine: float | None
     late = _best(_probe(index, second, k), k)
     hits = _best(early.drop("rank").union(late.drop("rank")), k)
     where = ["__cell", "__part", "__q"]
-    return hits, first.select(*where).union(second.select(*where))
+    visits = first.select(*where, F.lit(True).alias("__early")).union(second.select(*where, F.lit(False).alias("__early")))
+    return hits, visits, limited
 
 
 def _asked(questions: DataFrame, qid: str, vector: str) -> DataFrame:
@@ -276,21 +277,22 @@ def neighbour_cosine(index: CellIndex, asked: DataFrame, k: int, recall: float,
     """The cosine at which the share ``recall`` of true neighbours is reached, and a margin for the size of the trial.
 
     ``trials`` questions, those of smallest hash, are answered exactly over the whole index; what a neighbour needs is the
-    cosine of its cell for the k-th cost of its question.
+    cosine of its cell for the limit that the first round leaves its question with, which is what the second round will know.
     """
     some = asked.orderBy(F.xxhash64("__q"), "__q").limit(trials)
-    hits, _ = _two_rounds(index, some, k, None)
-    found = hits.select("__q", "__cost", "__cell").join(some, "__q").select("__q", "__cost", "__cell", "__v").toArrow()
+    hits, visits, limited = _two_rounds(index, some, k, None)
+    early = visits.filter("__early").select("__q", "__cell").distinct().withColumn("__early", F.lit(True))
+    found = hits.select("__q", "__cell").join(limited, "__q").join(early, ["__q", "__cell"], "left")
+    found = found.select("__cell", "__limit", F.coalesce("__early", F.lit(False)).alias("__early"), "__v").toArrow()
     if not found.num_rows:
         return np.inf
-    asks, (cost, cell) = found.column(0).to_pylist(), (found.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in (1, 2))
-    last: dict = {}
-    for q, c in zip(asks, cost):
-        last[q] = max(c, last.get(q, -np.inf))
-    limit = np.array([last[q] for q in asks])[:, None]
-    needed = index.cells.cosines(_matrix(found.column(3).combine_chunks()), limit)[np.arange(len(asks)), cell]
-    share = min(1.0, recall + 2 * np.sqrt(recall * (1 - recall) / len(asks)))
-    return float(np.quantile(needed, share, method="higher"))
+    cell, limit, at_once = (found.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in range(3))
+    questions = _matrix(found.column(3).combine_chunks())
+    needed = index.cells.cosines(questions, limit[:, None])[np.arange(len(cell)), cell]
+    # what the first round visits needs nothing
+    needed[at_once.astype(bool)] = -np.inf
+    share = min(1.0, recall + 2 * np.sqrt(recall * (1 - recall) / len(needed)))
+    return float(np.sort(needed)[min(len(needed) - 1, int(np.ceil(share * len(needed))) - 1)])
 
 
 def search(
@@ -312,9 +314,9 @@ def search(
     if not index.cells.sizes.any():
         asked = asked.filter("false")
     cosine = None if recall is None else neighbour_cosine(index, asked, k, recall)
-    hits, visits = _two_rounds(index, asked, k, cosine)
+    hits, visits, _ = _two_rounds(index, asked, k, cosine)
     named = hits.select(F.col("__q").alias(qid), F.col("__id").alias(vid), _score(F.col("__cost"), index.cells.metric).alias("score"), "rank")
-    return named, visits
+    return named, visits.drop("__early")
 
 
 def visit_share(index: CellIndex, visits: DataFrame, questions: int) -> float:
