@@ -433,17 +433,11 @@ def validate_documents(spark: SparkSession, folder: str) -> DataFrame:
 def checks_on_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Question checks over the conversations as a stream, appended to a log table."""
     path = fresh_dir(spark, "checked")
-    turns = (
-        spark.readStream.schema(table(spark, folder, "conversations").schema)
-        .option("pathGlobFilter", "conversations.parquet")
-        .parquet(folder)
-    )
-    checked = guardrails.GuardrailPlan(PLAN).validate_input(turns, "text")
-    stream = policies.log_stream(
-        _outcome(checked), path, fresh_dir(spark, "checked-state"), availableNow=True
-    )
-    stream.awaitTermination()
-    return spark.read.parquet(path)
+    # as a pattern, the name stands for a single file and for a folder of part files; a stream takes a plain path for a folder
+    turns = spark.readStream.schema(table(spark, folder, "conversations").schema).parquet(f"{folder}/conversations.parque[t]")
+    told = _outcome(guardrails.GuardrailPlan(PLAN).validate_input(turns, "text"))
+    policies.log_stream(told, path, fresh_dir(spark, "checked-state"), availableNow=True).awaitTermination()
+    return spark.read.schema(told.schema).parquet(path)
 
 
 # phrase lists
