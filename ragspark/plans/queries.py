@@ -13,8 +13,9 @@ from ragspark.functions import vectors as vec
 from ragspark.functions.arrays import explode_rows
 from ragspark.operators import admission, analytics, cells, chunking, evaluation, lexicon, pii, retrieval, sessions
 from ragspark.operators import checks as ck
+from ragspark.operators.hotkeys import salted_join
 from ragspark.plans import guardrails, ingestion, quick
-from ragspark.session import fresh_dir
+from ragspark.session import fresh_dir, stored
 from ragspark.sources import files, templates
 from ragspark.streaming import policies
 from ragspark.streaming import sessions as session_streams
@@ -455,20 +456,20 @@ def _passage_phrases(spark: SparkSession, folder: str) -> DataFrame:
             ),
         )
     )
-    return words.select(F.explode_outer(runs).alias("phrase")).dropna().distinct().withColumn("phrase_id", F.md5("phrase"))
+    listed = words.select(F.explode_outer(runs).alias("phrase")).dropna().distinct()
+    # numbered in the order of their text
+    return stored(listed.orderBy("phrase").select("phrase", F.size(F.split("phrase", " ")).alias("length"), F.monotonically_increasing_id().alias("phrase_id")), "listed")
 
 
 @query
 def lexicon_matches(spark: SparkSession, folder: str) -> DataFrame:
     """For each document the phrases of a large list whose words it holds: how many, how many words the longest has, the first by text."""
     phrases = _passage_phrases(spark, folder)
-    found = lexicon.phrase_matches(_documents(spark, folder), phrases)
-    length = F.size(F.split("phrase", " "))
-    return (
-        found.join(phrases, "phrase_id")
-        .groupBy("doc_id")
-        .agg(F.count("*").alias("n_phrases"), F.max(length).alias("longest"), F.min("phrase").alias("first_phrase"))
-    )
+    found = lexicon.phrase_matches(_documents(spark, folder), phrases, carry=["length"])
+    told = found.groupBy("doc_id").agg(F.count("*").alias("n_phrases"), F.max("length").alias("longest"), F.min("phrase_id").alias("phrase_id"))
+    # many documents may have the same first phrase
+    named = salted_join(stored(told, "told"), phrases.select("phrase_id", "phrase"), ["phrase_id"], "inner", F.xxhash64("doc_id"))
+    return named.select("doc_id", "n_phrases", "longest", F.col("phrase").alias("first_phrase"))
 
 
 # chunks and retrieval

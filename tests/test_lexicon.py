@@ -58,3 +58,31 @@ def test_empty_tables(spark):
     assert lexicon.phrase_matches(texts.filter("false"), phrases).count() == 0
     assert lexicon.phrase_matches(texts, phrases.filter("false")).count() == 0
     assert pairs(lexicon.phrase_matches(texts, phrases)) == {(1, 1)}
+
+
+def test_matches_are_not_joined(spark, monkeypatch):
+    """Texts meet the list in tasks of a part each, so neither candidates nor matches are shuffled; what is asked of a phrase comes along."""
+    monkeypatch.setattr(lexicon, "PART_PHRASES", 20)
+    monkeypatch.setattr(lexicon, "_TESTS", 50)
+    monkeypatch.setattr(lexicon, "_CELLS", 100)
+    monkeypatch.setattr(lexicon, "_ROWS", 7)
+    rng = random.Random(2)
+    words = [f"w{int(30 * rng.random() ** 2)}" for _ in range(300)]
+    said = [(i, " ".join(rng.sample(words, 12))) for i in range(200)]
+    # a text whose words lie over many rows of its key, more than a batch
+    said += [(300, f"W{i % 31}") for i in range(150)] + [(301, None), (302, "")]
+    phrases = [(i, " ".join(rng.sample(words, rng.randrange(1, 5))), i * 10) for i in range(150)]
+    whole = {}
+    for k, text in said:
+        whole[k] = f"{whole.get(k, '')} {text or ''}"
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "16")
+    try:
+        texts = spark.createDataFrame(said, "doc_id long, text string").repartition(3)
+        found = lexicon.phrase_matches(texts, spark.createDataFrame(phrases, "phrase_id long, phrase string, more long"), carry=["more"])
+        assert pairs(found) == plain(list(whole.items()), [p[:2] for p in phrases])
+        assert found.filter("more <> phrase_id * 10 OR more IS NULL").count() == 0
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(batch, before)
