@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ragspark.functions.patterns import SPACE
 from ragspark.operators import rules
 from ragspark.operators.ordering import number_rows
 from ragspark.streaming.batches import BatchLog
 
+# What a turn may be of a pair.
+_QUESTION, _ANSWER, _CONTEXT = range(3)
+# Turns of a session whose pairs share a state.
+_TURNS = 64
+
 
 def answer_pairs_stream(
     turns: DataFrame,
@@ -25,26 +35,76 @@ def answer_pairs_stream(
 ) -> DataFrame:
     """User turns directly followed by an assistant turn, with the turn before as context, of a stream of turns.
 
-    Interval joins of the stream with itself: an answer comes ``within`` that time after its question, the context that time before it. The turns
+    An answer comes ``within`` that time after its question, the context that time before it. The turns
     of a session are numbered without gaps from ``first``, whose context is null. Parts of a pair may come in any order and trigger; they are
     held until the watermark, ``delay`` behind the latest time, has passed them. A pair is written once, when its last part is there.
+
+    Each turn goes to the places of the questions it may belong to, as question, answer or context, and the places of ``_TURNS`` turns of a
+    session have one state: one store a partition and one shuffle, where joins of the stream with itself would keep four stores each.
     """
     timed = turns.withWatermark(ts, delay)
-    asked = timed.filter(F.col(role) == "user").select(
-        F.col(session).alias("__s"), F.col(order).alias("__o"), F.col(ts).alias("__at"), F.col(text).alias("question")
+    place = F.col(order)
+    as_part = lambda to, part: F.struct(to.alias("o"), F.lit(part).alias("part"))
+    parts = F.array(
+        F.when(F.col(role) == "user", as_part(place, _QUESTION)),
+        F.when(F.col(role) == "assistant", as_part(place - 1, _ANSWER)),
+        F.when(place + 1 > first, as_part(place + 1, _CONTEXT)),
     )
-    answers = timed.filter(F.col(role) == "assistant").select(
-        F.col(session).alias("__as"), (F.col(order) - 1).alias("__ao"), F.col(ts).alias("__aat"), F.col(text).alias("answer")
-    )
-    earlier = timed.select(F.col(session).alias("__ps"), (F.col(order) + 1).alias("__po"), F.col(ts).alias("__pat"), F.col(text).alias("context"))
     span = F.expr(f"INTERVAL {within}")
-    soon = (F.col("__aat") >= F.col("__at")) & (F.col("__aat") <= F.col("__at") + span)
-    pairs = asked.join(answers, (F.col("__s") == F.col("__as")) & (F.col("__o") == F.col("__ao")) & soon)
-    recent = (F.col("__pat") <= F.col("__at")) & (F.col("__pat") >= F.col("__at") - span)
-    told = pairs.join(earlier, (F.col("__s") == F.col("__ps")) & (F.col("__o") == F.col("__po")) & recent)
-    opening = pairs.filter(F.col("__o") == first).withColumn("context", F.lit(None).cast("string"))
-    columns = [F.col("__s").alias(session), F.col("__o").alias(order), "question", "answer", "context"]
-    return told.filter(F.col("__o") > first).select(*columns).union(opening.select(*columns))
+    dealt = (
+        timed.filter(F.col(session).isNotNull() & place.isNotNull() & F.col(ts).isNotNull())
+        .select(F.col(session).alias("__s"), F.col(ts), F.col(text).alias("__text"), F.explode(parts).alias("__p"))
+        .filter(F.col("__p.o") >= first)
+        .select(
+            "__s", F.col("__p.o").alias("__o"), F.col("__p.part").alias("__part"), "__text", F.col(ts),
+            *[F.unix_micros(t.cast("timestamp")).alias(n) for n, t in (("__at", F.col(ts)), ("__since", F.col(ts) - span), ("__until", F.col(ts) + span))],
+        )
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    pairs = f"`{session}` {kinds['__s']}, `{order}` {kinds['__o']}, question string, answer string, context string"
+
+    def meet(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = {int(o): parts for o, parts in json.loads(state.get[0]).items()} if state.exists else {}
+        fresh: dict[int, list[list]] = {}
+        for frame in frames:
+            columns = (frame[c].tolist() for c in ("__o", "__part", "__text", "__at", "__since", "__until"))
+            for o, part, told, *times in zip(*columns):
+                fresh.setdefault(o, [[], [], []])[part].append([*times, told if isinstance(told, str) else None])
+        found = []
+        for o, parts in fresh.items():
+            old = held.get(o, [[], [], []])
+            found += [(key[0], o, *texts) for texts in _meetings(old, parts, o == first)]
+            held[o] = [a + b for a, b in zip(old, parts)]
+        passed = state.getCurrentWatermarkMs() * 1000
+        kept = {o: [[row for row in part if row[2] >= passed] for part in parts] for o, parts in held.items()}
+        kept = {o: parts for o, parts in kept.items() if any(parts)}
+        state.update((json.dumps(kept, ensure_ascii=False),))
+        state.setTimeoutTimestamp(max(row[2] for parts in kept.values() for part in parts for row in part) // 1000 + 1)
+        if found:
+            yield pd.DataFrame(found, columns=[session, order, "question", "answer", "context"], dtype=object)
+
+    grouped = dealt.withColumn("__block", F.floor(F.col("__o") / _TURNS)).groupBy("__s", "__block")
+    return grouped.applyInPandasWithState(meet, pairs, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _meetings(held: list[list], fresh: list[list], opening: bool) -> list[tuple]:
+    """Texts of the questions, answers and contexts of a place that meet now, each a row of time, earliest and latest time of its partners, and text."""
+    asked = [(q, True) for q in fresh[_QUESTION]] + [(q, False) for q in held[_QUESTION]]
+    found = []
+    for q, q_new in asked:
+        for n, a in enumerate(held[_ANSWER] + fresh[_ANSWER]):
+            if not q[0] <= a[0] <= q[2]:
+                continue
+            new = q_new or n >= len(held[_ANSWER])
+            if opening:
+                found += [(q[3], a[3], None)] if new else []
+                continue
+            before = (held[_CONTEXT] if new else []) + fresh[_CONTEXT]
+            found += [(q[3], a[3], c[3]) for c in before if q[1] <= c[0] <= q[0]]
+    return found
 
 
 def session_questions_stream(

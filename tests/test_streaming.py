@@ -236,3 +236,30 @@ def test_sessions_end_and_are_forgotten(spark, tmp_path):
         got = decided(spark, tmp_path, "sessions", go)
     rows = sorted((r.conv_id, r.question_no, r.question) for r in got.collect())
     assert rows == [(1, 1, "hi"), (1, 2, "more"), (1, 3, "last"), (2, 1, "a"), (2, 1, "back again"), (4, 1, "late riser"), (4, 2, "on")]
+
+
+def test_pairs_keep_one_state_and_every_meeting(spark, tmp_path):
+    """Rows given twice, at other times or out of reach, against a plain search; what is held of a pair is in one store a partition."""
+    rng = random.Random(4)
+    rows = []
+    for n in range(240):
+        turn = rng.randrange(5)
+        at = turn * 1500 + rng.randrange(0, 3000)
+        rows.append((rng.randrange(6), turn, rng.choice(["user", "assistant", "system"]), None if n % 17 == 0 else f"t{n}", at))
+    rows += rows[:40] + [(None, 0, "user", "x", 5), (1, None, "user", "x", 5), (2, 1, None, "x", 1500)]
+    path, state = str(tmp_path / "turns"), str(tmp_path / "pairs-state")
+    for i in range(0, len(rows), 100):
+        df = spark.createDataFrame(rows[i : i + 100], "conv_id long, turn long, role string, text string, s long")
+        df = df.select("conv_id", "turn", "role", "text", F.timestamp_seconds(F.col("s") + 86_400).alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(path)
+        stream = answer_pairs_stream(spark.readStream.schema(df.schema).parquet(path), delay="3 hours")
+        query = policies.log_stream(stream, str(tmp_path / "pairs"), state, availableNow=True)
+        assert query.awaitTermination(120) and query.exception() is None
+        assert len(query.lastProgress["stateOperators"]) == 1
+    want = []
+    for c, o, role, question, at in rows:
+        answers = [r for r in rows if role == "user" and r[:3] == (c, (o or 0) + 1, "assistant") and at <= r[4] <= at + 3600 and None not in (c, o)]
+        before = [(None,) * 5] if o == 0 else [r for r in rows if r[0] == c and r[1] == (o or 0) - 1 and at - 3600 <= r[4] <= at]
+        want += [(c, o, question, a[3], b[3]) for a in answers for b in before]
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "pairs")).collect()]
+    assert len(want) > 50 and sorted(got, key=str) == sorted(want, key=str)
