@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +18,10 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 DIMENSION = 64
 _WORDS = re.compile(r"\w+")
-_KEPT = 500_000
+# Words whose buckets are remembered, words of texts that are held as numbers at a time, and texts that are taken out of an Arrow batch at a time.
+_KEPT = 100_000
+_WORDS_HELD = 100_000
+_TEXTS_HELD = 256
 
 
 class HashedWords:
@@ -36,18 +39,36 @@ class HashedWords:
         return {"dim": self.dim, "_bucket": {}}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        if len(self._bucket) > _KEPT:
-            self._bucket.clear()
-        bucket, rows, cols = self._bucket, [], []
+        counts = np.zeros((len(texts), self.dim))
+        bucket, rows, cols, first = self._bucket, [], [], 0
+
+        def add(last: int) -> None:
+            flat = np.repeat(np.arange(last - first), rows) * self.dim + np.asarray(cols, dtype=np.int64)
+            counts[first:last] = np.bincount(flat, minlength=(last - first) * self.dim).reshape(-1, self.dim)
+            rows.clear()
+            cols.clear()
+
         for row, text in enumerate(texts):
             words = _WORDS.findall((text or "").lower())
+            if len(bucket) > _KEPT:
+                bucket.clear()
             for word in words:
                 if word not in bucket:
                     bucket[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
             cols.extend(map(bucket.__getitem__, words))
             rows.append(len(words))
-        flat = np.repeat(np.arange(len(texts)), np.asarray(rows, dtype=np.int64)) * self.dim + np.asarray(cols, dtype=np.int64)
-        return np.bincount(flat, minlength=len(texts) * self.dim).reshape(-1, self.dim).astype(float)
+            if len(cols) > _WORDS_HELD:
+                add(row + 1)
+                first = row + 1
+        if rows:
+            add(len(texts))
+        return counts
+
+
+def by_slices(column: pa.Array, make: Callable[[list], list], kind: pa.DataType) -> pa.Array:
+    """What ``make`` returns for the values of an Arrow column; few of them are Python objects at a time, however many rows a batch has."""
+    parts = [pa.array(make(column.slice(i, _TEXTS_HELD).to_pylist()), kind) for i in range(0, len(column), _TEXTS_HELD)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def embed(text: Column, embedder: Embedder | None = None) -> Column:
@@ -57,12 +78,15 @@ def embed(text: Column, embedder: Embedder | None = None) -> Column:
     """
     model = embedder or HashedWords()
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            given = texts.notna().to_numpy()
-            vectors = iter(np.asarray(model(texts[given].tolist()), dtype=np.float32))
-            yield pd.Series([next(vectors) if known else None for known in given], dtype=object)
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield by_slices(batch, vectors, pa.list_(pa.float32()))
+
+    def vectors(texts: list[str | None]) -> list[np.ndarray | None]:
+        given = [t for t in texts if t is not None]
+        made = iter(np.asarray(model(given), dtype=np.float32) if given else ())
+        return [None if t is None else next(made) for t in texts]
 
     return run(text)
 

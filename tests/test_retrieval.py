@@ -192,3 +192,23 @@ def test_end_to_end_scores(spark):
     assert total.first().total_queries == 2
     prompt = tests.select(ev.answer_prompt(F.col("question"), F.lit("{a}"), F.col("ideal_answer"))).first()[0]
     assert "Question: a b" in prompt and "Answer: {a}" in prompt and '{"relevance": n' in prompt
+
+
+def test_embedding_holds_little_of_a_large_batch(spark, monkeypatch):
+    """What is remembered of words and held of texts has a limit within a batch, and does not change the vectors."""
+    texts = [" ".join(f"w{i * 50 + j} a" for j in range(50)) for i in range(60)] + ["", None, "a a"]
+    whole = vec.HashedWords()(texts)
+    monkeypatch.setattr(vec, "_KEPT", 100)
+    monkeypatch.setattr(vec, "_WORDS_HELD", 70)
+    small = vec.HashedWords()
+    assert np.array_equal(small(texts), whole)
+    assert len(small._bucket) <= 100 + 51
+    at_once = vec._TEXTS_HELD
+
+    def asked(given):
+        return np.asarray([[float(len(given)), float(len(t))] for t in given])
+
+    rows = spark.range(0, 3 * at_once + 5, 1, 1).select("id", F.when(F.col("id") % 7 != 0, F.repeat(F.lit("x"), F.col("id").cast("int"))).alias("t"))
+    got = {r.id: r.v for r in rows.select("id", vec.embed(F.col("t"), asked).alias("v")).collect()}
+    assert [i for i, v in got.items() if v is None] == list(range(0, 3 * at_once + 5, 7))
+    assert all(v[0] <= at_once and v[1] == i for i, v in got.items() if v is not None)
