@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.functions.arrays import bind, empty_array, explode_rows
 from ragspark.functions.patterns import SPACE
-from ragspark.functions.vectors import Embedder, HashedWords
+from ragspark.functions.vectors import Embedder, HashedWords, by_slices
 
 SEPARATORS = ["\n\n", "\n", " ", ""]
 _MARK = "\x01"
@@ -139,15 +140,15 @@ def neighbour_distances(sentences: Column, embedder: Embedder | None = None) ->
     """Cosine distances of adjacent sentences, each embedded with its two neighbours."""
     model = embedder or HashedWords()
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            yield pd.Series([_distances(r, model) for r in rows])
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield by_slices(batch, lambda rows: [_distances(r, model) for r in rows], pa.list_(pa.float64()))
 
     return run(sentences)
 
 
-def _distances(parts: np.ndarray | None, model: Embedder) -> list[float]:
+def _distances(parts: list[str] | None, model: Embedder) -> list[float]:
     if parts is None or len(parts) < 2:
         return []
     windows = [" ".join(parts[max(i - 1, 0) : i + 2]) for i in range(len(parts))]
