@@ -228,11 +228,17 @@ def mask_value(kind: Column, value: Column, mask_char: str = "*") -> Column:
     """Mask of one value; it has the length of the value."""
     star = mask_char.replace("\\", "\\\\").replace("$", "\\$")
     size = F.char_length(value)
-    full = F.regexp_replace(value, "(?s)[^ ]", star)
 
     def stars(n: Column) -> Column:
         return F.repeat(F.lit(mask_char), n)
 
+    # most values have no space or one, which needs no search of every character
+    gap = F.instr(value, " ")
+    full = (
+        F.when(gap == 0, stars(size))
+        .when(F.position(F.lit(" "), value, gap + 1) == 0, F.concat(stars(gap - 1), F.lit(" "), stars(size - gap)))
+        .otherwise(F.regexp_replace(value, "(?s)[^ ]", star))
+    )
     user = F.substring_index(value, "@", 1)
     user_size = F.char_length(user)
     email = F.concat(
@@ -370,10 +376,23 @@ def _apply_masks(text: Column, spans: Column, mask_char: str, merge_overlaps: bo
             ),
         )
 
-    ordered = by_place(spans)
-    if merge_overlaps:
-        ordered = bind(ordered, starred)
-    return bind(bind(ordered, pieces), join)
+    def straight(apart: Column) -> Column:
+        masked = lambda s: F.struct(s["start"], s["end"], mask_value(s["type"], s["value"], mask_char).alias("mask"))
+        return F.transform(F.filter(apart, lambda s: s["end"] > s["start"]), masked)
+
+    def overlap(given: Column) -> Column:
+        others = F.greatest(F.size(given) - 1, F.lit(0))
+        over = F.zip_with(F.slice(given["end"], F.lit(1), others), F.slice(given["start"], F.lit(2), others), lambda e, s: e > s)
+        return F.exists(over, lambda o: o)
+
+    def placed(given: Column) -> Column:
+        """Spans that lie apart are in their place; only others are put in order and cut."""
+        ordered = by_place(given)
+        if merge_overlaps:
+            ordered = bind(ordered, starred)
+        return F.when(overlap(given), bind(ordered, pieces)).otherwise(straight(given))
+
+    return bind(bind(spans, placed), join)
 
 
 def mask_pii(

@@ -151,3 +151,14 @@ def test_long_runs_take_linear_time(spark, run):
     start = time.time()
     assert all(r.n >= 1 for r in query.collect())
     assert time.time() - start < 2
+
+
+def test_masks_of_spans_apart_touching_and_over_each_other(spark):
+    """Spans that lie apart are written as they stand; a star stands for each character but spaces, however many there are."""
+    custom = {"a": "a+", "ab": "ab c  d", "e": "e|", "f": "f f"}
+    texts = ["aab c  d x", "xxf fe", "aaf fxe", "f f", "é𝄞a", "ab c  d", ""]
+    stars = lambda t: re.sub("[^ ]", "*", t)
+    want = [stars("aab c  d") + " x", "xx* **", "*** *x*", "* *", "é𝄞*", stars("ab c  d"), ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    masked = pii.mask_pii(F.col("t"), custom, ["a", "ab", "e", "f"])["masked_text"]
+    assert [r.m for r in df.select("i", masked.alias("m")).orderBy("i").collect()] == want
